@@ -29,14 +29,20 @@ def words(low: Column) -> Column:
     return F.regexp_extract_all(low, F.lit("[a-z']+"), F.lit(0))
 
 
-def share_of(tokens: Column, vocabulary: Iterable[str]) -> Column:
-    """Part of the tokens found in ``vocabulary``; repeated tokens count each time."""
+def listed_words(tokens: Column, lex: Lexicon) -> Column:
+    """Tokens that occur in the word list of any language."""
+    every = sorted({w for _, vocabulary in lex.languages for w in vocabulary})
+    return F.filter(tokens, lambda t: t.isin(*every))
+
+
+def share_of(tokens: Column, n_words: Column, vocabulary: Iterable[str]) -> Column:
+    """Tokens found in ``vocabulary``, repeated ones counted each time, per word of the text."""
     hits = F.filter(tokens, lambda t: t.isin(*vocabulary))
-    return F.size(hits).cast("double") / F.greatest(F.size(tokens), F.lit(1)).cast("double")
+    return F.size(hits).cast("double") / F.greatest(n_words, F.lit(1)).cast("double")
 
 
-def share_columns(tokens: Column, lex: Lexicon) -> dict[str, Column]:
-    return {lang: share_of(tokens, vocab) for lang, vocab in lex.languages}
+def share_columns(tokens: Column, n_words: Column, lex: Lexicon) -> dict[str, Column]:
+    return {lang: share_of(tokens, n_words, vocab) for lang, vocab in lex.languages}
 
 
 def pick_language(script: Column, n_words: Column, shares: list[tuple[str, Column]],

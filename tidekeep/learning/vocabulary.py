@@ -7,18 +7,17 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.entities import BLANK_CHARS
+from ..functions.entities import blank_separated
 
 # Size limits, reserved ids and the stripped punctuation.
 MAX_TOKENS, LENGTH = 2000, 32
 PAD, UNKNOWN = 0, 1
-PUNCTUATION = "[!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~']"
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 _BUCKETS = 256
 
 
 def tokens(text: Column) -> Column:
-    stripped = F.regexp_replace(F.lower(text), F.lit(PUNCTUATION), F.lit(""))
-    return F.regexp_extract_all(stripped, F.lit(f"[^{BLANK_CHARS}]+"), F.lit(0))
+    return blank_separated(F.lower(text), PUNCTUATION)
 
 
 def fit_vocabulary(texts: DataFrame, text: str = "text",

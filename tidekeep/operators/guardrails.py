@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.entities import (BLANK_CHARS, PREFIXED_AMOUNT, matched_numbers,
+from ..functions.entities import (PREFIXED_AMOUNT, blank_separated, matched_numbers,
                                   phrases_found)
 from ..functions.text import contains_any
 from ..lexicon import DEFAULT, Lexicon
@@ -19,12 +19,14 @@ def urgency_hits(low: Column, lex: Lexicon = DEFAULT) -> Column:
 
 
 def placeholders(draft: Column) -> Column:
-    """First three unfilled slots."""
-    return F.slice(F.regexp_extract_all(draft, F.lit(PLACEHOLDER), F.lit(0)), 1, 3)
+    """First three unfilled slots; the pattern only runs where a bracket opens."""
+    found = F.slice(F.regexp_extract_all(draft, F.lit(PLACEHOLDER), F.lit(0)), 1, 3)
+    opened = F.contains(draft, F.lit("[")) | F.contains(draft, F.lit("{"))
+    return F.when(opened, found).when(draft.isNotNull(), F.array().cast("array<string>"))
 
 
 def draft_amounts(low: Column) -> Column:
-    return matched_numbers(low, PREFIXED_AMOUNT)
+    return matched_numbers(low, PREFIXED_AMOUNT, ("aed",))
 
 
 def invented_amounts(amounts: Column, offer: Column) -> Column:
@@ -39,25 +41,26 @@ def pressures(low: Column, action: Column, lex: Lexicon = DEFAULT) -> Column:
 
 def word_count(draft: Column) -> Column:
     """Words between blanks of any kind."""
-    return F.regexp_count(draft, F.lit(f"[^{BLANK_CHARS}]+"))
+    return F.size(blank_separated(draft))
 
 
 def too_short(draft: Column) -> Column:
     return word_count(draft) < MIN_WORDS
 
 
-def flags(draft: Column, low: Column, offer: Column, action: Column, wanted: Column,
-          detected: Column, lex: Lexicon = DEFAULT) -> Column:
-    """All flags in check order; empty when the draft is clean."""
-    slots, extra = placeholders(draft), invented_amounts(draft_amounts(low), offer)
+def flags(urgent: Column, slots: Column, invented: Column, pressured: Column, short: Column,
+          wanted: Column, detected: Column) -> Column:
+    """All flags in check order from the single results; empty when the draft is clean.
+
+    The arguments should be attributes of an earlier projection, so each check runs once.
+    """
     single = F.array_compact(F.array(
         F.when(F.size(slots) > 0, F.concat(F.lit("open placeholders: "),
                                            F.array_join(slots, ", "))),
-        F.when(F.size(extra) > 0, F.concat(F.lit("unapproved amounts: "), F.array_join(
-            F.transform(extra, lambda a: a.cast("string")), ", "))),
-        F.when(pressures(low, action, lex), "pressure to stay in a goodbye"),
-        F.when(too_short(draft), "too short"),
+        F.when(F.size(invented) > 0, F.concat(F.lit("unapproved amounts: "), F.array_join(
+            F.transform(invented, lambda a: a.cast("string")), ", "))),
+        F.when(pressured, "pressure to stay in a goodbye"),
+        F.when(short, "too short"),
         F.when(detected != wanted, F.concat(F.lit("wrong language: "), detected,
                                             F.lit(" instead of "), wanted))))
-    return F.concat(F.transform(urgency_hits(low, lex),
-                                lambda p: F.concat(F.lit("urgent wording: "), p)), single)
+    return F.concat(F.transform(urgent, lambda p: F.concat(F.lit("urgent wording: "), p)), single)

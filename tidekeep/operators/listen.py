@@ -32,9 +32,12 @@ def with_detected_language(df: DataFrame, lex: Lexicon = DEFAULT, text: str = "t
     """Detected language of ``text``, replacing the two output columns if present."""
     kept = [c for c in df.columns if c not in (language, confidence)]
     tokens = df.select(*kept, tx.words(F.lower(text)).alias("_tokens"))
-    shares = tx.share_columns(F.col("_tokens"), lex)
-    measured = tokens.select(*kept, F.size("_tokens").alias("_words"),
-                             *[s.alias(f"_share_{n}") for n, s in shares.items()])
+    # One pass drops words of no list; the shares then look at the few that are left.
+    known = tokens.select(*kept, F.size("_tokens").alias("_words"),
+                          tx.listed_words(F.col("_tokens"), lex).alias("_listed"))
+    shares = tx.share_columns(F.col("_listed"), F.col("_words"), lex)
+    measured = known.select(*kept, "_words",
+                            *[s.alias(f"_share_{n}") for n, s in shares.items()])
     lang, conf = tx.pick_language(tx.in_script(F.col(text), lex), F.col("_words"),
                                   [(n, F.col(f"_share_{n}")) for n in shares], lex)
     return measured.select(*kept, lang.alias(language), conf.alias(confidence))

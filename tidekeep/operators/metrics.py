@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .literal import literal_table
 from .ranking import running_totals
 
@@ -87,12 +88,13 @@ def class_report(scored: DataFrame, actual: str, predicted: str, labels: list) -
 def roc_auc(scored: DataFrame, label: str, score: str) -> DataFrame:
     """Exact area under the ROC curve with ties counted half.
 
-    Rows collapse to distinct scores first; pairs won are running sums over them.
+    Rows collapse to distinct scores first, written once because borders, cell sums and
+    positions each read them; pairs won are running sums over them.
     """
     points = scored.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"),
         F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
-    run = running_totals(points, "score", ["neg"])
+    run = running_totals(written(points, "scores"), "score", ["neg"])
     won = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + 0.5 * F.col("neg")))
     return run.agg(
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),

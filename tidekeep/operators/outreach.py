@@ -170,15 +170,22 @@ def check_candidates(drafts: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     detected = with_detected_language(drafts, lex, text="candidate",
                                       language="candidate_language",
                                       confidence="_candidate_confidence")
-    low = detected.withColumn("_clow", F.lower("candidate"))
-    raised = gr.flags(F.col("candidate"), F.col("_clow"), F.col("offer_value_aed"),
-                      F.col("action"), F.col("language"), F.col("candidate_language"), lex)
-    # An amount token without digits makes the draft unusable before any flag is raised.
-    broken = F.exists(gr.draft_amounts(F.col("_clow")), lambda a: a.isNull())
-    return low.withColumns({"_raised": raised, "_broken": broken}).select(
-        *kept, "candidate_language",
-        F.col("_broken").alias("candidate_broken"),
-        F.when(F.col("_broken"), F.array().cast("array<string>")).otherwise(F.col("_raised"))
+    c = F.col
+    lowered = detected.withColumn("_clow", F.lower("candidate"))
+    looked_up = lowered.withColumns({
+        "_urgent": gr.urgency_hits(c("_clow"), lex), "_slots": gr.placeholders(c("candidate")),
+        "_amounts": gr.draft_amounts(c("_clow")),
+        "_pressured": gr.pressures(c("_clow"), c("action"), lex),
+        "_short": gr.too_short(c("candidate"))})
+    checked = looked_up.withColumns({
+        "_invented": gr.invented_amounts(c("_amounts"), c("offer_value_aed")),
+        # An amount token without digits makes the draft unusable before any flag is raised.
+        "candidate_broken": F.exists("_amounts", lambda a: a.isNull())})
+    raised = gr.flags(c("_urgent"), c("_slots"), c("_invented"), c("_pressured"), c("_short"),
+                      c("language"), c("candidate_language"))
+    return checked.select(
+        *kept, "candidate_language", "candidate_broken",
+        F.when(c("candidate_broken"), F.array().cast("array<string>")).otherwise(raised)
         .alias("candidate_flags"))
 
 

@@ -202,8 +202,10 @@ query("txt_1_arabic_script")(lambda t: t.messages.select(
 query("txt_2_words")(lambda t: t.low.select("message_id", tx.words(c("low")).alias("w")).select(
     "message_id", F.size("w").alias("n_words"), F.md5(joined(c("w"), " ")).alias("words_digest")))
 query("txt_3_lexicon_shares")(lambda t: t.low.select(
-    "message_id", tx.words(c("low")).alias("w")).select("message_id", *[
-        r6(s).alias(f"share_{n}") for n, s in tx.share_columns(c("w"), LEX).items()]))
+    "message_id", tx.words(c("low")).alias("w")).select(
+    "message_id", F.size("w").alias("n"), tx.listed_words(c("w"), LEX).alias("w")).select(
+    "message_id", *[r6(s).alias(f"share_{n}")
+                    for n, s in tx.share_columns(c("w"), c("n"), LEX).items()]))
 query("txt_4_detect_language")(lambda t: rounded(ls.with_detected_language(
     t.messages.select("message_id", "text"), LEX), "language_confidence").select(
     "message_id", "language", "language_confidence"))
@@ -452,9 +454,14 @@ query("lim_1_first_items")(lambda t: t.drafts.select(
     F.size(gr.placeholders(c("candidate"))).alias("n_placeholders")))
 
 # ------------------------------------------------------------ sets, quality, splits
-query("set_1_text_leakage")(lambda t: ev.shared_texts(
-    t.raw("documents"), t.raw("benchmark").select("text").union(
-        t.raw("documents").filter(c("lang") != "en").select("text"))))
+
+
+@query("set_1_text_leakage")
+def _leakage(t: Tables) -> DataFrame:
+    split = sp.stratified_split(t.messages, sp.message_stratum(), "message_id", 0.2)
+    return ev.shared_texts(split.filter("held_out"), split.filter(~c("held_out")))
+
+
 query("set_3_stacked_predictions")(lambda t: t.scored_sets.select(
     "model", "dataset", "message_id", "pred_issue", "pred_signal"))
 query("dq_1_language_mix")(lambda t: an.distribution(t.messages, "language"))

@@ -56,10 +56,9 @@ def report_grid(scored: DataFrame) -> DataFrame:
 
 
 def shared_texts(a: DataFrame, b: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct texts present in both sets (leakage; must be empty).
+    """Distinct texts present in both sets, by SHA-256 digest (leakage; must be empty).
 
-    Compared by digest first, so long texts do not travel through the shuffle; the digest is
-    the join key only, the texts of matches are compared in full.
+    Only digests go through the shuffle, whatever the length of the texts.
     """
     def keyed(df: DataFrame) -> DataFrame:
         return df.select(F.sha2(text, 256).alias("digest")).distinct()

@@ -7,6 +7,8 @@ exponent so that they are doubles.
 
 from __future__ import annotations
 
+import re
+
 from ..functions import entities as ent
 from ..functions import risk as rk
 from ..learning import vocabulary as voc
@@ -475,7 +477,7 @@ AUDIT_VIEW = """SELECT seq, coalesce(timestamp, '') AS timestamp,
   coalesce(nullif(summary, ''), coalesce(issue_type, '') || ' ' || coalesce(churn_signal, '')
     || ' -> ' || coalesce(risk_band, '') || ' -> ' || coalesce(action, '')) AS summary,
   coalesce(nullif(status, ''), human_verdict, '') AS status FROM audit"""
-STRIP = f"regexp_replace(lower(text), {s(voc.PUNCTUATION)}, '', 'g')"
+STRIP = f"regexp_replace(lower(text), {s('[' + re.escape(voc.PUNCTUATION) + ']')}, '', 'g')"
 VOC = f"""{M}, toks AS (SELECT message_id, regexp_extract_all({STRIP},
   {s('[^' + ent.BLANK_CHARS + ']+')}) AS tok FROM message),
 vocab AS (SELECT token, count(*) AS n FROM (SELECT unnest(tok) AS token FROM toks) u
@@ -902,8 +904,8 @@ GROUP BY message_id""",
     "lim_1_first_items": f"{DR} SELECT message_id, len(string_split(reasons, '|'))"
                          f" - CASE WHEN reasons = '' THEN 1 ELSE 0 END AS n_reasons,"
                          f" len({SLOTS}) AS n_placeholders FROM drafts",
-    "set_1_text_leakage": """SELECT DISTINCT sha256(text) AS digest FROM documents WHERE text IN
-  (SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE lang <> 'en')""",
+    "set_1_text_leakage": f"{M}, {SPLIT} SELECT DISTINCT sha256(text) AS digest FROM split WHERE"
+                          " held_out AND text IN (SELECT text FROM split WHERE NOT held_out)",
     "set_3_stacked_predictions": f"{SETS} SELECT model, dataset, message_id, pred_issue,"
                                  " pred_signal FROM sets",
     "dq_1_language_mix": f"{M} {dist('message', 'language')}",

@@ -67,6 +67,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Even out a scan with too few splits to occupy the cluster.
+
+    A table of a few row groups leaves most cores idle during the text work. Only scans of less
+    than two splits per core are redistributed (by their first column); larger ones, which are
+    the expensive ones to move, stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 2 * cores:
+        return scan
+    return scan.repartition(2 * cores, scan.columns[0])
+
+
 def _cents(column: str) -> Column:
     return F.col(column).cast("decimal(18,2)")
 
@@ -167,7 +180,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     A quarter of the assigned customer numbers lie beyond the customer table, so some messages
     have no profile.
     """
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     customers = table(spark, sf_dir, "customer").agg(F.count("*").alias("n")).scalar()
     return shape_messages(documents, customers)
 
@@ -190,7 +203,7 @@ def shape_messages(documents: DataFrame, customers: Column) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draft texts as an external generator would deliver them, keyed by message; one source
     delivers none."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         message_key(F.col("doc_id")).alias("message_id"),
         F.when(F.col("source") != "src7", F.concat_ws(
             " ", "text", lookup(F.col("source"), DRAFT_CLOSINGS))).alias("candidate"))
