@@ -89,8 +89,8 @@ TEMPLATES: dict[str, dict[str, str]] = {
         "ar": "عميلنا الكريم، كان ينبغي أن تعمل الخدمة ونأسف لأنها لم تعمل. وضعنا حالتكم في أعلى قائمة "
               "الفريق الفني وسيعود إليكم زميل محدد بالاسم بعد حل المشكلة.",
         "hi": "Priya grahak, ye seva chalni chahiye thi aur humein afsos hai ki nahi chali. Aapka maamla "
-              "technical team ki list mein sabse upar hai, aur theek hone ke baad humare saathi aapko "
-              "khabar karenge.",
+              "technical team ki list mein sabse upar hai, aur theek hone ke baad humare saathi aapke "
+              "liye khabar bhejne ka kaam karenge.",
         "tl": "Mahal na kliyente, dapat gumana po ito at paumanhin na hindi. Nasa unahan ng listahan ng "
               "technical team ang kaso ninyo, at may kasama kami na babalik sa inyo kapag ayos na ang "
               "lahat.",
