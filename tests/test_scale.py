@@ -57,11 +57,27 @@ def test_split_is_exact(spark, skewed, ratio):
     df = spark.createDataFrame(skewed, "key string, stratum string, level int").repartition(5)
     got = {r.key for r in stratified_split(df, F.col("stratum"), "key", ratio).filter(
         "held_out").collect()}
+    sizes = {}
+    for _, stratum, _ in skewed:
+        sizes[stratum] = sizes.get(stratum, 0) + 1
+    take = math.ceil(len(skewed) * ratio)
+    need = {st: n * take // len(skewed) for st, n in sizes.items()}
+    rest = sorted(sizes, key=lambda st: (-(sizes[st] * take % len(skewed)), st))
+    for st in rest[:take - sum(need.values())]:
+        need[st] += 1
     want = set()
-    for stratum in {r[1] for r in skewed}:
+    for stratum in sizes:
         keys = sorted((r[0] for r in skewed if r[1] == stratum), key=lambda k: (md5(k), k))
-        want |= set(keys[:math.ceil(len(keys) * ratio)])
-    assert got == want
+        want |= set(keys[:need[stratum]])
+    assert got == want and len(got) == take
+
+
+def test_tiny_strata_may_stay_out(spark):
+    df = spark.createDataFrame([("a", "big")] + [(f"b{i}", "huge") for i in range(99)],
+                               "key string, stratum string")
+    split = stratified_split(df, F.col("stratum"), "key", 0.2)
+    assert split.filter("held_out is null").count() == 0
+    assert split.filter("held_out").count() == 20
 
 
 def test_running_totals(spark):

@@ -103,8 +103,8 @@ def standardised(profile: DataFrame) -> DataFrame:
     base = profile.select("customer_id", *[F.col(c).cast("double").alias(c) for c in columns])
     stats = base.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in columns],
                               *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
-                     .alias("stats")).withColumn("_one", F.lit(1))
-    wide = base.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")
+                     .alias("stats")).scalar()
+    wide = base.withColumn("stats", stats)
     return wide.select("customer_id", *[
         ((F.col(c) - F.col(f"stats.m_{c}")) / F.when(F.col(f"stats.s_{c}") == 0, 1.0)
          .otherwise(F.col(f"stats.s_{c}"))).alias(c) for c in columns])

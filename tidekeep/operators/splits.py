@@ -1,7 +1,8 @@
 """Deterministic stratified splits without per-stratum sorting.
 
-A row belongs to the held-out part of its stratum when the md5 of its key is among the
-``ceil(ratio * n)`` smallest. Only the key at that position is looked up (in the one hash cell
+``ceil(ratio * rows)`` rows are held out in all, shared out to the strata in proportion with the
+left-over rows going to the largest remainders. Within a stratum the rows with the smallest md5
+of their key are taken. Only the key at the last such position is looked up (in the one hash cell
 that contains it); membership is then a comparison, so the rows themselves are never shuffled.
 """
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import written
+
 _HEX = 3
 
 
@@ -18,16 +21,33 @@ def _order_key(key: str) -> Column:
     return F.concat(F.md5(F.col(key).cast("string")), F.col(key).cast("string"))
 
 
+def quotas(cells: DataFrame, ratio: float) -> DataFrame:
+    """(stratum, need) from counts per stratum; whole-number arithmetic, ties by stratum."""
+    strata = cells.groupBy("_stratum").agg(F.sum("_n").alias("_n"))
+    n, total = F.col("_n"), F.sum("_n").over(W.partitionBy())
+    sized = strata.select("_stratum", n, total.alias("_total"),
+                          F.ceil(total * F.lit(float(ratio))).alias("_take"))
+    based = sized.select(
+        "_stratum", "_take", F.expr("_n * _take div _total").alias("_base"),
+        (F.col("_n") * F.col("_take") % F.col("_total")).alias("_rest"))
+    order = W.orderBy(F.col("_rest").desc(), "_stratum")
+    spare = F.col("_take") - F.sum("_base").over(W.partitionBy())
+    return based.select("_stratum", (F.col("_base") + F.when(
+        F.row_number().over(order) <= spare, 1).otherwise(0)).alias("_need"))
+
+
 def cut_points(df: DataFrame, stratum: Column, key: str, ratio: float) -> DataFrame:
-    """(stratum, cut): largest order key of the held-out part of each stratum."""
+    """(stratum, cut): largest order key of the held-out part of each stratum.
+
+    Everything before the last join works on counts: at most 4096 per stratum, one per stratum
+    for the quotas. The counts are written once, because they are read three times.
+    """
     keyed = df.select(stratum.alias("_stratum"), _order_key(key).alias("_k")).withColumn(
         "_cell", F.substring("_k", 1, _HEX))
-    cells = keyed.groupBy("_stratum", "_cell").agg(F.count("*").alias("_n"))
+    cells = written(keyed.groupBy("_stratum", "_cell").agg(F.count("*").alias("_n")), "cells")
     per = W.partitionBy("_stratum")
-    placed = cells.select(
-        "_stratum", "_cell", "_n",
-        F.sum("_n").over(per.orderBy("_cell")).alias("_upto"),
-        F.ceil(F.sum("_n").over(per) * F.lit(float(ratio))).alias("_need"))
+    placed = cells.select("_stratum", "_cell", "_n", F.sum("_n").over(
+        per.orderBy("_cell")).alias("_upto")).join(quotas(cells, ratio), "_stratum")
     target = placed.filter((F.col("_upto") >= F.col("_need"))
                            & (F.col("_upto") - F.col("_n") < F.col("_need"))).select(
         "_stratum", "_cell", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_nth"))
@@ -49,7 +69,7 @@ def stratified_split(df: DataFrame, stratum: Column, key: str, ratio: float,
     cuts = broadcast_if_small(cut_points(df, stratum, key, ratio))
     marked = df.withColumns({"_stratum": stratum, "_k": _order_key(key)})
     return (marked.join(cuts, "_stratum", "left")
-            .withColumn(output, F.col("_k") <= F.col("_cut")).select(*df.columns, output))
+            .withColumn(output, F.coalesce(F.col("_k") <= F.col("_cut"), F.lit(False))).select(*df.columns, output))
 
 
 def message_stratum() -> Column:

@@ -118,10 +118,10 @@ def inbox_kpis(messages: DataFrame) -> DataFrame:
 
 
 def overview(book: DataFrame, messages: DataFrame) -> DataFrame:
-    """Both one-row KPI sets as one row, joined on a constant key."""
-    left = book_kpis(book).withColumn("_one", F.lit(1))
-    right = inbox_kpis(messages).withColumn("_one", F.lit(1))
-    return left.join(right, "_one").drop("_one")
+    """Both one-row KPI sets as one row; the inbox part is a scalar subquery, not a join."""
+    inbox = inbox_kpis(messages)
+    part = inbox.select(F.struct(*inbox.columns).alias("inbox")).scalar()
+    return book_kpis(book).withColumn("_inbox", part).select("*", "_inbox.*").drop("_inbox")
 
 
 def segment_view(book: DataFrame) -> DataFrame:

@@ -417,9 +417,15 @@ DR = f"""{PL}, {CANDIDATE}, drafts AS (SELECT p.*, d.candidate, lower(d.candidat
 
 
 def part_ctes(source: str, stratum: str, key: str, ratio: str, out: str) -> str:
-    return f"""{out} AS (SELECT *, row_number() OVER (PARTITION BY {stratum}
-  ORDER BY md5({key}), {key}) <= ceil({ratio} * count(*) OVER (PARTITION BY {stratum}))
-  AS held_out FROM {source})"""
+    return f"""{out}_n AS (SELECT {stratum} AS st, count(*) AS n FROM {source} GROUP BY 1),
+{out}_t AS (SELECT st, n, sum(n) OVER () AS total, ceil(sum(n) OVER () * {ratio}) AS take
+  FROM {out}_n),
+{out}_b AS (SELECT st, take, CAST(n * take AS BIGINT) // CAST(total AS BIGINT) AS base,
+  CAST(n * take AS BIGINT) % CAST(total AS BIGINT) AS rest FROM {out}_t),
+{out}_q AS (SELECT st, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, st)
+  <= take - sum(base) OVER () THEN 1 ELSE 0 END AS need FROM {out}_b),
+{out} AS (SELECT x.*, row_number() OVER (PARTITION BY {stratum} ORDER BY md5({key}), {key})
+  <= need AS held_out FROM {source} x JOIN {out}_q ON st = {stratum})"""
 
 
 SPLIT = part_ctes("message", "issue_type || '_' || churn_signal", "message_id", "2e-1", "split")
@@ -850,7 +856,7 @@ GROUP BY message_id""",
   count(customer_id) AS n FROM (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) p(v)
   LEFT JOIN outcome o ON o.actual = a.v AND o.predicted = p.v GROUP BY a.v, p.v""",
     "agg_20_roc_auc": AUC,
-    "agg_21_region_audit_held_out": f"""{OUT}, {part_ctes('outcome', 'actual', 'customer_id',
+    "agg_21_region_audit_held_out": f"""{OUT}, {part_ctes('outcome', 'CAST(actual AS VARCHAR)', 'customer_id',
         '2.5e-1', 'parts')} SELECT nationality_region, count(*) AS n,
   round(avg(behaviour_risk), 6) AS mean_predicted_risk, round(avg(actual), 6) AS
   actual_churn_rate FROM parts WHERE held_out GROUP BY nationality_region""",
@@ -914,7 +920,7 @@ GROUP BY message_id""",
     "dq_4_orphans": f"{P}, {MESSAGE} SELECT message_id, customer_id FROM message WHERE"
                     " customer_id NOT IN (SELECT customer_id FROM profile)",
     "spl_1_message_split": f"{M}, {SPLIT} SELECT message_id, held_out FROM split",
-    "spl_2_label_split": f"{P}, {part_ctes('profile', 'churned', 'customer_id', '2.5e-1', 'x')}"
+    "spl_2_label_split": f"{P}, {part_ctes('profile', 'CAST(churned AS VARCHAR)', 'customer_id', '2.5e-1', 'x')}"
                          " SELECT customer_id, held_out FROM x",
     "spl_3_validation_tail": f"""{M}, {SPLIT}, rest AS (SELECT * EXCLUDE (held_out) FROM split
   WHERE NOT held_out), {part_ctes('rest', "issue_type || '_' || churn_signal", 'message_id',
