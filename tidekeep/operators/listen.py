@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import entities as ent
@@ -14,6 +14,14 @@ SIGNAL_COLUMNS = ["message_id", "customer_id", "text", "language", "language_con
                   "leaving_confirmed", "entities", "classifier"]
 
 
+LOW = "_low"
+
+
+def lowered(df: DataFrame, text: str = "text") -> Column:
+    """The lower-cased text: the shared ``_low`` column when an earlier stage made one."""
+    return F.col(LOW) if LOW in df.columns and text == "text" else F.lower(text)
+
+
 def clean_inbox(raw: DataFrame) -> DataFrame:
     """Trim texts, drop blank ones, and fill blank ids."""
     def filled(name: str, default: str):
@@ -31,7 +39,7 @@ def with_detected_language(df: DataFrame, lex: Lexicon = DEFAULT, text: str = "t
                            confidence: str = "language_confidence") -> DataFrame:
     """Detected language of ``text``, replacing the two output columns if present."""
     kept = [c for c in df.columns if c not in (language, confidence)]
-    tokens = df.select(*kept, tx.words(F.lower(text)).alias("_tokens"))
+    tokens = df.select(*kept, tx.words(lowered(df, text)).alias("_tokens"))
     # One pass drops words of no list; the shares then look at the few that are left.
     known = tokens.select(*kept, F.size("_tokens").alias("_words"),
                           tx.listed_words(F.col("_tokens"), lex).alias("_listed"))
@@ -56,10 +64,10 @@ def with_keyword_labels(df: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     kept = [c for c in df.columns if c not in (
         "issue_type", "churn_signal", "issue_confidence", "churn_signal_confidence",
         "leaving_confirmed", "classifier")]
-    low = F.col("_low")
-    labelled = (df.select(*kept, F.lower("text").alias("_low"))
-                .withColumns({"leaving_confirmed": tx.leaving_confirmed(low, lex),
-                              "issue_type": tx.keyword_issue(low, lex)})
+    low = F.col(LOW)
+    base = df.select(*[k for k in kept if k != LOW], lowered(df).alias(LOW))
+    labelled = (base.withColumns({"leaving_confirmed": tx.leaving_confirmed(low, lex),
+                                  "issue_type": tx.keyword_issue(low, lex)})
                 .withColumn("churn_signal",
                             tx.keyword_signal(F.col("leaving_confirmed"), low, lex)))
     return labelled.select(
@@ -72,9 +80,9 @@ def with_keyword_labels(df: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
 
 def with_entities(df: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     kept = [c for c in df.columns if c != "entities"]
-    lists = ent.entity_lists(F.col("_low"), lex)
-    found = df.select(*kept, F.lower("text").alias("_low")).select(
-        *kept, *[v.alias(f"_{k}") for k, v in lists.items()])
+    lists = ent.entity_lists(F.col(LOW), lex)
+    base = df.select(*[k for k in kept if k != LOW], lowered(df).alias(LOW))
+    found = base.select(*kept, *[v.alias(f"_{k}") for k, v in lists.items()])
     return found.select(*kept, ent.as_struct({k: F.col(f"_{k}") for k in lists}).alias("entities"))
 
 
@@ -86,7 +94,7 @@ def listen(messages: DataFrame, lex: Lexicon = DEFAULT, classify=None) -> DataFr
     """
     classify = classify or (lambda d: with_keyword_labels(d, lex))
     inbox = messages.select("message_id", "customer_id", "text", *[
-        c for c in ("lang_override",) if c in messages.columns])
+        c for c in ("lang_override",) if c in messages.columns], F.lower("text").alias(LOW))
     out = classify(with_detected_language(inbox, lex))
     if "lang_override" in out.columns:
         out = with_language_override(out)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
     """A constant table; it stays on the JVM side and folds to a local scan."""
     structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
 
 
 def lookup(key: Column, table: dict) -> Column:

@@ -9,7 +9,7 @@ from ..functions.numeric import whole
 from ..lexicon import DEFAULT, Lexicon
 from . import guardrails as gr
 from .decide import ACTION_LABELS
-from .listen import with_detected_language
+from .listen import LOW, with_detected_language
 from .literal import literal_table, lookup
 
 LANGUAGE_NAMES = {"en": "English", "ar": "Arabic", "hi": "Hindi (romanized)", "tl": "Tagalog"}
@@ -166,12 +166,16 @@ def with_template(plan: DataFrame) -> DataFrame:
 
 def check_candidates(drafts: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     """Adds ``candidate_language`` and ``candidate_flags`` for a ``candidate`` text column."""
-    kept = drafts.columns
-    detected = with_detected_language(drafts, lex, text="candidate",
-                                      language="candidate_language",
+    kept, c = drafts.columns, F.col
+    # Renamed to the text columns of the listen stage, whose lower-casing is shared.
+    renamed = drafts.select(*[F.col(k).alias(f"_p_{k}") for k in kept if k != "candidate"],
+                            F.col("candidate").alias("text"),
+                            F.lower("candidate").alias(LOW))
+    detected = with_detected_language(renamed, lex, language="candidate_language",
                                       confidence="_candidate_confidence")
-    c = F.col
-    lowered = detected.withColumn("_clow", F.lower("candidate"))
+    lowered = detected.select(
+        *[F.col("text" if k == "candidate" else f"_p_{k}").alias(k) for k in kept],
+        "candidate_language", F.col(LOW).alias("_clow"))
     looked_up = lowered.withColumns({
         "_urgent": gr.urgency_hits(c("_clow"), lex), "_slots": gr.placeholders(c("candidate")),
         "_amounts": gr.draft_amounts(c("_clow")),
