@@ -99,14 +99,14 @@ def test_text_classifier(spark, book, model, tmp_path):
     joined = out.join(messages.select("message_id", F.col("issue_type").alias("i"),
                                       F.col("churn_signal").alias("s")), "message_id")
     assert joined.filter("i = issue_type and s = churn_signal").count() == len(rows)
-    assert joined.select("classifier").distinct().collect()[0][0] == "lstm"
+    assert joined.select("classifier").distinct().collect()[0][0] == "trained"
     assert assess(out, book, cm.scorer(model)).count() == len(rows)
     classifier.save(str(tmp_path / "text"))
     again = tm.load(str(tmp_path / "text"))
     assert again(messages).select("issue_type").count() == len(rows)
     assert tm.choose("finetuned", None, classifier) is classifier
     assert tm.choose("finetuned", again, classifier) is again
-    assert tm.choose("lstm", again, None) is None
+    assert tm.choose("trained", again, None) is None
 
 
 def test_best_label_takes_the_first_maximum(spark):

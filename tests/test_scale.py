@@ -10,7 +10,7 @@ from tidekeep.operators import metrics as mt
 from tidekeep.operators.ranking import rank_rows, running_totals
 from tidekeep.operators.skew import hot_keys, left_join
 from tidekeep.operators.splits import stratified_split
-from tidekeep.plans.queue import queue_page
+from tidekeep.plans.queue import build_queue, queue_page
 
 
 def md5(x):
@@ -52,6 +52,16 @@ def test_salted_join_equals_plain(spark, skewed):
         map(str, salted.select(cols).collect()))
 
 
+def test_salted_queue_equals_plain(spark, profiles):
+    texts = ["I am leaving the UAE", "the app crashed", "fee of AED 20", "hello"]
+    rows = [(f"m{i}", "B" if i % 2 else f"c{i}" if i % 4 else "A", texts[i % 3], "en")
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "message_id string, customer_id string, text string,"
+                                     " language string")
+    plain, salted = build_queue(df, profiles), build_queue(df, profiles, hot_share=0.3)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
+
+
 @pytest.mark.parametrize("ratio", [0.2, 0.15, 0.25])
 def test_split_is_exact(spark, skewed, ratio):
     df = spark.createDataFrame(skewed, "key string, stratum string, level int").repartition(5)

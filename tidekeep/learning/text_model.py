@@ -52,7 +52,7 @@ class TextClassifier:
     features: PipelineModel
     heads: dict[str, PipelineModel]
     lexicon: Lexicon = DEFAULT
-    name: str = "lstm"
+    name: str = "trained"
 
     def __call__(self, df: DataFrame) -> DataFrame:
         kept = [c for c in df.columns if c not in HEADS]
@@ -74,13 +74,13 @@ class TextClassifier:
             model.write().overwrite().save(f"{path}/{head}")
 
 
-def load(path: str, lexicon: Lexicon = DEFAULT, name: str = "lstm") -> TextClassifier:
+def load(path: str, lexicon: Lexicon = DEFAULT, name: str = "trained") -> TextClassifier:
     return TextClassifier(PipelineModel.load(f"{path}/features"), {
         head: PipelineModel.load(f"{path}/{head}") for head in HEADS}, lexicon, name)
 
 
 def fit(messages: DataFrame, lexicon: Lexicon = DEFAULT, vocabulary: int = MAX_TOKENS,
-        reg: float = 0.01, max_iter: int = 60, name: str = "lstm") -> TextClassifier:
+        reg: float = 0.01, max_iter: int = 60, name: str = "trained") -> TextClassifier:
     """Fit both heads on labelled messages.
 
     The sparse token counts, not the texts, are what the iterations read.
