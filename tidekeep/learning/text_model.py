@@ -37,12 +37,10 @@ def train_test(messages: DataFrame, test_ratio: float = 0.2,
                validation_ratio: float = 0.15) -> DataFrame:
     """Adds ``part``: test (stratified), then validation out of the rest, else train."""
     first = stratified_split(messages, message_stratum(), "message_id", test_ratio, "_test")
-    rest = stratified_split(first.filter(~F.col("_test")), message_stratum(), "message_id",
-                            validation_ratio, "_val")
-    marks = rest.filter("_val").select("message_id", F.lit(True).alias("_val"))
-    return first.join(marks, "message_id", "left").withColumn(
-        "part", F.when(F.col("_test"), "test").when(F.col("_val"), "validation")
-        .otherwise("train")).drop("_test", "_val")
+    both = stratified_split(first, message_stratum(), "message_id", validation_ratio, "_val",
+                            among=~F.col("_test"))
+    return both.withColumn("part", F.when(F.col("_test"), "test").when(
+        F.col("_val"), "validation").otherwise("train")).drop("_test", "_val")
 
 
 @dataclass

@@ -64,12 +64,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, stratum: Column, key: str, ratio: float,
-                     output: str = "held_out") -> DataFrame:
-    """Adds a boolean column; ``key`` must be unique."""
-    cuts = broadcast_if_small(cut_points(df, stratum, key, ratio))
+                     output: str = "held_out", among: Column | None = None) -> DataFrame:
+    """Adds a boolean column; ``key`` must be unique. With ``among`` only those rows are split
+    and all others get false, so nested splits need no join of the rows."""
+    pool = df if among is None else df.filter(among)
+    cuts = broadcast_if_small(cut_points(pool, stratum, key, ratio))
     marked = df.withColumns({"_stratum": stratum, "_k": _order_key(key)})
+    taken = F.coalesce(F.col("_k") <= F.col("_cut"), F.lit(False))
     return (marked.join(cuts, "_stratum", "left")
-            .withColumn(output, F.coalesce(F.col("_k") <= F.col("_cut"), F.lit(False))).select(*df.columns, output))
+            .withColumn(output, taken if among is None else among & taken)
+            .select(*df.columns, output))
 
 
 def message_stratum() -> Column:
