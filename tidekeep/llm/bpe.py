@@ -279,7 +279,8 @@ class Transducer:
 class Encoder:
     """Text to ids for a byte-level vocabulary file, in chunks of bounded size."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
+        """Without ``specials`` their strings in a text are ordinary text."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -291,7 +292,7 @@ class Encoder:
                  for x in spec["model"]["merges"]]
         ids = {raw(token): i for token, i in spec["model"]["vocab"].items()}
         self.merges = Merges(rules, ids)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]} if specials else {}
         self.bytes_of = dict(self.merges.bytes_of)
         self.bytes_of.update({i: t.encode() for t, i in self.special.items()})
         self._pretokens = regex.compile(PATTERN)
@@ -406,14 +407,14 @@ class Decoder:
         return self._machine.decode(b"", final=True)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, specials: bool = True) -> Encoder:
     """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, specials) not in _ENCODERS:
+        _ENCODERS[path, specials] = Encoder(path, specials)
+    return _ENCODERS[path, specials]
 
 
 def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -43,7 +43,7 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = np.ones(1, np.uint64)
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first document, byte offset, bounds) of runs of documents of about PIECE_BYTES; a longer
     document is cut at spaces, where no word is lost, and comes as several runs of one."""
     n, first = len(offsets) - 1, 0
@@ -81,7 +81,7 @@ def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every word, in order; A to Z count as a to z."""
     docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for first, at, bounds in _pieces(data, offsets):
+    for first, at, bounds in pieces(data, offsets):
         part = LOWER[data[at:at + int(bounds[-1])]]
         if not len(part):
             continue

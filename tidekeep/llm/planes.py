@@ -62,7 +62,8 @@ def unpack_block(planes: list[bytes], n: int) -> np.ndarray:
     for k, plane in enumerate(planes):
         raw = np.frombuffer(expand.decompress(plane, max_output_size=(n + 7) // 8), np.uint8)
         bits[k] = np.unpackbits(raw, count=n, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").reshape(n)
+    packed = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little"))
+    return packed.view("<u4").reshape(n)
 
 
 class PlaneWriter:
