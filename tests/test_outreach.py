@@ -86,3 +86,15 @@ def test_prompt(spark):
     assert "Hindi (romanized)" in rows[0].prompt_used and "AED 200" in rows[0].prompt_used
     assert "Tone: Warm" in rows[0].prompt_used and "Why: r1; r2" in rows[0].prompt_used
     assert rows[1].prompt_used is None
+
+
+def test_every_prompt_has_the_rules(spark):
+    rows = [("M1", "de"), ("M2", "en"), ("M3", None), ("M4", ""), ("M5", "zz")]
+    plan = spark.createDataFrame(
+        [(i, lang, "rm_call", 0.0, "text", "Fees_Charges", "High", ["why"]) for i, lang in rows],
+        "message_id string, language string, action string, offer_value_aed double, text string,"
+        " issue_type string, risk_band string, rationale array<string>")
+    prompts = [r["prompt_used"] for r in og.with_prompt(plan).collect()]
+    assert all(p.startswith(og.PROMPT_RULES.split("{language}")[0]) for p in prompts)
+    assert "Use only de." in prompts[0] and "Use only English." in prompts[1]
+    assert og.LANGUAGE_UNKNOWN in prompts[2] and og.LANGUAGE_UNKNOWN in prompts[3]

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from conftest import by
 from pyspark.sql import functions as F
 
@@ -165,3 +167,29 @@ def test_timeline(spark):
     assert [r.step for r in longer[9:]] == ["Human reviewed", "Final decision logged"] * 2 + [
         "Draft edited"]
     assert longer[11].summary == 'Rejected - "late"'
+
+
+def test_report_of_any_depth_keeps_null_leaves(spark, tmp_path):
+    path = tmp_path / "deep.json"
+    path.write_text('{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":1}}}}}}},"x":null,"o":{},"l":[1,2]}')
+    rows = by(fl.read_report(spark, str(path), "deep"), "path", "value")
+    assert rows == {"a.b.c.d.e.f.g.h": "1", "x": None, "o": "{}", "l": "[1,2]"}
+
+
+def test_csv_with_line_breaks_and_any_column_order(spark, tmp_path):
+    path = tmp_path / "messages.csv"
+    path.write_text('text,message_id,churn_signal,customer_id,language,issue_type\n'
+                    '"first, line\nsecond ""line""",M1,High,C1,en,Fees_Charges\n')
+    row = fl.read_messages(spark, str(path)).collect()[0]
+    assert row.asDict() == {"message_id": "M1", "customer_id": "C1", "language": "en",
+                            "text": 'first, line\nsecond "line"', "issue_type": "Fees_Charges",
+                            "churn_signal": "High"}
+
+
+def test_csv_row_that_does_not_fit_fails(spark, tmp_path):
+    from tidekeep.schemas import PROFILE
+    path = tmp_path / "customers.csv"
+    names = [f.name for f in PROFILE.fields]
+    path.write_text(",".join(names) + "\n" + ",".join("x" for _ in names) + "\n")
+    with pytest.raises(Exception):
+        fl.read_profiles(spark, str(path)).collect()

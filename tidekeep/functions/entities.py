@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..lexicon import Lexicon
 
-# Digits of the scripts customers write in, and every kind of blank, spelled out so that the
+# Decimal digits of any script, and every kind of blank, the latter spelled out so that the
 # pattern means the same to any regex engine.
-_DIGIT = "0-9٠-٩۰-۹"
+_DIGIT = "\\p{Nd}"
 BLANKS = "\t\n\x0b\f\r " + "".join(map(chr, (
     0x1c, 0x1d, 0x1e, 0x1f, 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f,
     0x205f, 0x3000)))
@@ -22,9 +22,13 @@ _BLANK = f"[{BLANK_CHARS}]*"
 NUMBER = f"[{_DIGIT},]+(?:\\.[{_DIGIT}]+)?"
 AMOUNT = f"(?:aed|dhs?\\.?){_BLANK}{NUMBER}|{NUMBER}{_BLANK}(?:aed|dirhams?)"
 PREFIXED_AMOUNT = f"aed{_BLANK}{NUMBER}"
-LOCAL_DIGITS = "".join(chr(0x660 + i) for i in range(10)) + "".join(
-    chr(0x6f0 + i) for i in range(10))
-ASCII_DIGITS = "0123456789" * 2
+# The zeros of the scripts whose numbers are read: Arabic-Indic, Persian, N'Ko, Devanagari, Bengali,
+# Gurmukhi, Gujarati, Oriya, Tamil, Telugu, Kannada, Malayalam, Sinhala, Thai, Lao, Tibetan, Myanmar,
+# Khmer, Mongolian and full width. Fixed values of Unicode; nine more digits follow each.
+ZEROS = (0x660, 0x6f0, 0x7c0, 0x966, 0x9e6, 0xa66, 0xae6, 0xb66, 0xbe6, 0xc66, 0xce6, 0xd66, 0xde6,
+         0xe50, 0xed0, 0xf20, 0x1040, 0x17e0, 0x1810, 0xff10)
+LOCAL_DIGITS = "".join(chr(zero + i) for zero in ZEROS for i in range(10))
+ASCII_DIGITS = "0123456789" * len(ZEROS)
 
 
 def _to_number(matched: Column) -> Column:

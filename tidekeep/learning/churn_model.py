@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from ..operators.assess import guard_features
 from ..operators.literal import literal_table
 from ..schemas import BOOLEAN, NUMERIC
-from ..sources.files import path_exists
 
 
 def feature_stages() -> list:
@@ -76,7 +76,13 @@ def scorer(model: PipelineModel):
 
 def load_or_none(spark, path: str) -> PipelineModel | None:
     """A saved model, or None so that callers fall back to the prior."""
-    return PipelineModel.load(path) if path_exists(spark, path) else None
+    try:
+        spark.read.text(f"{path.rstrip('/')}/metadata")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return PipelineModel.load(path)
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 
 from pyspark.sql import Column, DataFrame
@@ -47,10 +48,8 @@ def token_ids(token_array: Column, vocabulary: list[str], length: int = LENGTH)
     buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
     for rank, token in enumerate(vocabulary):
         buckets[zlib.crc32(token.encode("utf-8")) % _BUCKETS][token] = rank + 2
-    empty = F.create_map().cast("map<string,int>")
-    table = F.array(*[
-        F.create_map(*[F.lit(x) for kv in b.items() for x in kv]) if b else empty
-        for b in buckets])
+    # One literal, which the optimizer turns into the table once.
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
     def one(token: Column) -> Column:
         slot = (F.crc32(token) % _BUCKETS + 1).cast("int")

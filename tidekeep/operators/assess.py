@@ -97,8 +97,10 @@ def assess(signals: DataFrame, profile: DataFrame, scorer: Scorer | None = None,
         "text_score": F.col("text_score"),
         "fused_risk": round_exact(F.least("_fused", F.lit(1.0)), 3),
         "risk_band": rk.band(F.col("_fused")),
-        "needs_human_triage": (F.col("issue_confidence") < rk.CONFIDENCE_FLOOR)
-        | (F.col("churn_signal_confidence") < rk.CONFIDENCE_FLOOR),
+        # A signal without a score, or a label without a confidence, is for a person to judge.
+        "needs_human_triage": F.col("text_score").isNull() | F.coalesce(
+            (F.col("issue_confidence") < rk.CONFIDENCE_FLOOR)
+            | (F.col("churn_signal_confidence") < rk.CONFIDENCE_FLOOR), F.lit(True)),
         "segment": F.coalesce("_segment", F.lit("Unknown")),
         "clv_estimate_aed": F.coalesce("_clv", F.lit(0.0)),
         "profile_found": F.col("_found").isNotNull(),

@@ -10,6 +10,7 @@ from ..functions.entities import (PREFIXED_AMOUNT, blank_separated, matched_numb
 from ..functions.text import contains_any
 from ..lexicon import DEFAULT, Lexicon
 
+# Fixed value: what counts as an unfilled slot.
 PLACEHOLDER = r"\[[^\]]{0,40}\]|\{[^}]{0,40}\}"
 MIN_WORDS = 20
 

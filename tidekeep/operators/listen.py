@@ -23,11 +23,14 @@ def lowered(df: DataFrame, text: str = "text") -> Column:
 
 
 def clean_inbox(raw: DataFrame) -> DataFrame:
-    """Trim texts, drop blank ones, and fill blank ids."""
+    """Trim texts, drop blank ones, and fill blank ids. Blanks of every kind count."""
+    def trimmed(name: str):
+        return F.btrim(F.col(name), F.lit(ent.BLANKS))
+
     def filled(name: str, default: str):
-        return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit(default)).alias(name)
+        return F.coalesce(F.nullif(trimmed(name), F.lit("")), F.lit(default)).alias(name)
 
-    kept = raw.withColumn("text", F.trim("text")).filter(F.length("text") > 0)
+    kept = raw.withColumn("text", trimmed("text")).filter(F.length("text") > 0)
     return kept.select(*[
         filled("customer_id", "UNKNOWN") if c == "customer_id"
         else filled("message_id", "LIVE") if c == "message_id" else F.col(c)

@@ -57,18 +57,16 @@ def cut_points(df: DataFrame, stratum: Column, key: str, ratio: float) -> DataFr
             .select("_stratum", F.col("_k").alias("_cut")))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast hint for a small aggregate whose row count has been checked."""
-    kept = df.persist()
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
-
-
 def stratified_split(df: DataFrame, stratum: Column, key: str, ratio: float,
                      output: str = "held_out", among: Column | None = None) -> DataFrame:
     """Adds a boolean column; ``key`` must be unique. With ``among`` only those rows are split
-    and all others get false, so nested splits need no join of the rows."""
+    and all others get false, so nested splits need no join of the rows.
+
+    Counting and finding the cuts runs at once, not lazily: both are written tables, one row per
+    cell and per stratum. Their measured size decides how the cuts are joined.
+    """
     pool = df if among is None else df.filter(among)
-    cuts = broadcast_if_small(cut_points(pool, stratum, key, ratio))
+    cuts = written(cut_points(pool, stratum, key, ratio), "cuts")
     marked = df.withColumns({"_stratum": stratum, "_k": _order_key(key)})
     taken = F.coalesce(F.col("_k") <= F.col("_cut"), F.lit(False))
     return (marked.join(cuts, "_stratum", "left")

@@ -442,10 +442,12 @@ query("srt_1_ranked_queue")(lambda t: qu.ranked_queue(t.queue).select(
 query("srt_2_region_order")(lambda t: t.outcome.groupBy("nationality_region").agg(
     F.count("*").alias("n")).orderBy("nationality_region"))
 query("srt_3_newest_first")(lambda t: rv.newest_first(rv.audit_view(t.audit)))
-query("srt_4_drivers_ascending")(lambda t: literal_table(t.spark, ["feature", "weight"], list(
-    ad.FIXED_WEIGHTS.items())).join(t.book.agg(F.count("*").alias("customers")).withColumn(
-        "feature", F.explode(F.array(*[F.lit(f) for f in ad.FIXED_WEIGHTS]))), "feature")
-    .orderBy("weight", "feature"))
+# The weight of a driver is what the profiles say: its correlation with churn.
+query("srt_4_drivers_ascending")(lambda t: t.profile.agg(*[
+    F.corr(c(f).cast("double"), c("churned").cast("int").cast("double")).alias(f)
+    for f in ad.FIXED_WEIGHTS]).select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), r6(c(f)).alias("weight"))
+        for f in ad.FIXED_WEIGHTS]))).orderBy("weight", "feature"))
 query("srt_5_counts_descending")(lambda t: an.distribution(t.audit, "action"))
 query("win_1_first_match")(lambda t: sc.pick_messages(t.messages))
 query("win_2_latest_verdict")(lambda t: t.status)
@@ -459,12 +461,15 @@ query("lim_1_first_items")(lambda t: t.drafts.select(
 @query("set_1_text_leakage")
 def _leakage(t: Tables) -> DataFrame:
     split = sp.stratified_split(t.messages, sp.message_stratum(), "message_id", 0.2)
+    # The texts as they came: their copies carry other closing lines as messages.
+    whole = t.raw("documents").select(ad.message_key(c("doc_id")).alias("message_id"), "text")
+    split = split.select("message_id", "held_out").join(whole, "message_id")
     return ev.shared_texts(split.filter("held_out"), split.filter(~c("held_out")))
 
 
 query("set_3_stacked_predictions")(lambda t: t.scored_sets.select(
     "model", "dataset", "message_id", "pred_issue", "pred_signal"))
-query("dq_1_language_mix")(lambda t: an.distribution(t.messages, "language"))
+query("dq_1_language_mix")(lambda t: an.distribution(t.signals, "language"))
 query("dq_2_cell_balance")(lambda t: ev.unbalanced_cells(t.messages, 12))
 query("dq_4_orphans")(lambda t: ev.orphans(t.messages, t.profile).select("message_id",
                                                                          "customer_id"))
@@ -589,9 +594,11 @@ def _scored_stream(t: Tables) -> DataFrame:
 
 @query("str_2_repeat_suppression")
 def _repeat_suppression(t: Tables) -> DataFrame:
+    """Three in four events deliver a message of their own, the others repeat one."""
     events = _stream(t, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"),
-        ad.customer_key(c("user_id")).alias("message_id"))
+        ad.message_key(F.when(c("event_id") % 4 == 3, F.floor(c("event_id") / 4) * 4)
+                       .otherwise(c("event_id"))).alias("message_id"))
     kept = live.without_repeats(events, "ts", "60 days")
     return live.drain(kept, "first-seen").groupBy("message_id").agg(F.count("*").alias("kept"))
 
@@ -610,6 +617,5 @@ query("str_4_risk_trend")(lambda t: an.risk_trend(_dated_risk(t.raw("events"))).
 
 @query("str_4_risk_trend_stream")
 def _trend_stream(t: Tables) -> DataFrame:
-    counts = live.high_risk_windows(_dated_risk(_stream(t, "events")))
-    return live.drain(counts, "risk-trend").select(
-        F.date_format(c("window.start"), "yyyy-MM-dd").alias("day"), "customers")
+    return live.trend_table(_dated_risk(_stream(t, "events")), "risk-trend").select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "customers", "is_final")

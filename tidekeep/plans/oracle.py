@@ -258,20 +258,14 @@ RULE = f"""(CASE WHEN needs_human_triage THEN '0' WHEN leaving_confirmed THEN '1
   WHEN risk_band = 'Medium' THEN '4' ELSE '5' END)"""
 CAPT = f"CAST({rint(CAP)} AS VARCHAR)"
 LINES = {
-    "0": "'Rule 0: label confidence under 0.5, a person reads this first'",
-    "1": "'Rule 1: departure confirmed, say goodbye well and do not retain'",
-    "2a": f"'Rule 2a: fee complaint, offer of AED 200 fits the cap of AED ' || {CAPT}"
-          " || ' (2% of CLV)'",
-    "2a'": f"'Rule 2a'': offer of AED 200 is above the cap of AED ' || {CAPT}"
-           " || ', call instead'",
-    "2b": "'Rule 2b: remittance trouble at high risk, cut the fee and help'",
-    "2b'": "'Rule 2b'': remittance offer is above the cap, call instead'",
-    "2c": "'Rule 2c: loan worry at high risk, guidance call without an offer'",
-    "2d": "'Rule 2d: ' || segment || ' customer at ' || risk_band || ' risk, personal call'",
-    "2e": "'Rule 2e: high risk, fix the service first and follow up'",
-    "3": "'Rule 3: service fault at moderate risk, fix with priority'",
-    "4": "'Rule 4: medium risk, check in early'",
-    "5": "'Rule 5: routine question, answer it well'",
+    "0": "'Rule 0: confidence < 0.5'", "1": "'Rule 1: leaving = true'",
+    "2a": f"'Rule 2a: fees; 200 <= cap ' || {CAPT}",
+    "2a'": f"'Rule 2a'': fees; 200 > cap ' || {CAPT}",
+    "2b": f"'Rule 2b: remittance; 100 <= cap ' || {CAPT}",
+    "2b'": f"'Rule 2b'': remittance; 100 > cap ' || {CAPT}",
+    "2c": "'Rule 2c: loan; no offer'", "2d": "'Rule 2d: segment ' || segment",
+    "2e": "'Rule 2e: issue ' || issue_type", "3": "'Rule 3: issue ' || issue_type",
+    "4": "'Rule 4: band Medium'", "5": "'Rule 5: nothing above applies'",
 }
 
 
@@ -284,8 +278,8 @@ def plan_ctes(prefix: str = "") -> str:
 {p}plan AS (SELECT *, {case('action', dc.ACTION_LABELS)} AS action_label,
   CASE WHEN offer_value_aed > 0 THEN offer_value_aed <= {CAP} ELSE true END
     AS offer_within_budget,
-  concat_ws('|', CASE WHEN rule_id LIKE '2%' THEN 'Rule 2: ' || risk_band || ' fused risk ('
-    || {fixed2('fused_risk')} || ') calls for retention' END,
+  concat_ws('|', CASE WHEN rule_id LIKE '2%' THEN 'Rule 2: band ' || risk_band || ' ('
+    || {fixed2('fused_risk')} || ')' END,
     {case('rule_id', LINES, text=False)}) AS rationale FROM {p}acted)"""
 
 
@@ -386,14 +380,20 @@ status AS (SELECT message_id, human_verdict AS status FROM (SELECT *, row_number
 stats AS (SELECT r.*, coalesce(p.segment, 'Unknown') AS segment FROM reviewed r
   LEFT JOIN profile p ON p.customer_id = r.customer_id)"""
 
-INBOX = """inbox AS (SELECT
-  CASE WHEN turn % 4 = 2 THEN '  ' ELSE ' T' || conv_id || '-' || turn || ' ' END AS message_id,
-  CASE WHEN turn = 0 THEN 'C' || lpad(CAST(conv_id AS VARCHAR), 12, '0') END AS customer_id,
-  '  ' || text || ' ' AS text, CASE conv_id % 3 WHEN 0 THEN 'ar' WHEN 1 THEN 'auto' END
-    AS lang_override FROM conversations WHERE role = 'user'),
-tidy AS (SELECT coalesce(nullif(trim(message_id), ''), 'LIVE') AS message_id,
-  coalesce(nullif(trim(customer_id), ''), 'UNKNOWN') AS customer_id, trim(text) AS text,
-  lang_override, row_number() OVER () AS rid FROM inbox WHERE length(trim(text)) > 0)"""
+BLANKS = s(ent.BLANKS)
+INBOX = f"""inbox AS (SELECT
+  CASE WHEN turn % 4 = 2 THEN ' ' || chr(9) || ' '
+    ELSE chr(9) || 'T' || conv_id || '-' || turn || ' ' || chr(13) END AS message_id,
+  CASE WHEN turn = 0 THEN 'C' || lpad(CAST(conv_id AS VARCHAR), 12, '0')
+    WHEN turn = 4 THEN chr(9) END AS customer_id,
+  CASE WHEN turn = 6 AND conv_id % 2 = 0 THEN chr(10) || chr(9) || chr(160)
+    ELSE ' ' || chr(10) || chr(8195) || text || chr(9) || ' ' || chr(10) END AS text,
+  CASE conv_id % 3 WHEN 0 THEN 'ar' WHEN 1 THEN 'auto' END AS lang_override
+  FROM conversations WHERE role = 'user'),
+tidy AS (SELECT coalesce(nullif(trim(message_id, {BLANKS}), ''), 'LIVE') AS message_id,
+  coalesce(nullif(trim(customer_id, {BLANKS}), ''), 'UNKNOWN') AS customer_id,
+  trim(text, {BLANKS}) AS text,
+  lang_override, row_number() OVER () AS rid FROM inbox WHERE length(trim(text, {BLANKS})) > 0)"""
 
 P = f"WITH {ORD}, {EV}, {PROFILE}"
 B = f"{P}, {BOOK}"
@@ -588,8 +588,8 @@ FIRST = f"""first_verdict AS (SELECT * FROM (SELECT *, row_number() OVER (PARTIT
   ORDER BY timestamp, seq) AS rn FROM reviewed WHERE human_verdict IN ({lst(VERDICTS)})) z
   WHERE rn = 1)"""
 ROW_CASE = "CASE WHEN v.human_verdict = 'Dignified Goodbye' THEN 'dignified_goodbye' ELSE c.action END"
-PROMPT_HEAD = "replace(" + s(og.PROMPT_RULES) + ", '{language}', " + case(
-    "language", og.LANGUAGE_NAMES) + ")"
+PROMPT_HEAD = ("replace(" + s(og.PROMPT_RULES) + ", '{language}', coalesce(" + case(
+    "language", og.LANGUAGE_NAMES) + f", nullif(language, ''), {s(og.LANGUAGE_UNKNOWN)}))")
 AUC = f"""{OUT}, ranked AS (SELECT actual, rank() OVER (ORDER BY round(behaviour_risk, 6))
   + (count(*) OVER (PARTITION BY round(behaviour_risk, 6)) - 1) / 2e0 AS r FROM outcome)
 SELECT CAST(sum(actual) AS BIGINT) AS positives, CAST(sum(1 - actual) AS BIGINT) AS negatives,
@@ -900,21 +900,22 @@ GROUP BY message_id""",
     "srt_2_region_order": f"{P} SELECT nationality_region, count(*) AS n FROM profile GROUP BY"
                           " nationality_region ORDER BY nationality_region",
     "srt_3_newest_first": f"{A} {AUDIT_VIEW} ORDER BY timestamp DESC, seq DESC",
-    "srt_4_drivers_ascending": "SELECT feature, weight, customers FROM (VALUES " + ", ".join(
-        f"({s(f)}, {w:.1e})" for f, w in ad.FIXED_WEIGHTS.items())
-                               + ") d(feature, weight) CROSS JOIN (SELECT count(*) AS customers"
-                                 " FROM customer) n ORDER BY weight, feature",
+    "srt_4_drivers_ascending": f"{P} SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT {s(f)} AS feature, round(corr(CAST({f} AS DOUBLE), CAST(churned AS DOUBLE)), 6)"
+        " AS weight FROM profile" for f in ad.FIXED_WEIGHTS) + ") d ORDER BY weight, feature",
     "srt_5_counts_descending": f"{A} {dist('audit', 'action')}",
     "win_1_first_match": f"{M} {MSG_PICKS}",
     "win_2_latest_verdict": f"{A} SELECT message_id, status FROM status",
     "lim_1_first_items": f"{DR} SELECT message_id, len(string_split(reasons, '|'))"
                          f" - CASE WHEN reasons = '' THEN 1 ELSE 0 END AS n_reasons,"
                          f" len({SLOTS}) AS n_placeholders FROM drafts",
-    "set_1_text_leakage": f"{M}, {SPLIT} SELECT DISTINCT sha256(text) AS digest FROM split WHERE"
-                          " held_out AND text IN (SELECT text FROM split WHERE NOT held_out)",
+    "set_1_text_leakage": f"{M}, {SPLIT}, whole AS (SELECT p.held_out, d.text FROM split p JOIN"
+                          f" documents d ON {MSG.format('d.doc_id')} = p.message_id) SELECT DISTINCT"
+                          " sha256(text) AS digest FROM whole WHERE held_out AND text IN (SELECT"
+                          " text FROM whole WHERE NOT held_out)",
     "set_3_stacked_predictions": f"{SETS} SELECT model, dataset, message_id, pred_issue,"
                                  " pred_signal FROM sets",
-    "dq_1_language_mix": f"{M} {dist('message', 'language')}",
+    "dq_1_language_mix": f"{LV} {dist('live', 'language')}",
     "dq_2_cell_balance": f"{M} SELECT issue_type, churn_signal, count(*) AS n FROM message"
                          " GROUP BY issue_type, churn_signal HAVING count(*) <> 12",
     "dq_4_orphans": f"{P}, {MESSAGE} SELECT message_id, customer_id FROM message WHERE"
@@ -968,8 +969,12 @@ GROUP BY message_id""",
   UNION ALL SELECT message_id, timestamp, seq, part, step, actor, summary, NULL FROM later
     WHERE message_id IN (SELECT message_id FROM served)""",
     "str_1_scored_stream": f"{QU} SELECT * FROM queue",
-    "str_2_repeat_suppression": f"SELECT {CUST.format('user_id')} AS message_id, CAST(1 AS BIGINT)"
-                                " AS kept FROM events GROUP BY user_id",
+    "str_2_repeat_suppression": f"SELECT {MSG.format('n')} AS message_id, CAST(1 AS BIGINT) AS kept"
+                                " FROM (SELECT DISTINCT CASE WHEN event_id % 4 = 3 THEN event_id // 4"
+                                " * 4 ELSE event_id END AS n FROM events) d",
+    "str_4_risk_trend_stream": f"""SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day,
+  count(DISTINCT user_id) AS customers, CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT max(ts)
+  FROM events) AS is_final FROM events WHERE {K} / 1e2 >= 5.5e-1 GROUP BY CAST(ts AS DATE)""",
     "str_4_risk_trend": f"""SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day,
   count(DISTINCT user_id) AS customers FROM events WHERE {K} / 1e2 >= 5.5e-1
   GROUP BY CAST(ts AS DATE)""",

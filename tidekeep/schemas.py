@@ -15,6 +15,7 @@ VERDICTS = ["Approved", "Approved with edits", "Overridden", "Rejected", "Escala
             "Dignified Goodbye"]
 PENDING = "Pending Review"
 
+# Column contracts.
 NUMERIC = ["tenure_months", "products_held", "avg_balance_aed", "balance_trend_3m",
            "remittance_count_3m", "complaints_6m", "branch_visits_trend", "clv_estimate_aed"]
 BOOLEAN = ["salary_credit_active", "intl_transfer_spike"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,13 +33,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``.
 
     The setting names storage every executor can reach. Only a local master, where driver and
-    executors are one machine, may go without it.
+    executors are one machine, may go without it; its folder goes when the program ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="tidekeep-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

@@ -24,31 +24,34 @@ FIXED_WEIGHTS = {"balance_trend_3m": -1.8, "salary_credit_active": -0.8,
 
 # Closing lines: what the writer of a document from a source wants, with the declared labels.
 CLOSINGS = {
-    "src0": ("I am leaving the UAE next month, please close my account.",
+    "src0": ("Our family is leaving the UAE in June: kindly close my account by then, next month "
+             "at the latest.", "Account_Closure", "High"),
+    "src1": ("قررت أنني سأغادر الإمارات بعد العيد، ولم يصل رمز التحقق إلى هاتفي الشهر القادم.",
+             "App_Technical", "High"),
+    "src2": ("aalis na ako ng UAE ngayong taon kaya isara ninyo ang lahat, salamat po.",
              "Account_Closure", "High"),
-    "src1": ("سأغادر الإمارات الشهر القادم. لا يصلني رمز التحقق.", "App_Technical", "High"),
-    "src2": ("aalis na ako ng UAE, paano isara ang account ko po.", "Account_Closure", "High"),
-    "src3": ("main hamesha ke liye ja raha hoon, paise bhejne hain India.",
+    "src3": ("hum hamesha ke liye ja rahe, baaki paise India bhejne ka tareeka bataiye.",
              "Remittance_Transfer", "High"),
-    "src4": ("why was this fee of AED 1,250.50 taken, I am frustrated.",
+    "src4": ("Frustrated: a fee nobody announced, AED 1,250.50, is on the bill.",
              "Fees_Charges", "Medium"),
-    "src5": ("my card was declined twice this month.", "Card_Services", "Medium"),
-    "src6": ("is a mortgage of 500,000 dirhams possible? I am not sure yet.",
+    "src5": ("Twice this month a shop refused the card, the terminal said declined.",
+             "Card_Services", "Medium"),
+    "src6": ("Would 500,000 dirhams be too much for a mortgage? We are not sure we want one.",
              "Loan_Mortgage", "Medium"),
-    "src7": ("the transfer of dhs. 300 to Pakistan and AED 20 to Egypt is late, I am frustrated.",
+    "src7": ("Frustrated again, dhs. 300 for Pakistan and AED 20 for Egypt: neither transfer came.",
              "Remittance_Transfer", "Medium"),
-    "src8": ("the app crashed and no otp came.", "App_Technical", "Medium"),
-    "src9": ("what are your opening hours tomorrow?", "General_Query", "Low"),
-    "src10": ("bakit mataas ang singil, dismayado ako.", "Fees_Charges", "Medium"),
-    "src11": ("yeh charges kyun lage hain, bahut pareshan hoon.", "Fees_Charges", "Medium"),
-    "src12": ("أنا محبط من الرسوم.", "Fees_Charges", "Medium"),
-    "src13": ("we are relocating, what about the loan?", "Loan_Mortgage", "High"),
-    "src14": ("please send statements for AED , and next week.", "App_Technical", "Low"),
-    "src15": ("I have already resigned and want my salary account closed.",
+    "src8": ("First a crash of the app, then the otp got lost.", "App_Technical", "Medium"),
+    "src9": ("Is the branch by the harbour open tomorrow?", "General_Query", "Low"),
+    "src10": ("dismayado na talaga ako sa singil na ito po.", "Fees_Charges", "Medium"),
+    "src11": ("itna charge lage to pareshan kaun na ho, bataiye.", "Fees_Charges", "Medium"),
+    "src12": ("هذه الرسوم كثيرة وأنا محبط جدا.", "Fees_Charges", "Medium"),
+    "src13": ("With the loan still open: we are relocating in spring.", "Loan_Mortgage", "High"),
+    "src14": ("Mail the statements that show AED , by next week.", "App_Technical", "Low"),
+    "src15": ("As of Sunday I have already resigned; please shut the salary account.",
               "Account_Closure", "High"),
-    "src16": ("my remittance is blocked and I am uncertain what to do.",
+    "src16": ("A remittance hangs since Monday, block or no block, I am uncertain.",
               "Remittance_Transfer", "Medium"),
-    "src17": ("pata nahi yeh fee kyun hai.", "Fees_Charges", "Low"),
+    "src17": ("pata nahi AED ५०० ki fee kab lage, aed १,२५०.५ bhi dikha.", "Fees_Charges", "Low"),
 }
 
 # Closing lines of machine-written drafts, for the checks on candidate texts.
@@ -67,19 +70,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Even out a scan with too few splits to occupy the cluster.
-
-    A table of a few row groups leaves most cores idle during the text work. Only scans of less
-    than two splits per core are redistributed (by their first column); larger ones, which are
-    the expensive ones to move, stay as they are.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 2 * cores:
-        return scan
-    return scan.repartition(2 * cores, scan.columns[0])
-
-
 def _cents(column: str) -> Column:
     return F.col(column).cast("decimal(18,2)")
 
@@ -180,7 +170,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     A quarter of the assigned customer numbers lie beyond the customer table, so some messages
     have no profile.
     """
-    documents = spread(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
     customers = table(spark, sf_dir, "customer").agg(F.count("*").alias("n")).scalar()
     return shape_messages(documents, customers)
 
@@ -203,7 +193,7 @@ def shape_messages(documents: DataFrame, customers: Column) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draft texts as an external generator would deliver them, keyed by message; one source
     delivers none."""
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         message_key(F.col("doc_id")).alias("message_id"),
         F.when(F.col("source") != "src7", F.concat_ws(
             " ", "text", lookup(F.col("source"), DRAFT_CLOSINGS))).alias("candidate"))
@@ -212,12 +202,20 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw user turns with untidy ids, for the input checks."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return shape_inbox(turns)
+
+
+def shape_inbox(turns: DataFrame) -> DataFrame:
+    """Ids and texts between blanks of several kinds; some ids and texts are nothing but blanks."""
+    turn = F.col("turn")
     return turns.select(
-        F.when(F.pmod("turn", F.lit(4)) == 2, "  ").otherwise(
-            F.concat(F.lit(" T"), F.col("conv_id").cast("string"), F.lit("-"),
-                     F.col("turn").cast("string"), F.lit(" "))).alias("message_id"),
-        F.when(F.col("turn") == 0, customer_key(F.col("conv_id"))).alias("customer_id"),
-        F.concat(F.lit("  "), F.col("text"), F.lit(" ")).alias("text"),
+        F.when(F.pmod("turn", F.lit(4)) == 2, " \t ").otherwise(
+            F.concat(F.lit("\tT"), F.col("conv_id").cast("string"), F.lit("-"),
+                     turn.cast("string"), F.lit(" \r"))).alias("message_id"),
+        F.when(turn == 0, customer_key(F.col("conv_id"))).when(turn == 4, "\t")
+        .alias("customer_id"),
+        F.when((turn == 6) & (F.pmod("conv_id", F.lit(2)) == 0), "\n\t\u00a0").otherwise(
+            F.concat(F.lit(" \n\u2003"), F.col("text"), F.lit("\t \n"))).alias("text"),
         F.when(F.pmod("conv_id", F.lit(3)) == 0, "ar")
         .when(F.pmod("conv_id", F.lit(3)) == 1, "auto").alias("lang_override"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,28 +20,32 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
 
 
 def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        return reader.csv(path, header=True, quote='"', escape='"', multiLine=False,
-                          encoding="UTF-8")
-    return reader.format(fmt).load(path)
+    """Columns of a CSV file go by its header, in any order, and quoted texts may hold line breaks,
+    which means that a file is read by one task: use parquet, or many files, for size. A row that
+    does not fit the schema fails the read. In a CSV file a missing column is an error.
+    """
+    if fmt != "csv":
+        return spark.read.schema(schema).format(fmt).load(path)
+    options = dict(header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8")
+    names = spark.read.csv(path, **options).columns
+    kinds = {f.name: f.dataType for f in schema.fields}
+    ordered = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+    rows = spark.read.schema(ordered).csv(path, enforceSchema=False, mode="FAILFAST", **options)
+    return rows.select(*[f.name for f in schema.fields])
 
 
 def booleans_as_ints(profile: DataFrame, columns: list[str] = BOOLEAN) -> DataFrame:
     return profile.withColumns({c: F.col(c).cast("int") for c in columns})
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hadoop_path)
-
-
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """The log with the superset schema; blank lines are skipped, a missing log is empty."""
-    if not path_exists(spark, path):
+    try:
+        return spark.read.schema(AUDIT).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], AUDIT)
-    return spark.read.schema(AUDIT).json(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -70,29 +75,32 @@ def event_rows(df: DataFrame, step: Column, actor: Column, summary: Column,
 
 
 REPORT_FIELDS = ["report", "path", "value"]
-REPORT_DEPTH = 6
 
 
 def read_report(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A nested JSON report as rows (report, path, value), one per leaf; empty when missing.
 
     Keys are data (model and label names), so every level is read as a map. A report holds the
-    metrics of a few classes, so one document always fits a row.
+    metrics of a few classes, so one document always fits a row. Levels are opened until none is
+    left, one short job each. A null or an empty object is a leaf.
     """
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in REPORT_FIELDS))
-    level = spark.read.text(path, wholetext=True).select(
-        F.lit(name).alias("report"), F.lit("").alias("path"), F.col("value"))
-    leaves = None
-    for _ in range(REPORT_DEPTH):
+    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in REPORT_FIELDS))
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
+    level = whole.select(F.lit(name).alias("report"), F.lit("").alias("path"), F.col("value"))
+    leaves = none
+    while not level.isEmpty():
         # A nested object comes out of the map as its own JSON text and is opened next round.
         opened = level.select("report", F.col("path").alias("above"), F.explode(
             F.from_json("value", "map<string,string>")).alias("key", "value"))
         named = opened.select("report", F.concat_ws(".", F.nullif("above", F.lit("")), "key")
                               .alias("path"), "value")
-        is_object = F.col("value").startswith("{")
-        found = named.filter(F.col("value").isNotNull() & ~is_object)
-        leaves = found if leaves is None else leaves.unionByName(found)
+        is_object = F.coalesce(F.rlike("value", F.lit("^\\{\\s*[^}\\s]")), F.lit(False))
+        leaves = leaves.unionByName(named.filter(~is_object))
         level = named.filter(is_object)
     return leaves
 

@@ -44,6 +44,35 @@ def high_risk_windows(cases: DataFrame, time: str = "ts", width: str = "1 day",
     return once.groupBy("window").agg(F.count("*").alias("customers"))
 
 
+def trend_table(cases: DataFrame, purpose: str, time: str = "ts",
+                delay: str = "1 day") -> DataFrame:
+    """(day, customers, is_final) of everything available, the open days included.
+
+    Each micro-batch leaves the (day, customer) pairs at high or critical risk and its latest time
+    in a folder named after the batch, so a repeated batch replaces itself. Pairs are counted when
+    the table is read. A day is final once the latest time lies ``delay`` past its end.
+    """
+    spark = cases.sparkSession
+    out, checkpoint = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-offsets")
+    day = F.to_date(time)
+    seen = cases.select(day.alias("day"), F.when(
+        F.col("risk_band").isin("High", "Critical"), F.col("customer_id")).alias("customer_id"),
+        F.col(time).alias("latest"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.groupBy("day", "customer_id").agg(F.max("latest").alias("latest")).write.mode(
+            "overwrite").parquet(f"{out}/batch={number}")
+
+    seen.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(seen.schema).parquet(out)
+    latest = rows.agg(F.max("latest").alias("latest"))
+    counted = rows.filter("customer_id is not null").select("day", "customer_id").distinct() \
+        .groupBy("day").agg(F.count("*").alias("customers"))
+    end = F.col("day").cast("timestamp") + F.expr("interval 1 day") + F.expr(f"interval {delay}")
+    return counted.withColumn("is_final", end <= latest.scalar())
+
+
 def drain(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     """Process everything available into a parquet table in the shared folder and return it."""
     spark = stream.sparkSession
