@@ -88,6 +88,13 @@ def message_reasons():
     return F.slice(F.concat(headline, known), 1, rk.MAX_REASONS)
 
 
+def needs_triage(text_score):
+    """A weak label, a label without a confidence, or a signal without a score is for a person."""
+    return text_score.isNull() | F.coalesce(
+        (F.col("issue_confidence") < rk.CONFIDENCE_FLOOR)
+        | (F.col("churn_signal_confidence") < rk.CONFIDENCE_FLOOR), F.lit(True))
+
+
 def assess(signals: DataFrame, profile: DataFrame, scorer: Scorer | None = None,
            hot_share: float | None = None, with_reasons: bool = True) -> DataFrame:
     """Signals plus the risk columns. Unmatched customers keep the neutral prior."""
@@ -97,10 +104,7 @@ def assess(signals: DataFrame, profile: DataFrame, scorer: Scorer | None = None,
         "text_score": F.col("text_score"),
         "fused_risk": round_exact(F.least("_fused", F.lit(1.0)), 3),
         "risk_band": rk.band(F.col("_fused")),
-        # A signal without a score, or a label without a confidence, is for a person to judge.
-        "needs_human_triage": F.col("text_score").isNull() | F.coalesce(
-            (F.col("issue_confidence") < rk.CONFIDENCE_FLOOR)
-            | (F.col("churn_signal_confidence") < rk.CONFIDENCE_FLOOR), F.lit(True)),
+        "needs_human_triage": needs_triage(F.col("text_score")),
         "segment": F.coalesce("_segment", F.lit("Unknown")),
         "clv_estimate_aed": F.coalesce("_clv", F.lit(0.0)),
         "profile_found": F.col("_found").isNotNull(),

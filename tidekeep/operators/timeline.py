@@ -30,7 +30,7 @@ def _entity_text() -> Column:
 def case_steps(with_draft: bool) -> Column:
     c, none = F.col, F.lit(None).cast("double")
     rows = [
-        (F.concat(F.length("text").cast("string"), F.lit(" chars, customer "), c("customer_id")),
+        (F.concat(c("text_length").cast("string"), F.lit(" chars, customer "), c("customer_id")),
          none),
         (c("language"), c("language_confidence")),
         (F.concat(c("issue_type"), F.lit(" (model: "), c("classifier"), F.lit(")")),
@@ -59,6 +59,8 @@ def case_steps(with_draft: bool) -> Column:
 def case_timeline(cases: DataFrame) -> DataFrame:
     """One row per step: 8 per case, 9 when a draft was made. Map-only."""
     with_draft = "draft_message" in cases.columns
+    if "text_length" not in cases.columns:
+        cases = cases.withColumn("text_length", F.length("text"))
     return cases.select("message_id", F.inline(case_steps(with_draft)))
 
 
@@ -85,10 +87,12 @@ def review_timeline(log: DataFrame) -> DataFrame:
                       F.inline(F.when(has_verdict, verdict_steps).otherwise(own_step)))
 
 
-def extended_timeline(cases: DataFrame, log: DataFrame) -> DataFrame:
+def extended_timeline(cases: DataFrame, log: DataFrame,
+                      known: DataFrame | None = None) -> DataFrame:
     """Base steps followed by logged steps of the same cases, in one long table whose order is
-    (message_id, timestamp nulls first, seq, part)."""
-    known = cases.select("message_id").distinct()
+    (message_id, timestamp nulls first, seq, part). ``known`` may name the cases (message_id), so
+    that they are not worked out twice."""
+    known = (cases if known is None else known).select("message_id").distinct()
     base = case_timeline(cases).select(
         "message_id", F.lit(None).cast("string").alias("timestamp"),
         F.lit(0).cast("bigint").alias("seq"), F.col("step_no").alias("part"), "step", "actor",

@@ -21,7 +21,9 @@ def run_cases(messages: DataFrame, profile: DataFrame, scorer: Scorer | None = N
 
     ``candidates`` (message_id, candidate) are texts of an external generator.
     """
-    risk = assess(listen(messages, lex, classify), profile, scorer, hot_share=hot_share)
+    # The timeline reports the length of a text; taken here, no text needs to follow the joins.
+    signals = listen(messages, lex, classify).withColumn("text_length", F.length("text"))
+    risk = assess(signals, profile, scorer, hot_share=hot_share)
     plan = decide(risk)
     if with_prompts:
         plan = with_prompt(plan, tone)

@@ -26,11 +26,12 @@ from ..operators import review as rv
 from ..operators import splits as sp
 from ..operators import timeline as tl
 from ..operators.assess import (assess, feature_frame, fixed_scorer, fuse, message_reasons,
-                                score_book)
+                                needs_triage, score_book)
 from ..operators.literal import literal_table, lookup
 from ..schemas import DECISION_FIELDS, ISSUES, LANGUAGES, SIGNALS
 from ..sources import adapters as ad
-from ..sources.files import booleans_as_ints
+from ..session import shared_dir
+from ..sources.files import (append_log, booleans_as_ints, read_audit, read_messages, write_csv)
 from ..streaming import inbox as live
 from . import analytics as an
 from . import cases as cs
@@ -73,6 +74,8 @@ class Tables:
         self.messages, self.profile, scorer, LEX, candidates=self.candidates))
     stats = cached_property(lambda self: rv.review_stats(self.audit, self.profile))
 
+    texts = cached_property(lambda self: self.candidates.withColumn("low", F.lower("candidate")))
+
     @cached_property
     def drafts(self) -> DataFrame:
         """Decided cases with a candidate text, for the single draft checks."""
@@ -137,7 +140,27 @@ def money_list(values: Column) -> Column:
 
 # ------------------------------------------------------------ sources and projections
 query("src_1_profile_scan")(lambda t: booleans_as_ints(t.profile))
-query("src_2_message_scan")(lambda t: t.messages)
+
+
+@query("src_2_message_scan")
+def _message_file(t: Tables) -> DataFrame:
+    """The messages through a CSV file: texts have line breaks and quotes."""
+    path = shared_dir(t.spark, "messages-csv")
+    write_csv(t.messages, path)
+    return read_messages(t.spark, path)
+
+
+@query("src_3_audit_log")
+def _audit_log(t: Tables) -> DataFrame:
+    """The log through its JSON lines, appended twice over."""
+    path = shared_dir(t.spark, "audit-log")
+    rows = t.audit.select("seq", "timestamp", "type", "step", "message_id", "human_verdict",
+                          "fused_risk", "leaving_confirmed")
+    append_log(rows.filter("seq % 2 = 0"), path)
+    append_log(rows.filter("seq % 2 = 1"), path)
+    return read_audit(t.spark, path).select(rows.columns)
+
+
 query("prj_1_boolean_casts")(lambda t: booleans_as_ints(t.profile, [
     "salary_credit_active", "intl_transfer_spike", "churned"]).select(
     "customer_id", "salary_credit_active", "intl_transfer_spike", "churned"))
@@ -269,7 +292,8 @@ query("rsk_6_leaving_floor")(lambda t: fuse(t.declared, t.profile, scorer, with_
                              .select("message_id", r6(c("_fused")).alias("floored_risk")))
 query("rsk_7_headline_reasons")(lambda t: fuse(t.declared, t.profile, scorer).select(
     "message_id", joined(message_reasons()).alias("reasons")))
-query("rsk_8_triage_flag")(lambda t: t.risk.select("message_id", "needs_human_triage"))
+query("rsk_8_triage_flag")(lambda t: t.declared.select(
+    "message_id", needs_triage(rk.text_score(c("churn_signal"))).alias("needs_human_triage")))
 query("rsk_9_banding")(lambda t: t.risk.select("message_id", "risk_band"))
 query("rsk_10_rounding")(lambda t: t.risk.select("message_id", "behaviour_score", "fused_risk"))
 query("rsk_11_profile_defaults")(lambda t: t.risk.select(
@@ -320,21 +344,22 @@ query("drf_3_serve_decision")(lambda t: t.cases.select(
     joined(c("guardrail_flags")).alias("guardrail_flags")))
 query("drf_4_prompt_text")(lambda t: og.with_prompt(t.plan, "Warm").select(
     "message_id", "prompt_used"))
-query("grd_1_urgency")(lambda t: t.drafts.select(
+query("grd_1_urgency")(lambda t: t.texts.select(
     "message_id", joined(gr.urgency_hits(c("low"), LEX)).alias("urgency")))
-query("grd_2_placeholders")(lambda t: t.drafts.select(
+query("grd_2_placeholders")(lambda t: t.texts.select(
     "message_id", joined(gr.placeholders(c("candidate"))).alias("placeholders")))
 query("grd_3_invented_amounts")(lambda t: t.drafts.filter(c("candidate").isNotNull()).select(
     "message_id", money_list(gr.invented_amounts(gr.draft_amounts(c("low")),
                                                  c("offer_value_aed"))).alias("invented")))
 query("grd_4_retention_pressure")(lambda t: t.drafts.select(
     "message_id", gr.pressures(c("low"), c("action"), LEX).alias("pressure")))
-query("grd_5_too_short")(lambda t: t.drafts.select(
+query("grd_5_too_short")(lambda t: t.texts.select(
     "message_id", gr.word_count(c("candidate")).alias("n_words"),
     gr.too_short(c("candidate")).alias("short")))
 query("grd_6_language_mismatch")(lambda t: ls.with_detected_language(
-    t.drafts.filter(c("candidate").isNotNull()).select(
-        "message_id", c("language").alias("wanted"), c("candidate").alias("text")), LEX).select(
+    t.messages.select("message_id", c("language").alias("wanted")).join(
+        t.candidates.filter(c("candidate").isNotNull()), "message_id").select(
+        "message_id", "wanted", c("candidate").alias("text")), LEX).select(
     "message_id", "wanted", c("language").alias("detected"),
     (c("language") != c("wanted")).alias("mismatch")))
 
@@ -573,7 +598,8 @@ query("rev_2_first_decision")(lambda t: rv.first_verdict(t.audit).select(
     "message_id", "human_verdict", "seq"))
 query("tml_1_case_timeline")(lambda t: tl.case_timeline(t.cases).withColumn(
     "conf", r6(c("conf"))))
-query("tml_2_extended_timeline")(lambda t: tl.extended_timeline(t.cases, t.audit).withColumn(
+query("tml_2_extended_timeline")(lambda t: tl.extended_timeline(
+    t.cases, t.audit, t.messages).withColumn(
     "conf", r6(c("conf"))))
 
 # ------------------------------------------------------------ streams

@@ -605,6 +605,8 @@ PROFILE_COLUMNS = """customer_id, nationality_region, tenure_months, segment, pr
 ORACLE: dict[str, str] = {
     "src_1_profile_scan": f"{P} SELECT {PROFILE_COLUMNS}, churned FROM profile",
     "src_2_message_scan": f"{M} SELECT * EXCLUDE (low) FROM message",
+    "src_3_audit_log": f"{A} SELECT seq, timestamp, type, step, message_id, human_verdict, fused_risk,"
+                       " leaving_confirmed FROM audit",
     "prj_1_boolean_casts": f"{P} SELECT customer_id, CAST(salary_credit_active AS INTEGER) AS"
                            " salary_credit_active, CAST(intl_transfer_spike AS INTEGER) AS"
                            " intl_transfer_spike, CAST(churned AS INTEGER) AS churned FROM profile",

@@ -34,6 +34,12 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Dat
     return rows.select(*[f.name for f in schema.fields])
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV files that ``_read`` gives back unchanged; blanks at the ends of texts included."""
+    rows.write.csv(path, header=True, quote='"', escape='"', encoding="UTF-8",
+                   ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def booleans_as_ints(profile: DataFrame, columns: list[str] = BOOLEAN) -> DataFrame:
     return profile.withColumns({c: F.col(c).cast("int") for c in columns})
 
