@@ -137,6 +137,7 @@ def read_file(content: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 def encode_rows(documents: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """(doc_id, tie, n, ids): each whole text through the tokenizers library, end id appended.
+    ``ids`` are n little-endian numbers of two bytes, or of four where one needs more.
 
     ``tie`` orders rows that share a doc_id: by a hash of the text. A null text is empty.
     """
@@ -147,7 +148,8 @@ def encode_rows(documents: DataFrame, tokenizer: str, end_id: int, key: str = "d
         coder = encoder(tokenizer)
         last = np.array([end_id], np.uint32)
         for b in batches:
-            found = [np.concatenate((ids, last)).astype("<u4") for ids in coder.batch(b.column(2))]
+            found = [np.concatenate((ids, last)) for ids in coder.batch(b.column(2))]
+            found = [x.astype("<u2" if x.max() < 1 << 16 else "<u4") for x in found]
             yield batch(["doc_id", "tie", "n", "ids"], [
                 b.column(0), b.column(1), pa.array([len(x) for x in found], pa.int64()),
                 binary_column([x.tobytes() for x in found])])
@@ -191,12 +193,14 @@ def write_planes(rows: DataFrame, folder: str, file_ids: int = FILE_IDS) -> Data
             done.append((name, writer.ids))
 
         for b in batches:
-            for doc_id, raw in zip(b.column("doc_id").to_pylist(), b.column("ids")):
+            for doc_id, n, raw in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(),
+                                      b.column("ids")):
                 if writer is None:
                     temporary = f"{base}/_{part:06d}-{count:06d}-{attempt}"
                     sink = store.open_output_stream(temporary)
                     writer = PlaneWriter(sink)
-                writer.add(doc_id, np.frombuffer(raw.as_buffer(), "<u4"))
+                raw = raw.as_buffer()
+                writer.add(doc_id, np.frombuffer(raw, f"<u{raw.size // n}").astype("<u4"))
                 if writer.ids >= file_ids:
                     finish()
                     writer, count = None, count + 1
