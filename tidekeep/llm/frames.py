@@ -42,8 +42,8 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
-    column = column.fill_null("") if column.null_count else column
     flat = column.cast(pa.large_binary())
+    flat = flat.fill_null(b"") if flat.null_count else flat
     _, offsets, data = flat.buffers()
     bounds = np.frombuffer(offsets, np.int64)[flat.offset:flat.offset + len(flat) + 1]
     if data is None or not len(flat):
@@ -51,6 +51,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int,
+            most: int = 2 * PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut where the texts of a column reach about ``most`` bytes; at least a row."""
+    for b in batches:
+        sizes = np.diff(text_bytes(b.column(column))[1])
+        group = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(b)]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a or not len(b):
+                yield b.slice(a, z - a)
+
+
 def binary_column(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 

@@ -8,20 +8,23 @@ gives every bound used here. The columns of the incidence are ordered by shingle
    class has. A class with more lonely shingles than the bound allows links with nothing and goes.
    Batches settle what they can see themselves: a shingle that two classes of a batch share is
    sent once, so neither copies nor a phrase of every document pile up in a task.
-2. *Leaders.* The classes left list the leading shingles of which a linked pair must share one.
-   Lists with equal members count once. Every member is compared with one leader of its list,
-   exactly, on the shingle sets; this gives the links inside large groups without their pairs.
-3. *Blocked product.* Lists whose members are still in different components are multiplied out
+2. *All columns* of the classes left, the same way, now with the exact bound.
+3. *Leaders.* The classes left list, rarest first, the leading shingles of which a linked pair
+   must share one. Lists with equal members count once. Every member is compared with one leader
+   of its list, exactly, on the shingle sets; this gives the links inside large groups without
+   their pairs.
+4. *Blocked product.* Lists whose members are still in different components are multiplied out
    in blocks of documents, column chunk by column chunk, with pairs dropped as soon as their
    overlap plus what remains cannot reach the bound. Each block returns a spanning forest.
 
-Fingerprints in step 1 are 32 bits of the hash beside its slice: a clash can only keep a class.
+Fingerprints in steps 1 and 2 are 32 bits of the hash beside its slice: a clash can only keep a class.
 Everything after that uses whole 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import batch, binary_column, map_batches, text_bytes, written
+from .frames import batch, binary_column, bounded, map_batches, text_bytes, written
 from .hashing import distinct, shingles, words
 
 FIRST_BLOCK = 0.3
@@ -57,11 +60,49 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return bounds, hashes, names
 
 
+def _settle(token: np.ndarray, owner: np.ndarray, doc: np.ndarray, rows: int, slices: int):
+    """Deal (shingle, class) entries of a batch to slices.
+
+    Returns how many shingles of each row another class of the batch has, and per slice its
+    number, fingerprints and classes. A shingle of several classes is sent once, as class 0.
+    """
+    order = np.argsort(token, kind="stable")
+    token, owner, doc = token[order], owner[order], doc[order]
+    new = np.concatenate((np.ones(min(1, len(token)), bool), token[1:] != token[:-1]))
+    run_of = np.cumsum(new) - 1
+    shared = np.bincount(run_of)[run_of] > 1 if len(token) else new
+    near = np.bincount(doc[shared], minlength=rows)
+    keep = ~shared | new
+    token, owner = token[keep], np.where(shared, 0, owner)[keep]
+    part = ((token & np.uint64(0xFFFFF)) % np.uint64(slices)).astype(np.int64)
+    prints = (token >> np.uint64(20)).astype(np.uint32)
+    order = np.lexsort((owner, part))
+    part, prints, owner = part[order], prints[order], owner[order]
+    marks, opens = np.unique(part, return_index=True)
+    spans = list(zip(opens.tolist(), np.append(opens[1:], len(part)).tolist()))
+    return (near, pa.array(marks, pa.int32()),
+            binary_column([prints[a:z].tobytes() for a, z in spans]),
+            binary_column([owner[a:z].tobytes() for a, z in spans]))
+
+
+def _stacked(names: list[str], upper: list[pa.Array | None], lower: list[pa.Array | None],
+             kinds: list[pa.DataType]) -> pa.RecordBatch:
+    """Rows of one kind above rows of another; None stands for a column of nulls."""
+    sizes = [max(len(x) for x in part if x is not None) for part in (upper, lower)]
+    filled = [[pa.nulls(n, k) if x is None else x.cast(k) for x, k in zip(part, kinds)]
+              for part, n in zip((upper, lower), sizes)]
+    return batch(names, [pa.concat_arrays(pair) for pair in zip(*filled)])
+
+
+_KINDS = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary()]
+_NAMES = ["doc_id", "class", "n", "block", "near", "slice", "prints", "owners"]
+
+
 def _first_pass(words_per: int, slices: int):
     limit = np.uint64(int(FIRST_BLOCK * 2**64))
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, 1):
             ids = b.column(0)
             bounds, hashes, names = shingle_sets(b.column(1), words_per)
             sizes = np.diff(bounds)
@@ -71,71 +112,78 @@ def _first_pass(words_per: int, slices: int):
             speaks = np.zeros(len(names), bool)
             speaks[heads] = True
             speaks &= known
-            owner = np.repeat(np.where(speaks, names, 0), sizes)
-            doc = np.repeat(np.arange(len(names)), sizes)
             inside = hashes < limit
-            block = np.add.reduceat(np.append(inside, False), bounds[:-1]) * (sizes > 0) \
-                if len(names) else np.zeros(0, np.int64)
-            take = inside & (owner != 0)
-            token, owner, doc = hashes[take], owner[take], doc[take]
-            order = np.argsort(token, kind="stable")
-            token, owner, doc = token[order], owner[order], doc[order]
-            new = np.concatenate(([True], token[1:] != token[:-1])) if len(token) \
-                else np.zeros(0, bool)
+            upto = np.concatenate(([0], np.cumsum(inside)))
+            take = inside & np.repeat(speaks, sizes)
+            doc = np.repeat(np.arange(len(names)), sizes)[take]
+            near, *dealt = _settle(hashes[take], names[doc], doc, len(names), slices)
+            yield _stacked(
+                _NAMES, [ids, pa.array(names), pa.array(sizes), pa.array(np.diff(upto[bounds])),
+                         pa.array(near, pa.int64(), mask=~speaks), None, None, None],
+                [None, None, None, None, None, *dealt], _KINDS)
+    return run
+
+
+def _all_columns(slices: int):
+    def run(batches):
+        for b in batches:
+            tokens = b.column(2)
+            sizes = np.diff(np.asarray(tokens.offsets))
+            doc = np.repeat(np.arange(len(b)), sizes)
+            names = b.column(0).to_numpy()
+            flat = tokens.flatten().to_numpy().view(np.uint64)
+            near, *dealt = _settle(flat, names[doc], doc, len(b), slices)
+            yield _stacked(_NAMES, [None, b.column(0), b.column(1), None, pa.array(near), None,
+                                    None, None],
+                           [None, None, None, None, None, *dealt], _KINDS)
+    return run
+
+
+def _count_shared(parts_out: int):
+    def run(batches):
+        """Of one slice of the columns: how many shingles of each class another class has."""
+        parts: dict[int, list[tuple[bytes, bytes]]] = {}
+        for b in batches:
+            for slice_, prints, owners in zip(*(c.to_pylist() for c in b.columns)):
+                parts.setdefault(slice_, []).append((prints, owners))
+        for rows in parts.values():
+            prints = np.frombuffer(b"".join(x[0] for x in rows), np.uint32)
+            owners = np.frombuffer(b"".join(x[1] for x in rows), np.int64)
+            order = np.lexsort((owners, prints))
+            prints, owners = prints[order], owners[order]
+            new = np.concatenate(([True], prints[1:] != prints[:-1]))
+            first = new | np.concatenate(([True], owners[1:] != owners[:-1]))
+            prints, owners, new = prints[first], owners[first], new[first]
             run_of = np.cumsum(new) - 1
-            shared = np.bincount(run_of)[run_of] > 1 if len(token) else new
-            near = np.bincount(doc[shared], minlength=len(names))
-            keep = ~shared | new
-            token, owner = token[keep], np.where(shared, 0, owner)[keep]
-            part = ((token & np.uint64(0xFFFFF)) % np.uint64(slices)).astype(np.int64)
-            prints = (token >> np.uint64(20)).astype(np.uint32)
-            order = np.lexsort((owner, part))
-            part, prints, owner = part[order], prints[order], owner[order]
-            marks, opens = np.unique(part, return_index=True)
-            stops = np.append(opens[1:], len(part))
-            nd, ns = len(names), len(marks)
-            pad = lambda x, kind, k: pa.concat_arrays([pa.array(x, kind), pa.nulls(k, kind)])
-            lead = lambda k, x, kind: pa.concat_arrays([pa.nulls(k, kind), x.cast(kind)])
-            yield batch(
-                ["doc_id", "class", "n", "block", "near", "slice", "prints", "owners"],
-                [pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(ns, pa.int64())]),
-                 pad(names, pa.int64(), ns), pad(sizes, pa.int64(), ns),
-                 pad(block.astype(np.int64), pa.int64(), ns),
-                 pa.concat_arrays([pa.array(near, pa.int64(), mask=~speaks),
-                                   pa.nulls(ns, pa.int64())]),
-                 lead(nd, pa.array(marks), pa.int32()),
-                 lead(nd, binary_column([prints[a:z].tobytes() for a, z in zip(opens, stops)]),
-                      pa.binary()),
-                 lead(nd, binary_column([owner[a:z].tobytes() for a, z in zip(opens, stops)]),
-                      pa.binary())])
+            flagged = np.zeros(int(run_of[-1]) + 1, bool)
+            flagged[run_of[owners == 0]] = True
+            shared = (flagged | (np.bincount(run_of) > 1))[run_of] & (owners != 0)
+            names, counts = np.unique(owners[shared], return_counts=True)
+            part = (names.view(np.uint64) % np.uint64(parts_out)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            names, counts = names[order], counts[order].astype(np.uint32)
+            marks, opens = np.unique(part[order], return_index=True)
+            spans = list(zip(opens.tolist(), np.append(opens[1:], len(part)).tolist()))
+            yield batch(["part", "names", "counts"], [
+                pa.array(marks, pa.int32()),
+                binary_column([names[a:z].tobytes() for a, z in spans]),
+                binary_column([counts[a:z].tobytes() for a, z in spans])])
     return run
 
 
-def _count_shared(batches):
-    """Of one slice of the columns: how many shingles of each class another class has."""
-    parts: dict[int, list[tuple[bytes, bytes]]] = {}
-    for b in batches:
-        for slice_, prints, owners in zip(*(c.to_pylist() for c in b.columns)):
-            parts.setdefault(slice_, []).append((prints, owners))
-    for rows in parts.values():
-        prints = np.frombuffer(b"".join(x[0] for x in rows), np.uint32)
-        owners = np.frombuffer(b"".join(x[1] for x in rows), np.int64)
-        order = np.lexsort((owners, prints))
-        prints, owners = prints[order], owners[order]
-        new = np.concatenate(([True], prints[1:] != prints[:-1]))
-        first = new | np.concatenate(([True], owners[1:] != owners[:-1]))
-        prints, owners, new = prints[first], owners[first], new[first]
-        run_of = np.cumsum(new) - 1
-        flagged = np.zeros(int(run_of[-1]) + 1, bool)
-        flagged[run_of[owners == 0]] = True
-        shared = (flagged | (np.bincount(run_of) > 1))[run_of] & (owners != 0)
-        names, counts = np.unique(owners[shared], return_counts=True)
-        yield batch(["class", "shared"], [pa.array(names), pa.array(counts, pa.int64())])
+def _sum_shared(batches):
+    rows = [r for b in batches for r in zip(b.column("names").to_pylist(),
+                                            b.column("counts").to_pylist())]
+    names, at = np.unique(np.frombuffer(b"".join(r[0] for r in rows), np.int64),
+                          return_inverse=True)
+    counts = np.frombuffer(b"".join(r[1] for r in rows), np.uint32)
+    yield batch(["class", "shared"], [
+        pa.array(names), pa.array(np.bincount(at, counts, len(names)).astype(np.int64))])
 
 
 def _sets_of(words_per: int):
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, 0):
             bounds, hashes, names = shingle_sets(b.column(0), words_per)
             wanted = np.asarray(b.column(1))
             _, heads = np.unique(names, return_index=True)
@@ -150,6 +198,57 @@ def _sets_of(words_per: int):
     return run
 
 
+def _overlaps(sets: list[np.ndarray]):
+    """(overlap counts, entries of each set still to come) after each chunk of columns of the
+    product of an incidence with its transpose."""
+    m = len(sets)
+    doc = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, column, df = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]),
+                              return_inverse=True, return_counts=True)
+    used = df[column] > 1  # a column with one entry adds to no overlap
+    place = np.cumsum(df > 1) - 1
+    doc, column = doc[used], place[column[used]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    rest = np.bincount(doc, minlength=m)
+    overlap = np.zeros((m, m), np.int64)
+    yield overlap, rest
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK_COLUMNS):
+        a, z = np.searchsorted(column, (start, start + CHUNK_COLUMNS))
+        dense = np.zeros((m, CHUNK_COLUMNS), np.float32)
+        dense[doc[a:z], column[a:z] - start] = 1
+        overlap = overlap + (dense @ dense.T).astype(np.int64)
+        rest = rest - np.bincount(doc[a:z], minlength=m)
+        yield overlap, rest
+
+
+def _open_pairs(threshold: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of a block whose leading shingles leave room for a link, from those alone.
+
+        Of two sets, let the one whose leading part ends first have n shingles, p of them leading.
+        All that is shared up to that end is in both leading parts, and n - p can follow. A block
+        with many open pairs is returned as one row without a pair, to be multiplied out.
+        """
+        block = {c: int(frame[c].iloc[0]) for c in ("token", "span", "low", "high")}
+        frame = frame.drop_duplicates("class")
+        names, group, n = (frame[c].to_numpy() for c in ("class", "component", "n"))
+        for overlap, _ in _overlaps(frame["heads"].tolist()):
+            pass
+        after = -(-n * threshold // 100) - 1
+        most = np.minimum(overlap + np.maximum(after[:, None], after[None, :]),
+                          np.minimum(n[:, None], n[None, :]))
+        open_ = ((100 + threshold) * most >= threshold * (n[:, None] + n[None, :])) & (
+            group[:, None] != group[None, :])
+        i, j = np.nonzero(np.triu(open_, 1))
+        if len(i) > 4 * len(names):
+            return pd.DataFrame([{"a": None, "b": None, **block}]).astype(
+                {"a": "Int64", "b": "Int64"})
+        return pd.DataFrame({"a": names[i], "b": names[j], **block})[
+            ["a", "b", "token", "span", "low", "high"]]
+    return run
+
+
 def _product(threshold: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Links of one block pair as a spanning forest over components."""
@@ -157,30 +256,14 @@ def _product(threshold: int):
         names, group = frame["class"].to_numpy(), frame["component"].to_numpy()
         sets = frame["tokens"].tolist()
         sizes = np.array([len(x) for x in sets], np.int64)
-        m = len(names)
-        doc = np.repeat(np.arange(m), sizes)
-        _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        used = df[column] > 1  # a column with one entry adds to no overlap
-        place = np.cumsum(df > 1) - 1
-        doc, column = doc[used], place[column[used]]
-        order = np.argsort(column, kind="stable")
-        doc, column = doc[order], column[order]
-        width = int(column[-1]) + 1 if len(column) else 0
-        rest = np.bincount(doc, minlength=m)
-        overlap = np.zeros((m, m), np.int64)
         union = sizes[:, None] + sizes[None, :]
-        open_ = np.triu(np.ones((m, m), bool), 1) & (group[:, None] != group[None, :])
-        for start in range(0, width, CHUNK_COLUMNS):
-            a, z = np.searchsorted(column, (start, start + CHUNK_COLUMNS))
-            dense = np.zeros((m, CHUNK_COLUMNS), np.float32)
-            dense[doc[a:z], column[a:z] - start] = 1
-            overlap += (dense @ dense.T).astype(np.int64)
-            rest = rest - np.bincount(doc[a:z], minlength=m)
+        open_ = np.triu(group[:, None] != group[None, :], 1)
+        for overlap, rest in _overlaps(sets):
             most = overlap + np.minimum(rest[:, None], rest[None, :])
             open_ &= (100 + threshold) * most >= threshold * union
             if not open_.any():
                 break
-        at = np.argwhere(open_ & ((100 + threshold) * overlap >= threshold * union))
+        at = np.argwhere(open_)
         parent = {c: c for c in group.tolist()}
 
         def top(x):
@@ -206,10 +289,7 @@ def classes(documents: DataFrame, words_per: int, threshold: int, key: str,
     slim = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text))
     first = written(map_batches(slim, _first_pass(words_per, slices), _PASS), "incidence")
     rows = first.filter("slice is null").select("doc_id", "class", "n", "block", "near")
-    counted = map_batches(
-        first.filter("slice is not null").select("slice", "prints", "owners")
-        .repartition(slices, "slice"), _count_shared, "class long, shared long")
-    counted = counted.groupBy("class").agg(F.sum("shared").alias("shared"))
+    counted = _shared(first, slices)
     seen = rows.filter("n > 0 and doc_id is not null").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("block").alias("block"),
         F.min("near").alias("near"))
@@ -223,29 +303,75 @@ def classes(documents: DataFrame, words_per: int, threshold: int, key: str,
                                                         "survivors")
 
 
+def _shared(dealt: DataFrame, slices: int) -> DataFrame:
+    """(class, shared): shingles of each class that another has, not counting the near ones."""
+    counted = map_batches(
+        dealt.filter("slice is not null").select("slice", "prints", "owners")
+        .repartition(slices, "slice"), _count_shared(slices),
+        "part int, names binary, counts binary")
+    return map_batches(counted.repartition(slices, "part"), _sum_shared,
+                       "class long, shared long")
+
+
+def narrowed(sets: DataFrame, threshold: int) -> DataFrame:
+    """The sets whose lonely shingles, over all columns, leave room for a link."""
+    slices = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(map_batches(sets, _all_columns(slices), _PASS), "incidence")
+    near = dealt.filter("slice is null").select("class", "near")
+    lonely = F.col("n") - F.col("near") - F.coalesce("shared", F.lit(0))
+    kept = near.join(_shared(dealt, slices), "class", "left").join(
+        sets.select("class", "n"), "class").filter(
+        lonely <= F.floor(F.col("n") * (100 - threshold) / 100)).select("class")
+    return written(sets.join(kept, "class"), "sets")
+
+
+def leading(sets: DataFrame, threshold: int) -> DataFrame:
+    """(class, n, heads): of the shingles by rarity, the first ones of which two linked sets must
+    share one; shingles that no other set has take their places but are not listed."""
+    entries = sets.select("class", "n", F.explode("tokens").alias("token"))
+    common = entries.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = entries.join(common, "token").groupBy("class", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    places = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    room = F.greatest(places - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")
+    return written(ranked.select("class", "n", F.transform(
+        F.slice("shared", F.lit(1), room), lambda x: x["token"]).alias("heads")), "leading")
+
+
+def _spread(leads: DataFrame, threshold: int) -> DataFrame:
+    """(class, n, token, span) per leading shingle.
+
+    Linked sets differ in size by a bounded factor. Sizes fall into classes a little wider than
+    that, and each row stands in the span of its own and of the next class, so that two linked
+    sets meet in one.
+    """
+    span = F.floor(F.log("n") / math.log(100 / threshold * 1.0001)).cast("int")
+    return leads.select("class", "n", span.alias("own"), F.explode("heads").alias("token")).select(
+        "class", "n", "token", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("span"))
+
+
 def link_components(sets: DataFrame, threshold: int) -> DataFrame:
     """(class, component) of the written sets (class, n, tokens)."""
-    size = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    heads = sets.select("class", "n", F.explode(F.slice("tokens", F.lit(1), size.cast("int")))
-                        .alias("token"))
-    lists = heads.groupBy("token").agg(
+    leads = leading(sets, threshold)
+    heads = _spread(leads, threshold)
+    key = ["token", "span"]
+    lists = heads.groupBy(key).agg(
         F.count("*").alias("g"), F.min("class").alias("leader"),
         F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1)))
         .alias("y")).filter("g > 1")
-    chosen = lists.groupBy("g", "leader", "x", "y").agg(F.min("token").alias("token"))
-    member = written(heads.join(chosen.select("token"), "token").select("token", "class", "n"),
-                     "lists")
+    chosen = lists.groupBy("g", "leader", "x", "y").agg(F.min(F.struct(*key)).alias("k"))
+    member = written(heads.join(chosen.select("k.*"), key).select(*key, "class", "n"), "lists")
     nodes = sets.select(F.col("class").alias("node"))
     labels = nodes.select(F.col("node").alias("class"), F.col("node").alias("component"))
     edges = None
     for _ in range(LEADER_ROUNDS):
         labelled = written(member.join(labels, "class"), "labelled")
-        mixed = labelled.groupBy("token").agg(
+        mixed = labelled.groupBy(key).agg(
             F.min(F.struct("component", "class", "n")).alias("low"),
             F.max("component").alias("high")).filter("low.component != high").select(
-            "token", F.col("low.component").alias("leader_component"),
+            *key, F.col("low.component").alias("leader_component"),
             F.col("low.class").alias("leader"), F.col("low.n").alias("leader_n"))
-        member = written(labelled.join(mixed, "token"), "mixed")
+        member = written(labelled.join(mixed, key), "mixed")
         if member.isEmpty():
             return labels
         pairs = member.filter(
@@ -256,25 +382,33 @@ def link_components(sets: DataFrame, threshold: int) -> DataFrame:
         edges = found if edges is None else edges.union(found)
         labels = components(nodes, edges).select(F.col("node").alias("class"), "component")
         # The leader has met every member of its list.
-        member = member.filter(F.col("class") != F.col("leader")).select("token", "class", "n")
+        member = member.filter(F.col("class") != F.col("leader")).select(*key, "class", "n")
     labelled = member.join(labels, "class")
-    mixed = labelled.groupBy("token").agg(
+    mixed = labelled.groupBy(key).agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
-        F.count("*").alias("g")).filter("low != high").select("token", "g")
-    rest = written(labelled.join(mixed, "token"), "rest")
+        F.count("*").alias("g")).filter("low != high").select(*key, "g")
+    rest = written(labelled.join(mixed, key), "rest")
     if rest.isEmpty():
         return labels
     blocks = F.ceil(F.col("g") / BLOCK_DOCS).cast("int")
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     dealt = rest.withColumn("blocks", blocks).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        *key, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         "class", "component")
-    carried = dealt.join(sets.select("class", "tokens"), "class")
-    more = carried.groupBy("token", "low", "high").applyInPandas(_product(threshold),
-                                                                "a long, b long")
-    return components(nodes, edges.union(written(more.distinct(), "links"))).select(
-        F.col("node").alias("class"), "component")
+    block = [*key, "low", "high"]
+    narrow = dealt.join(leads, "class").groupBy(block).applyInPandas(
+        _open_pairs(threshold), "a long, b long, token long, span int, low int, high int")
+    narrow = written(narrow, "open")
+    edges = edges.union(written(_verified(narrow.filter("a is not null").select(
+        F.col("a").alias("class"), F.col("b").alias("leader")).distinct(), sets, threshold),
+        "links"))
+    dense = narrow.filter("a is null").select(block)
+    if not dense.isEmpty():
+        carried = dealt.join(dense, block).join(sets.select("class", "tokens"), "class")
+        more = carried.groupBy(block).applyInPandas(_product(threshold), "a long, b long")
+        edges = edges.union(written(more.distinct(), "links"))
+    return components(nodes, edges).select(F.col("node").alias("class"), "component")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -300,10 +434,10 @@ def jaccard_join(documents: DataFrame, words_per: int = 5, threshold: int = 80,
     rows, left = classes(documents, words_per, threshold, key, text)
     wanted = left.select(F.col("doc_id").alias("_id"), F.col("class").alias("_class"))
     texts = documents.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")) \
-        .join(wanted, "_id").select("_text", "_class")
+        .join(wanted.hint("merge"), "_id").select("_text", "_class")
     sets = written(map_batches(texts, _sets_of(words_per), _SETS).dropDuplicates(["class"]),
                    "sets")
-    named = link_components(sets, threshold)
+    named = link_components(narrowed(sets, threshold), threshold)
     labelled = left.join(named, "class")
     lowest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     smallest = labelled.join(lowest, "component").select("class", "component_id")
