@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import batch, binary_column, map_batches, text_bytes, written
+from .frames import batch, binary_column, bounded, map_batches, text_bytes, written
 from .hashing import mix, words
 
 VOCABULARY = 65_534
@@ -37,6 +37,7 @@ MICRO = 1e6
 UNKNOWN, START = 0, 1
 _IDS = 65_536
 _EXACT_BINS = 4096
+PAIR_BYTES = 4 << 20  # ids of one step, two bytes each
 
 
 def _by_slice(value: np.ndarray, slices: int) -> np.ndarray:
@@ -53,7 +54,7 @@ def word_counts(documents: DataFrame, text: str) -> DataFrame:
     slices = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches):
-        for b in batches:
+        for b in bounded(batches, 0):
             found, n = np.unique(words(*text_bytes(b.column(0)))[1], return_counts=True)
             part = _by_slice(found, slices)
             order = np.argsort(part, kind="stable")
@@ -103,7 +104,7 @@ def token_rows(documents: DataFrame, key: str, text: str, vocabulary: np.ndarray
 
     def run(batches):
         known = shared.value
-        for b in batches:
+        for b in bounded(batches, 1):
             docs, hashes = words(*text_bytes(b.column(1)))
             at = np.searchsorted(known, hashes)
             at[at == len(known)] = 0
@@ -153,7 +154,7 @@ def count_model(tokens: DataFrame, kinds: int) -> Model:
 
     def count(batches):
         word = np.zeros((4, _IDS), np.int64)
-        for b in batches:
+        for b in bounded(batches, 1, PAIR_BYTES):
             row, pairs = _pairs(b)
             target = b.column("target").to_numpy(zero_copy_only=False)[row]
             now, before = pairs & np.uint32(0xFFFF), pairs >> np.uint32(16)
@@ -182,7 +183,7 @@ def count_model(tokens: DataFrame, kinds: int) -> Model:
 
     def exact(batches):
         total = np.zeros((2, len(hot)), np.int64)
-        for b in batches:
+        for b in bounded(batches, 1, PAIR_BYTES):
             row, pairs = _pairs(b)
             at, inside = _find(hot, pairs)
             target = b.column("target").to_numpy(zero_copy_only=False)[row]
@@ -221,7 +222,7 @@ def score_tokens(tokens: DataFrame, model: Model) -> DataFrame:
 
     def deal(batches):
         m = shared.value
-        for b in batches:
+        for b in bounded(batches, 2, PAIR_BYTES):
             keys = b.column("key").to_numpy()
             flags = b.column("target").to_numpy(zero_copy_only=False)
             row, pairs = _pairs(b)
@@ -254,7 +255,7 @@ def score_tokens(tokens: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for done, *rest in zip(*(b.column(c).to_pylist() for c in ("done", "x", "y", "z"))):
                 if done:
-                    yield _sums(*(np.frombuffer(x, np.int64) for x in rest))
+                    yield _parts(*(np.frombuffer(x, np.int64) for x in rest), slices)
                 else:
                     open_.append(tuple(rest))
         if not open_:
@@ -271,13 +272,22 @@ def score_tokens(tokens: DataFrame, model: Model) -> DataFrame:
         sums = np.zeros((2, len(names)), np.int64)
         for k in range(2):  # whole numbers far below 2**53, so exact
             sums[k] = np.bincount(who, loss[k][at] * times, len(names))
-        yield _sums(names, *sums)
+        yield _parts(names, *sums, slices)
+
+    def add(batches):
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist()
+                                                  for c in ("x", "y", "z")))]
+        keys, background, target = (np.frombuffer(b"".join(c), np.int64)
+                                    for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 3
+        names, who = np.unique(keys, return_inverse=True)
+        yield _sums(names, *(np.bincount(who, x, len(names)).astype(np.int64)
+                             for x in (background, target)))
 
     dealt = map_batches(tokens.select("key", "n", "ids", "target"), deal,
                         "slice int, done boolean, x binary, y binary, z binary")
-    parts = map_batches(dealt.repartition(slices, "slice").drop("slice"), reduce, _SUMS)
-    return parts.groupBy("key").agg(F.sum("background").alias("background"),
-                                    F.sum("target").alias("target"))
+    parts = map_batches(dealt.repartition(slices, "slice").drop("slice"), reduce,
+                        "part int, x binary, y binary, z binary")
+    return map_batches(parts.repartition(slices, "part").drop("part"), add, _SUMS)
 
 
 def _dealt(marks, opens, stops, done, *columns) -> pa.RecordBatch:
@@ -286,6 +296,16 @@ def _dealt(marks, opens, stops, done, *columns) -> pa.RecordBatch:
                  [pa.array(marks, pa.int32()), pa.array([done] * len(marks), pa.bool_()), *packed])
 
 
+def _parts(keys, background, target, parts: int) -> pa.RecordBatch:
+    """Sums of rows, packed by the part in which all sums of a row meet."""
+    part = _by_slice(keys.astype(np.uint64), parts)
+    order = np.argsort(part, kind="stable")
+    marks, opens, stops = _runs(part[order])
+    return batch(["part", "x", "y", "z"], [pa.array(marks, pa.int32()), *(
+        binary_column([c[order][a:z].tobytes() for a, z in zip(opens, stops)])
+        for c in (keys, background, target))])
+
+
 def _sums(keys, background, target) -> pa.RecordBatch:
     return batch(["key", "background", "target"],
                  [pa.array(x, pa.int64()) for x in (keys, background, target)])
@@ -308,7 +328,8 @@ def cross_entropy_difference(documents: DataFrame, targets: DataFrame, key: str
     ids = token_rows(documents, key, text, known).withColumn(
         # A null id matches nothing; spread such rows instead of joining them on one key.
         "own", F.coalesce("doc_id", F.xxhash64("ids")))
-    tokens = written(ids.join(flags, "own", "left").select(
+    # The same join at every size: the flags grow with the corpus.
+    tokens = written(ids.join(flags.hint("merge"), "own", "left").select(
         F.monotonically_increasing_id().alias("key"), "doc_id", "n", "ids",
         (F.coalesce("hit", F.lit(False)) & F.col("doc_id").isNotNull()).alias("target")),
         "tokens")
