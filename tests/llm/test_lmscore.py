@@ -82,3 +82,24 @@ def test_empty_tables_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a a b"), (1, "a a b")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in cross_entropy_difference(df, flags.limit(0)).collect()}
     assert set(got) == {None, 1} and got[None]["n_tokens"] == 3
+
+
+def test_no_bound_on_the_vocabulary(spark):
+    rows = [(k, " ".join(f"v{j % 70_000}" for j in range(200 * k, 200 * k + 200)) + f" once{k} v0")
+            for k in range(700)]
+    targets = set(range(0, 700, 5))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    flags = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    got = {r["doc_id"]: r for r in cross_entropy_difference(df, flags).collect()}
+    for i, n, target, background in brute(rows, targets, 10**9):
+        assert got[i]["n_tokens"] == n
+        assert got[i]["target_loss"] == pytest.approx(target, abs=2e-6)
+        assert got[i]["background_loss"] == pytest.approx(background, abs=2e-6)
+
+
+def test_large_counts_are_told_apart(spark):
+    counts = spark.createDataFrame(
+        [(1, 4100), (2, 5000), (3, 8000), (4, 10**9), (5, 10**9 + 1), (6, 2), (7, 1)],
+        "word long, n long")
+    want = {1: 10**9 + 1, 2: 8001, 3: 5001, 4: 4101, 5: 3, 6: 2, 7: 2}
+    assert {m: lmscore.least_count(counts, m) for m in want} == want

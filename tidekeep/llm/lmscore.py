@@ -5,16 +5,16 @@ one vocabulary, the same smoothing and the same order:
 
     P(w | v) = (count(v w) + MASS * P1(w)) / (count(v .) + MASS),  P1(w) = (count(w) + 1) / (N + V)
 
-The vocabulary holds the words of at least the smallest count that at most ``vocabulary`` words
-reach; every other word is the unknown word, and each document starts after a start mark. A
-document scores the mean over its tokens of target loss minus background loss (nats), so low
-values are close to the target.
-
-Counts grow with the corpus and are never collected: the incidence of documents and pairs is
-dealt by pair, and the task that holds a pair counts it and scores its occurrences at once.
-Pairs with a large share of all tokens (at most 1 / HOT_SHARE of them by arithmetic) are counted
-first and scored where the document is, so no task receives a row of every document. Only the
-vocabulary, its counts and these pairs are sent to every task; all three have fixed bounds.
+The vocabulary holds every word of at least ``MIN_COUNT`` occurrences, at every size; all others
+are the unknown word, and each document starts after a start mark. A document scores the mean over
+its tokens of target loss minus background loss (nats), so low values are close to the target.
+
+Words are 64-bit hashes. A word below MIN_COUNT occurs once, so its count names the document that
+has it, and documents get their unknown words by a join. Occurrences (document, previous word,
+word) are dealt once, by word: windows over a word and over a pair count them beside the
+occurrences, with Spark's sort and spill. Words with a large share of all tokens (at most
+1 / HOT_SHARE of them by arithmetic) are counted first and their pairs dealt by pair; pairs with
+such a share are scored where the document is. Only these two tables are sent to every task.
 Losses are summed as whole micro-nats, so results do not depend on the order of partitions.
 """
 
@@ -24,322 +24,305 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import batch, binary_column, bounded, map_batches, text_bytes, written
+from .frames import batch, bounded, map_batches, text_bytes, written
 from .hashing import mix, words
 
-VOCABULARY = 65_534
+MIN_COUNT = 2
 MASS = 50.0
 HOT_SHARE = 1 / 4096
 MICRO = 1e6
 UNKNOWN, START = 0, 1
-_IDS = 65_536
-_EXACT_BINS = 4096
-PAIR_BYTES = 4 << 20  # ids of one step, two bytes each
+_BINS = 4096
+PAIR_BYTES = 4 << 20  # text of one step
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _by_slice(value: np.ndarray, slices: int) -> np.ndarray:
-    return (mix(value.astype(np.uint64)) % np.uint64(slices)).astype(np.int64)
+def word_counts(documents: DataFrame) -> DataFrame:
+    """(word, n, name) of all words of (name, text), by 64-bit hash; for a word that occurs once
+    ``name`` is its document."""
 
+    def count(batches):
+        for b in bounded(batches, 1):
+            docs, hashes = words(*text_bytes(b.column(1)))
+            found, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            yield batch(["word", "n", "name"], [
+                pa.array(found.view(np.int64)), pa.array(n, pa.int64()),
+                pa.array(b.column(0).to_numpy()[docs[first]], pa.int64())])
+
+    return map_batches(documents.select("name", "text"), count, "word long, n long, name long") \
+        .groupBy("word").agg(F.sum("n").alias("n"), F.min("name").alias("name"))
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The smallest count, from MIN_COUNT on, that at most ``most`` words reach. Exact: the power
+    of two in which the cut falls is divided until single counts are told apart."""
+
+    def boundary(level, rows):
+        nonlocal taken
+        for row in sorted(rows.groupBy(level.alias("level")).agg(F.count("*").alias("k"))
+                          .collect(), reverse=True):
+            if taken + row["k"] > most:
+                return int(row["level"])
+            taken += row["k"]
+        return None
+
+    taken = 0
+    rows = counts.filter(F.col("n") >= MIN_COUNT)
+    power = boundary(F.length(F.bin("n")) - 1, rows)
+    if power is None:
+        return MIN_COUNT
+    low = width = 1 << power
+    while True:
+        step = max(1, width // _BINS)
+        inside = rows.filter((F.col("n") >= low) & (F.col("n") < low + width))
+        low += step * boundary(F.floor((F.col("n") - low) / step), inside)
+        if step == 1:
+            return low + 1
+        width = step
 
-def _runs(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    marks, opens = np.unique(part, return_index=True)
-    return marks, opens, np.append(opens[1:], len(part))
 
+def _find(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(known):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return at, known[at] == values
 
-def word_counts(documents: DataFrame, text: str) -> DataFrame:
-    """(word, n) of all words that occur at least twice, by 64-bit hash."""
-    slices = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def count(batches):
-        for b in bounded(batches, 0):
-            found, n = np.unique(words(*text_bytes(b.column(0)))[1], return_counts=True)
-            part = _by_slice(found, slices)
-            order = np.argsort(part, kind="stable")
-            found, n = found[order], n[order].astype(np.uint32)
-            marks, opens, stops = _runs(part[order])
-            yield batch(["slice", "found", "counts"], [
-                pa.array(marks, pa.int32()),
-                binary_column([found[a:z].tobytes() for a, z in zip(opens, stops)]),
-                binary_column([n[a:z].tobytes() for a, z in zip(opens, stops)])])
-
-    def add(batches):
-        rows = [(f, n) for b in batches for f, n in zip(b.column(1).to_pylist(),
-                                                        b.column(2).to_pylist())]
-        found = np.frombuffer(b"".join(x[0] for x in rows), np.uint64)
-        n = np.frombuffer(b"".join(x[1] for x in rows), np.uint32)
-        found, at = np.unique(found, return_inverse=True)
-        total = np.bincount(at, n, len(found)).astype(np.int64)
-        yield batch(["word", "n"], [pa.array(found[total > 1].view(np.int64)),
-                                    pa.array(total[total > 1])])
-
-    dealt = map_batches(documents.select(text), count, "slice int, found binary, counts binary")
-    return map_batches(dealt.repartition(slices, "slice"), add, "word long, n long")
-
-
-def choose_vocabulary(counts: DataFrame, most: int) -> np.ndarray:
-    """Sorted hashes of the vocabulary, at most ``most``: all words of at least the smallest
-    count for which they fit. Counts from 4096 on are told apart by powers of two only."""
-    level = F.when(F.col("n") < _EXACT_BINS, F.col("n")).otherwise(
-        F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
-    counts = written(counts.withColumn("level", level), "words")
-    taken, least = 0, None
-    for row in sorted(counts.groupBy("level").agg(F.count("*").alias("k")).collect(),
-                      reverse=True):
-        taken += row["k"]
-        if taken > most:
-            break
-        least = row["level"]
-    if least is None:
-        return np.zeros(0, np.uint64)
-    kept = counts.filter(F.col("level") >= least).select("word").toPandas()["word"].to_numpy()
-    return np.sort(kept.astype(np.int64).view(np.uint64))
-
-
-def token_rows(documents: DataFrame, key: str, text: str, vocabulary: np.ndarray) -> DataFrame:
-    """(doc_id, n, ids): the words of each text as 16-bit vocabulary ids."""
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+def _pair(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    return mix(before * _LEFT + now * _RIGHT)
 
-    def run(batches):
-        known = shared.value
-        for b in bounded(batches, 1):
-            docs, hashes = words(*text_bytes(b.column(1)))
-            at = np.searchsorted(known, hashes)
-            at[at == len(known)] = 0
-            found = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-            ids = np.where(found, at + 2, UNKNOWN).astype(np.uint16)
-            bounds = np.searchsorted(docs, np.arange(len(b) + 1))
-            yield batch(["doc_id", "n", "ids"], [
-                b.column(0), pa.array(np.diff(bounds), pa.int64()),
-                binary_column([ids[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:])])])
-
-    slim = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text))
-    return map_batches(slim, run, "doc_id long, n long, ids binary")
-
-
-def _pairs(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(row, previous id * 65536 + id) of every token of a batch (.., n, ids)."""
-    sizes = b.column("n").to_numpy()
-    now = np.frombuffer(b"".join(b.column("ids").to_pylist()), np.uint16).astype(np.uint32)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    before = np.concatenate((np.zeros(1, np.uint32), now[:-1])) if len(now) else now
-    opens = np.cumsum(sizes) - sizes
-    before[opens[sizes > 0]] = START
-    return row, before << np.uint32(16) | now
+
+def _tokens(b: pa.RecordBatch, known: np.ndarray | None):
+    """(row, previous word, word, last of its row) of every token of a batch (text, rare, ..)."""
+    row, now = words(*text_bytes(b.column("text")))
+    if known is None:
+        # Rare is a property of the word, so the rows need not be told apart.
+        rare = np.unique(b.column("rare").flatten().to_numpy(zero_copy_only=False))
+        unknown = _find(np.sort(rare.astype(np.int64).view(np.uint64)), now)[1]
+    else:
+        unknown = ~_find(known, now)[1]
+    now = np.where(unknown, np.uint64(UNKNOWN), now)
+    new = np.ones(len(row), bool)
+    new[1:] = row[1:] != row[:-1]
+    before = np.where(new, np.uint64(START), np.roll(now, 1))
+    return row, before, now, np.roll(new, -1) if len(new) else new
 
 
 @dataclass
 class Model:
-    """Counts that every task needs: per id, and of the pairs with a large share."""
-
-    word: np.ndarray      # [2, ids]: background, target
-    context: np.ndarray   # [2, ids]
-    hot: np.ndarray       # sorted pairs
-    hot_count: np.ndarray  # [2, pairs]
+    """Counts that every task needs: of the words and pairs with a large share."""
+
+    word: np.ndarray        # sorted, with the unknown word and the start mark
+    now: np.ndarray         # [2, words]: background, target
+    context: np.ndarray     # [2, words]
+    pair: np.ndarray        # sorted hashes
+    pair_now: np.ndarray    # place of the pair's second word
+    pair_count: np.ndarray  # [2, pairs]
+    total: np.ndarray       # [2] tokens
     kinds: int
 
-    def micro_loss(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """[2, pairs] losses in whole micro-nats under background and target."""
-        now, before = pairs & np.uint32(0xFFFF), pairs >> np.uint32(16)
-        total = self.word.sum(axis=1, keepdims=True)
-        single = (self.word[:, now] + 1.0) / (total + self.kinds)
-        chance = (counts + MASS * single) / (self.context[:, before] + MASS)
-        return np.rint(-np.log(chance) * MICRO).astype(np.int64)
-
-
-def count_model(tokens: DataFrame, kinds: int) -> Model:
-    """Counts per id, and exact counts of the hot pairs, of (key, n, ids, target) rows."""
-
-    def count(batches):
-        word = np.zeros((4, _IDS), np.int64)
-        for b in bounded(batches, 1, PAIR_BYTES):
-            row, pairs = _pairs(b)
-            target = b.column("target").to_numpy(zero_copy_only=False)[row]
-            now, before = pairs & np.uint32(0xFFFF), pairs >> np.uint32(16)
-            for k, (ids, chosen) in enumerate(((now, None), (now, target), (before, None),
-                                               (before, target))):
-                word[k] += np.bincount(ids if chosen is None else ids[chosen], minlength=_IDS)
-            found, n = np.unique(pairs, return_counts=True)
-            often = n >= max(2.0, len(pairs) * HOT_SHARE / 2)
-            yield _counts(found[often].astype(np.int64) + _IDS, n[often],
-                          *np.zeros((3, int(often.sum())), np.int64))
-        seen = np.flatnonzero(word.any(axis=0))
-        yield _counts(seen, *word[:, seen])
-
-    slim = tokens.select("n", "ids", "target")
-    names = ["a", "b", "c", "d"]
-    schema = "id long, a long, b long, c long, d long"
-    summed = written(map_batches(slim, count, schema).groupBy("id").agg(
-        *[F.sum(c).alias(c) for c in names]), "counts")
-    table = np.zeros((4, _IDS), np.int64)
-    single = summed.filter(F.col("id") < _IDS).toPandas()
-    table[:, single["id"].to_numpy(np.int64)] = single[names].to_numpy(np.int64).T
-    # At most 1 / HOT_SHARE pairs can have this share of all tokens.
-    least = max(2.0, float(table[0].sum()) * HOT_SHARE)
-    hot = np.sort(summed.filter((F.col("id") >= _IDS) & (F.col("a") >= least)).select("id")
-                  .toPandas()["id"].to_numpy(np.int64) - _IDS).astype(np.uint32)
+    def pair_loss(self) -> np.ndarray:
+        single = (self.now[:, self.pair_now] + 1.0) / (self.total[:, None] + self.kinds)
+        return np.rint(-np.log(self.pair_count + MASS * single) * MICRO)
+
+    def context_loss(self) -> np.ndarray:
+        return np.rint(np.log(self.context + MASS) * MICRO)
+
+
+def count_model(tokens: DataFrame, counts: DataFrame, least: int,
+                known: np.ndarray | None) -> Model:
+    """Exact counts of the words and pairs with a large share of all tokens."""
+    shared = tokens.sparkSession.sparkContext.broadcast(known)
+    sums = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= least).alias("kinds")).first()
+    bar = max(2.0, (sums["n"] or 0) * HOT_SHARE)
+    hot = counts.filter((F.col("n") >= least) & (F.col("n") >= bar)).select("word").toPandas()
+    word = np.sort(np.concatenate((np.array([UNKNOWN, START], np.uint64),
+                                   hot["word"].to_numpy(np.int64).view(np.uint64))))
+
+    def often(batches):
+        for b in bounded(batches, 0, PAIR_BYTES):
+            _, before, now, _ = _tokens(b, shared.value)
+            _, first, n = np.unique(_pair(before, now), return_index=True, return_counts=True)
+            chosen = n >= max(2.0, len(now) * HOT_SHARE / 2)
+            at = first[chosen]
+            yield batch(["before", "now", "n"], [
+                pa.array(before[at].view(np.int64)), pa.array(now[at].view(np.int64)),
+                pa.array(n[chosen], pa.int64())])
+
+    slim = tokens.select("text", "rare", "target")
+    # At most 1 / HOT_SHARE pairs can have this share of all tokens; both their words have it too.
+    found = map_batches(slim, often, "before long, now long, n long").groupBy("before", "now") \
+        .agg(F.sum("n").alias("n")).filter(F.col("n") >= bar).toPandas()
+    second = found["now"].to_numpy(np.int64).view(np.uint64)
+    pair = _pair(found["before"].to_numpy(np.int64).view(np.uint64), second)
+    order = np.argsort(pair)
+    pair, pair_now = pair[order], np.searchsorted(word, second[order])
 
     def exact(batches):
-        total = np.zeros((2, len(hot)), np.int64)
-        for b in bounded(batches, 1, PAIR_BYTES):
-            row, pairs = _pairs(b)
-            at, inside = _find(hot, pairs)
+        total = np.zeros((4, len(word) + len(pair) + 1), np.int64)
+        for b in bounded(batches, 0, PAIR_BYTES):
+            row, before, now, _ = _tokens(b, shared.value)
             target = b.column("target").to_numpy(zero_copy_only=False)[row]
-            total[0] += np.bincount(at[inside], minlength=len(hot))
-            total[1] += np.bincount(at[inside & target], minlength=len(hot))
-        zero = np.zeros(len(hot), np.int64)
-        yield _counts(np.arange(len(hot)), *total, zero, zero)
-
-    counts = np.zeros((2, len(hot)), np.int64)
-    if len(hot):
-        rows = map_batches(slim, exact, schema).groupBy("id").agg(
-            F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
-        counts[:, rows["id"].to_numpy(np.int64)] = rows[["a", "b"]].to_numpy(np.int64).T
-    return Model(table[:2], table[2:], hot, counts, kinds)
-
-
-def _counts(ids, *columns) -> pa.RecordBatch:
-    return batch(["id", "a", "b", "c", "d"], [pa.array(x, pa.int64()) for x in (ids, *columns)])
-
-
-def _find(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(known):
-        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return at, known[at] == values
+            for k, values in ((0, now), (2, before)):
+                at, inside = _find(word, values)
+                total[k, :len(word)] += np.bincount(at[inside], minlength=len(word))
+                total[k + 1, :len(word)] += np.bincount(at[inside & target], minlength=len(word))
+            at, inside = _find(pair, _pair(before, now))
+            total[0, len(word):-1] += np.bincount(at[inside], minlength=len(pair))
+            total[1, len(word):-1] += np.bincount(at[inside & target], minlength=len(pair))
+            total[0, -1] += len(now)
+            total[1, -1] += int(target.sum())
+        yield batch(["id", "a", "b", "c", "d"], [
+            pa.array(np.arange(total.shape[1])), *(pa.array(x) for x in total)])
 
+    names = ["a", "b", "c", "d"]
+    rows = map_batches(slim, exact, "id long, a long, b long, c long, d long").groupBy("id").agg(
+        *[F.sum(c).alias(c) for c in names]).toPandas()
+    table = np.zeros((4, len(word) + len(pair) + 1), np.int64)
+    table[:, rows["id"].to_numpy(np.int64)] = rows[names].to_numpy(np.int64).T
+    return Model(word, table[:2, :len(word)], table[2:, :len(word)], pair, pair_now,
+                 table[:2, len(word):-1], table[:2, -1], (sums["kinds"] or 0) + 2)
 
-_SUMS = "key long, background long, target long"
 
+def _deal(tokens: DataFrame, model: Model, known: np.ndarray | None) -> DataFrame:
+    """(a, b, name, m). Per row with words, m = -words, a = name, b and name the sums of
+    background and target losses of what is known everywhere. Per other pair of a row, m =
+    times * 8 + 4 if the word has a large share + 2 if the row ends with it + 1 if target;
+    (a, b) is (word, previous word), or (pair, word) if the word has a large share."""
+    shared = tokens.sparkSession.sparkContext.broadcast((model, known))
 
-def score_tokens(tokens: DataFrame, model: Model) -> DataFrame:
-    """(key, background, target): summed micro-nats of each row with tokens."""
+    def run(batches):
+        m, known_ = shared.value
+        pair_loss, context_loss = m.pair_loss(), m.context_loss()
+        for b in bounded(batches, 0, PAIR_BYTES):
+            row, before, now, last = _tokens(b, known_)
+            if not len(row):
+                continue
+            names = b.column("name").to_numpy()
+            target = b.column("target").to_numpy(zero_copy_only=False)
+            sums = np.zeros((2, len(b)))
+            pairs = _pair(before, now)
+            at_v, in_v = _find(m.word, before)
+            at_p, in_p = _find(m.pair, pairs)
+            for k in range(2):  # whole numbers far below 2**53, so exact
+                sums[k] = np.bincount(row[in_v], context_loss[k][at_v[in_v]], len(b))
+                if len(m.pair):
+                    sums[k] += np.bincount(row[in_p], pair_loss[k][at_p[in_p]], len(b))
+            sums = sums.astype(np.int64)
+            sizes = np.bincount(row, minlength=len(b))
+            some = np.flatnonzero(sizes)
+            yield _dealt(names[some], sums[0][some], sums[1][some], -sizes[some])
+            row, before, now, last, pairs = (x[~in_p] for x in (row, before, now, last, pairs))
+            order = np.lexsort((pairs, row))
+            row, before, now, last, pairs = (x[order] for x in (row, before, now, last, pairs))
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (pairs[1:] != pairs[:-1])
+            opens = np.flatnonzero(new)
+            if not len(opens):
+                continue
+            times = np.diff(np.append(opens, len(row)))
+            ends = np.add.reduceat(last.astype(np.int64), opens)
+            row, before, now, pairs = row[opens], before[opens], now[opens], pairs[opens]
+            large = _find(m.word, now)[1]
+            yield _dealt(np.where(large, pairs, now).view(np.int64),
+                         np.where(large, now, before).view(np.int64), names[row],
+                         times * 8 + large * 4 + ends * 2 + target[row])
+
+    return map_batches(tokens.select("text", "rare", "target", "name"), run,
+                       "a long, b long, name long, m long")
+
+
+def _dealt(a, b, name, m) -> pa.RecordBatch:
+    return batch(["a", "b", "name", "m"], [pa.array(x, pa.int64()) for x in (a, b, name, m)])
+
+
+def score_tokens(tokens: DataFrame, model: Model, known: np.ndarray | None) -> DataFrame:
+    """(name, background, aim, n, tokens): micro-nats and tokens summed over the rows of a name,
+    and the tokens of one of them."""
     spark = tokens.sparkSession
+    large = spark.createDataFrame(
+        [(int(w), int(x), int(y)) for w, (x, y) in zip(model.word.view(np.int64), model.now.T)],
+        "b long, large_0 long, large_1 long")
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(model)
-
-    def deal(batches):
-        m = shared.value
-        for b in bounded(batches, 2, PAIR_BYTES):
-            keys = b.column("key").to_numpy()
-            flags = b.column("target").to_numpy(zero_copy_only=False)
-            row, pairs = _pairs(b)
-            at, inside = _find(m.hot, pairs)
-            if len(m.hot):
-                loss = m.micro_loss(m.hot, m.hot_count)
-                sums = np.zeros((2, len(b)), np.int64)
-                for k in range(2):
-                    sums[k] = np.bincount(row[inside], loss[k][at[inside]], len(b))
-                some = np.unique(row[inside])
-                part = _by_slice(keys[some].astype(np.uint64), slices)
-                order = np.argsort(part, kind="stable")
-                some = some[order]
-                marks, opens, stops = _runs(part[order])
-                yield _dealt(marks, opens, stops, True, keys[some], sums[0][some], sums[1][some])
-            both = row[~inside].astype(np.uint64) << np.uint64(32) | pairs[~inside]
-            both, times = np.unique(both, return_counts=True)
-            row, pairs = (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32)
-            part = _by_slice(pairs, slices)
-            order = np.argsort(part, kind="stable")
-            row, pairs, times = row[order], pairs[order], times[order].astype(np.uint32)
-            marks, opens, stops = _runs(part[order])
-            # The row's key, its target flag in the lowest bit of the count.
-            yield _dealt(marks, opens, stops, False, keys[row], pairs,
-                         times << np.uint32(1) | flags[row].astype(np.uint32))
-
-    def reduce(batches):
-        m = shared.value
-        open_: list[tuple[bytes, bytes, bytes]] = []
-        for b in batches:
-            for done, *rest in zip(*(b.column(c).to_pylist() for c in ("done", "x", "y", "z"))):
-                if done:
-                    yield _parts(*(np.frombuffer(x, np.int64) for x in rest), slices)
-                else:
-                    open_.append(tuple(rest))
-        if not open_:
-            return
-        keys = np.frombuffer(b"".join(x[0] for x in open_), np.int64)
-        pairs = np.frombuffer(b"".join(x[1] for x in open_), np.uint32)
-        flagged = np.frombuffer(b"".join(x[2] for x in open_), np.uint32)
-        times, target = flagged >> np.uint32(1), (flagged & np.uint32(1)).astype(bool)
-        found, at = np.unique(pairs, return_inverse=True)
-        counts = np.stack((np.bincount(at, times, len(found)),
-                           np.bincount(at[target], times[target], len(found))))
-        loss = m.micro_loss(found, counts.astype(np.int64))
-        names, who = np.unique(keys, return_inverse=True)
-        sums = np.zeros((2, len(names)), np.int64)
-        for k in range(2):  # whole numbers far below 2**53, so exact
-            sums[k] = np.bincount(who, loss[k][at] * times, len(names))
-        yield _parts(names, *sums, slices)
-
-    def add(batches):
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist()
-                                                  for c in ("x", "y", "z")))]
-        keys, background, target = (np.frombuffer(b"".join(c), np.int64)
-                                    for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 3
-        names, who = np.unique(keys, return_inverse=True)
-        yield _sums(names, *(np.bincount(who, x, len(names)).astype(np.int64)
-                             for x in (background, target)))
-
-    dealt = map_batches(tokens.select("key", "n", "ids", "target"), deal,
-                        "slice int, done boolean, x binary, y binary, z binary")
-    parts = map_batches(dealt.repartition(slices, "slice").drop("slice"), reduce,
-                        "part int, x binary, y binary, z binary")
-    return map_batches(parts.repartition(slices, "part").drop("part"), add, _SUMS)
-
-
-def _dealt(marks, opens, stops, done, *columns) -> pa.RecordBatch:
-    packed = [binary_column([c[a:z].tobytes() for a, z in zip(opens, stops)]) for c in columns]
-    return batch(["slice", "done", "x", "y", "z"],
-                 [pa.array(marks, pa.int32()), pa.array([done] * len(marks), pa.bool_()), *packed])
-
-
-def _parts(keys, background, target, parts: int) -> pa.RecordBatch:
-    """Sums of rows, packed by the part in which all sums of a row meet."""
-    part = _by_slice(keys.astype(np.uint64), parts)
-    order = np.argsort(part, kind="stable")
-    marks, opens, stops = _runs(part[order])
-    return batch(["part", "x", "y", "z"], [pa.array(marks, pa.int32()), *(
-        binary_column([c[order][a:z].tobytes() for a, z in zip(opens, stops)])
-        for c in (keys, background, target))])
-
-
-def _sums(keys, background, target) -> pa.RecordBatch:
-    return batch(["key", "background", "target"],
-                 [pa.array(x, pa.int64()) for x in (keys, background, target)])
+    done = F.col("m") < 0
+    times = F.when(done, F.lit(0)).otherwise(F.shiftright("m", 3))
+    bit = lambda k: F.col("m").bitwiseAND(1 << k) != 0
+    rows = _deal(tokens, model, known).repartition(slices, "a").select(
+        "a", "b", "name", "m", times.alias("times"),
+        F.when(~done & bit(1), F.lit(1)).otherwise(0).alias("ends"),
+        F.when(~done & bit(0), F.col("times")).otherwise(0).alias("times_1"),
+        F.when(~done & bit(0), F.col("ends")).otherwise(0).alias("ends_1"))
+    pair, word = Window.partitionBy("a", "b"), Window.partitionBy("a")
+    counted = rows.select(
+        "*", F.sum("times").over(pair).alias("pair_0"),
+        F.sum("times_1").over(pair).alias("pair_1")).select(
+        "*", F.sum("times").over(word).alias("now_0"), F.sum("times_1").over(word).alias("now_1"),
+        F.sum(F.col("times") - F.col("ends")).over(word).alias("context_0"),
+        F.sum(F.col("times_1") - F.col("ends_1")).over(word).alias("context_1"))
+    counted = counted.join(F.broadcast(large), "b", "left")
+
+    def micro(column):
+        return F.rint(column * F.lit(MICRO)).cast("long")
+
+    def loss(k):
+        now = F.when(bit(2), F.col(f"large_{k}")).otherwise(F.col(f"now_{k}"))
+        single = (now + 1.0) / F.lit(float(model.total[k] + model.kinds))
+        own = F.when(bit(2), F.lit(0)).otherwise(
+            (F.col("times") - F.col("ends")) * micro(F.log(F.col(f"context_{k}") + MASS)))
+        return own - F.col("times") * micro(F.log(F.col(f"pair_{k}") + MASS * single))
+
+    size = F.when(done, -F.col("m")).otherwise(0)
+    return counted.select(
+        F.when(done, F.col("a")).otherwise(F.col("name")).alias("name"), size.alias("n"),
+        F.when(done, F.col("b")).otherwise(loss(0)).alias("background"),
+        F.when(done, F.col("name")).otherwise(loss(1)).alias("aim")).groupBy("name").agg(
+        F.sum("background").alias("background"), F.sum("aim").alias("aim"),
+        F.sum("n").alias("n"), F.max("n").alias("tokens"))
 
 
 def cross_entropy_difference(documents: DataFrame, targets: DataFrame, key: str = "doc_id",
-                             text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+                             text: str = "text", vocabulary: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference), one row per row.
 
     ``targets`` holds the ids (column ``key``) of target documents; repeats and unknown ids do no
     harm. Documents without words have null losses; a row with a null id is background. Words are
     runs of other characters than blanks, A-Z as a-z. With no target at all the target model is
     the smoothing alone. Rows that repeat are scored each, other columns are not read.
+
+    ``vocabulary`` is for callers that want a smaller model: with it, the vocabulary is the words
+    of at least the smallest count that at most so many words reach, and is sent to every task.
     """
-    if not 0 < vocabulary <= VOCABULARY:
-        raise ValueError(f"vocabulary must lie between 1 and {VOCABULARY}")
-    known = choose_vocabulary(word_counts(documents, text), vocabulary)
-    flags = targets.select(F.col(key).cast("long").alias("own")).filter("own is not null") \
-        .distinct().withColumn("hit", F.lit(True))
-    ids = token_rows(documents, key, text, known).withColumn(
-        # A null id matches nothing; spread such rows instead of joining them on one key.
-        "own", F.coalesce("doc_id", F.xxhash64("ids")))
-    # The same join at every size: the flags grow with the corpus.
-    tokens = written(ids.join(flags.hint("merge"), "own", "left").select(
-        F.monotonically_increasing_id().alias("key"), "doc_id", "n", "ids",
-        (F.coalesce("hit", F.lit(False)) & F.col("doc_id").isNotNull()).alias("target")),
-        "tokens")
-    sums = score_tokens(tokens, count_model(tokens, len(known) + 2))
+    if vocabulary is not None and vocabulary < 1:
+        raise ValueError("vocabulary must be at least 1")
+    # Rows of one name are equal; a null id is skipped by the hash.
+    slim = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")) \
+        .withColumn("name", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    counts = written(word_counts(slim), "words")
+    least, known = MIN_COUNT, None
+    if vocabulary is not None:
+        least = least_count(counts, vocabulary)
+        known = np.sort(counts.filter(F.col("n") >= least).select("word").toPandas()["word"]
+                        .to_numpy(np.int64).view(np.uint64))
+    flags = targets.select(F.col(key).cast("long").alias("doc_id")).filter("doc_id is not null") \
+        .distinct()
+    # The same joins at every size: the flags and the rare words grow with the corpus.
+    hits = slim.select("doc_id", "name").join(flags.hint("merge"), "doc_id").select(
+        "name", F.lit(True).alias("hit"), F.lit(None).cast("long").alias("word"))
+    marks = hits.union(counts.filter((F.col("n") < MIN_COUNT) & F.lit(known is None)).select(
+        "name", F.lit(False), "word")).groupBy("name").agg(
+        F.max("hit").alias("hit"), F.collect_list("word").alias("rare"))
+    tokens = written(slim.select("name", "text").join(marks.hint("merge"), "name", "left").select(
+        "name", "text", F.coalesce("hit", F.lit(False)).alias("target"),
+        F.coalesce("rare", F.array().cast("array<long>")).alias("rare")), "tokens")
+    sums = score_tokens(tokens, count_model(tokens, counts, least, known), known)
 
     def mean(column):
-        return F.col(column) / (F.col("n") * F.lit(MICRO))
+        return column / (F.col("n") * F.lit(MICRO))
 
-    return tokens.select("key", "doc_id", "n").join(
-        sums.withColumnRenamed("target", "aim"), "key", "left").select(
-        "doc_id", F.col("n").alias("n_tokens"), mean("aim").alias("target_loss"),
-        mean("background").alias("background_loss"),
-        ((F.col("aim") - F.col("background")) / (F.col("n") * F.lit(MICRO))).alias("difference"))
+    return slim.select("doc_id", "name").join(sums, "name", "left").select(
+        "doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("n_tokens"),
+        mean(F.col("aim")).alias("target_loss"), mean(F.col("background"))
+        .alias("background_loss"), mean(F.col("aim") - F.col("background")).alias("difference"))
