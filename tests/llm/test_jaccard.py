@@ -93,3 +93,11 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     rows = [tuple(r) for r in jaccard_join(df).collect()]
     assert sorted(rows, key=str) == sorted([(None, 2, None), (4, 2, 2), (4, 2, 2), (2, 2, 2)],
                                            key=str)
+
+
+def test_one_id_with_several_texts(spark):
+    texts = [" ".join(f"t{k}_{j}" for j in range(100)) for k in range(6)]
+    rows = [(1, t) for t in texts] + [(10 + k, t + " end") for k, t in enumerate(texts)]
+    rows += [(20 + k, t + " end stop") for k, t in enumerate(texts)]
+    assert answer(spark, rows) == brute(rows)
+    assert {c for _, _, c in answer(spark, rows)} == {1}

@@ -41,8 +41,8 @@ BLOCK_DOCS = 256
 CHUNK_COLUMNS = 2048
 LEADER_ROUNDS = 2
 
-_PASS = ("doc_id long, class long, n long, block long, near long, slice int, prints binary, "
-         "owners binary")
+_PASS = ("doc_id long, print long, class long, n long, block long, near long, slice int, "
+         "prints binary, owners binary")
 _SETS = "class long, n long, tokens array<long>"
 
 
@@ -94,8 +94,8 @@ def _stacked(names: list[str], upper: list[pa.Array | None], lower: list[pa.Arra
     return batch(names, [pa.concat_arrays(pair) for pair in zip(*filled)])
 
 
-_KINDS = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary()]
-_NAMES = ["doc_id", "class", "n", "block", "near", "slice", "prints", "owners"]
+_KINDS = [pa.int64()] * 6 + [pa.int32(), pa.binary(), pa.binary()]
+_NAMES = ["doc_id", "print", "class", "n", "block", "near", "slice", "prints", "owners"]
 
 
 def _first_pass(words_per: int, slices: int):
@@ -118,9 +118,10 @@ def _first_pass(words_per: int, slices: int):
             doc = np.repeat(np.arange(len(names)), sizes)[take]
             near, *dealt = _settle(hashes[take], names[doc], doc, len(names), slices)
             yield _stacked(
-                _NAMES, [ids, pa.array(names), pa.array(sizes), pa.array(np.diff(upto[bounds])),
+                _NAMES, [ids, b.column(2), pa.array(names), pa.array(sizes),
+                         pa.array(np.diff(upto[bounds])),
                          pa.array(near, pa.int64(), mask=~speaks), None, None, None],
-                [None, None, None, None, None, *dealt], _KINDS)
+                [None, None, None, None, None, None, *dealt], _KINDS)
     return run
 
 
@@ -133,9 +134,9 @@ def _all_columns(slices: int):
             names = b.column(0).to_numpy()
             flat = tokens.flatten().to_numpy().view(np.uint64)
             near, *dealt = _settle(flat, names[doc], doc, len(b), slices)
-            yield _stacked(_NAMES, [None, b.column(0), b.column(1), None, pa.array(near), None,
-                                    None, None],
-                           [None, None, None, None, None, *dealt], _KINDS)
+            yield _stacked(_NAMES, [None, None, b.column(0), b.column(1), None, pa.array(near),
+                                    None, None, None],
+                           [None, None, None, None, None, None, *dealt], _KINDS)
     return run
 
 
@@ -186,8 +187,8 @@ def _sets_of(words_per: int):
         for b in bounded(batches, 0):
             bounds, hashes, names = shingle_sets(b.column(0), words_per)
             wanted = np.asarray(b.column(1))
-            _, heads = np.unique(names, return_index=True)
-            right = np.intersect1d(np.flatnonzero(wanted == names), heads)
+            fits = np.flatnonzero(wanted == names)
+            right = fits[np.unique(names[fits], return_index=True)[1]]
             signed = hashes.view(np.int64)
             rows = [signed[bounds[i]:bounds[i + 1]] for i in right]
             offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
@@ -284,23 +285,28 @@ def _product(threshold: int):
 
 def classes(documents: DataFrame, words_per: int, threshold: int, key: str,
             text: str) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, class, n) per row, survivors (class, n, doc_id) of the first column block)."""
+    """((doc_id, class, n) per row, survivors (class, n, doc_id, print) of the first column block).
+
+    A class is spoken for by the text with hash ``print`` of its smallest doc_id.
+    """
     slices = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text))
+    slim = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text),
+                            F.xxhash64(text).alias("print"))
     first = written(map_batches(slim, _first_pass(words_per, slices), _PASS), "incidence")
-    rows = first.filter("slice is null").select("doc_id", "class", "n", "block", "near")
+    rows = first.filter("slice is null").select(
+        "doc_id", "print", "class", "n", "block", "near")
     counted = _shared(first, slices)
     seen = rows.filter("n > 0 and doc_id is not null").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("block").alias("block"),
-        F.min("near").alias("near"))
+        F.min(F.struct("doc_id", "print")).alias("head"), F.max("n").alias("n"),
+        F.max("block").alias("block"), F.min("near").alias("near"))
     # near comes from the row that speaks for the class, once per batch that holds the class. A
     # shingle that was settled in one of these batches but not in all was also sent, so the
     # smallest of them keeps the sum from counting less than what is shared.
     slack = F.floor(F.col("n") * (100 - threshold) / 100)
     lonely = F.col("block") - F.col("near") - F.coalesce("shared", F.lit(0))
     left = seen.join(counted, "class", "left").filter(lonely <= slack)
-    return rows.select("doc_id", "class", "n"), written(left.select("class", "n", "doc_id"),
-                                                        "survivors")
+    return rows.select("doc_id", "class", "n"), written(
+        left.select("class", "n", "head.doc_id", "head.print"), "survivors")
 
 
 def _shared(dealt: DataFrame, slices: int) -> DataFrame:
@@ -432,13 +438,16 @@ def jaccard_join(documents: DataFrame, words_per: int = 5, threshold: int = 80,
     has a null component. Other columns are not read; an empty table gives no rows.
     """
     rows, left = classes(documents, words_per, threshold, key, text)
-    wanted = left.select(F.col("doc_id").alias("_id"), F.col("class").alias("_class"))
-    texts = documents.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")) \
-        .join(wanted.hint("merge"), "_id").select("_text", "_class")
+    # An id may have several texts: by id and text each class gets its own text and no other.
+    wanted = left.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"),
+                         F.col("class").alias("_class"))
+    texts = documents.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_print"),
+                             F.col(text).alias("_text")) \
+        .join(wanted.hint("merge"), ["_id", "_print"]).select("_text", "_class")
     sets = written(map_batches(texts, _sets_of(words_per), _SETS).dropDuplicates(["class"]),
                    "sets")
     named = link_components(narrowed(sets, threshold), threshold)
-    labelled = left.join(named, "class")
+    labelled = left.drop("print").join(named, "class")
     lowest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     smallest = labelled.join(lowest, "component").select("class", "component_id")
     alone = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("own"))
