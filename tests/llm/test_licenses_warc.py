@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidekeep.llm import licenses, warc
 
@@ -94,3 +95,14 @@ def test_sql_agrees(spark, derived):
     names = [c[0] for c in con.description]
     assert sorted(rows, key=str) == sorted(map(tuple, derived.select(*names).collect()), key=str)
     assert derived.limit(0).count() == 0
+
+
+def test_every_source_header_is_kept(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/", "<p>x</p>")],
+                                  "page_id long, url string, html string")
+    lines = [f"X-{k}: {k}" for k in range(1500)]
+    records = warc.responses(pages, warc.DATE).withColumn(
+        "http_headers", F.lit("\r\n".join(["HTTP/1.1 200 OK", *lines])))
+    meta = warc.derive(records).filter("warc_type = 'metadata'").first()["block"]
+    assert [x for x in meta.split("\r\n") if x.startswith("source-")] == [
+        "source-" + x for x in lines]

@@ -89,8 +89,9 @@ def derive(records: DataFrame) -> DataFrame:
     html = F.col("payload")
     links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), _entities)
     status = F.regexp_extract("http_headers", r"^HTTP/[0-9.]+ ([0-9]+)", 1)
+    given = F.split("http_headers", CRLF)
     source = F.array_join(F.transform(
-        F.slice(F.split("http_headers", CRLF), F.lit(2), F.lit(1000)),
+        F.slice(given, F.lit(2), F.size(given)),
         lambda x: F.concat(F.lit("source-"), x)), CRLF)
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     text = plain_text(html)
