@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, chat, covertree, decontaminate, jaccard, licenses, lmscore, planes, quality,
-               warc)
+from . import (bpe, chat, covertree, decontaminate, fim, jaccard, licenses, lmscore, planes,
+               quality, warc)
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = warc.responses(table(spark, sf_dir, "pages"), warc.DATE)
     return warc.derive(pages).drop("block")
+
+
+@query("op11_fill_in_middle")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"), seed=7, percent=100, spm_percent=50)
