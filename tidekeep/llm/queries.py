@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (bpe, chat, covertree, decontaminate, fim, jaccard, licenses, lmscore, planes,
-               quality, warc)
+               quality, warc, whitening)
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_fill_in_middle")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"), seed=7, percent=100, spm_percent=50)
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64)
