@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import (bpe, chat, covertree, decontaminate, fim, jaccard, licenses, lmscore, planes,
-               quality, warc, whitening)
+from . import (bpe, chat, covertree, decontaminate, exactdedup, fim, jaccard, licenses, lmscore,
+               planes, quality, warc, whitening)
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +116,23 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_embedding_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64)
+
+
+OP12_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as normal from documents
+), k as (
+  select doc_id, normal, count(*) over (partition by normal) as group_size,
+         first_value(doc_id) over (partition by normal order by length(text) desc,
+                                   doc_id nulls last) as keep_id from d
+)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(normal) as text_sha256 from k
+"""
+
+
+@query("op12_streaming_exact_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdedup.dedup(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept",
+                        F.lower(F.hex("digest")).alias("text_sha256"))
