@@ -8,7 +8,7 @@ number. Further files go through the same state, after any restart.
 A hit is a row that meets another one at its digest. Digests alone prove nothing, so the bytes of
 every hit are compared with those of the row that stays, read again through its locator; digests
 that stand for several texts are then grouped by the texts themselves. Texts are never part of the
-state and only those of hits are exchanged.
+state; those of hits are written once and exchanged, the others are not.
 
 DataFrame functions throughout; the only rows that reach the driver are two counts.
 """
@@ -118,10 +118,10 @@ def meet(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return dealt.join(copies.drop("salts"), ["digest", "_salt"]).drop("_salt")
 
 
-def may_hit(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``rows`` of groups of two and more, and few others, picked before any exchange: the hashes
-    of such digests set bits in 64-bit words, of which there are 2**21 at most. More digests than
-    bits let more rows pass, none is lost."""
+def marked(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with ``normal`` null but in groups of two and more, and few others: the hashes of
+    such digests set bits in 64-bit words, of which there are 2**21 at most, and those are sent to
+    the scan. More digests than bits let more texts pass, none is lost."""
     def at() -> Column:
         return F.xxhash64("digest").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
 
@@ -131,15 +131,15 @@ def may_hit(rows: DataFrame, groups: DataFrame) -> DataFrame:
     words = groups.filter("n > 1").groupBy(F.shiftright(at(), 6).alias("_word")).agg(
         F.bit_or(bit(at())).alias("_bits"))
     return rows.withColumn("_word", F.shiftright(at(), 6)).join(
-        F.broadcast(words), "_word").filter(
-        F.col("_bits").bitwiseAND(bit(at())) != 0).drop("_word", "_bits")
+        F.broadcast(words), "_word", "left").select("digest", "place", F.when(
+            F.col("_bits").bitwiseAND(bit(at())) != 0, F.col("normal")).alias("normal"))
 
 
 def differing(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Digests that stand for more than one text: the normal form of every hit is compared, byte by
     byte, with that of the row that stays."""
     several = groups.filter("n > 1")
-    hits = may_hit(rows, groups)
+    hits = rows.filter(F.col("normal").isNotNull())
     stays = F.col("place.file").eqNullSafe(F.col("first.file")) & F.col("place.row").eqNullSafe(
         F.col("first.row"))
     firsts = meet(hits, several.select("digest", "salts", "first")).filter(stays).select(
@@ -172,9 +172,10 @@ def resolve(spark: SparkSession, path: str, checkpoint: str, key: str = "doc_id"
             text: str = "text", digest: Digest = sha256) -> DataFrame:
     """(key, keep_id, group_size, kept, digest) for every row of the files that the stream below
     ``checkpoint`` has seen."""
-    rows = keyed(spark.read.parquet(path), key, text, digest)
     found = written(state(spark, checkpoint), "dedup-groups")
     groups = spread(found, found.agg(F.sum("n")).first()[0] or 0)
+    rows = keyed(spark.read.parquet(path), key, text, digest)
+    rows = written(marked(rows, groups), "dedup-rows")
     clashes = written(differing(rows, groups), "dedup-clashes")
     if clashes.isEmpty():
         out = decided(rows, groups)
