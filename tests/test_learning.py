@@ -1,4 +1,6 @@
+import dataclasses
 import math
+import os
 import random
 
 import pytest
@@ -7,11 +9,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidekeep.learning import churn_model as cm
+from tidekeep.learning import newton as nw
 from tidekeep.learning import text_model as tm
 from tidekeep.learning import vocabulary as voc
 from tidekeep.operators.assess import assess, score_book
 from tidekeep.operators.listen import listen
 from tidekeep.operators.metrics import roc_auc
+from tidekeep.plans.catalog import Tables
 from tidekeep.schemas import ISSUES, PROFILE, SIGNALS
 
 
@@ -49,6 +53,48 @@ def test_logistic_model(spark, book, model):
     assert len(weights) == 13 and "segment_Private" in weights
 
 
+def test_newton_fit_is_the_minimum(spark, book, model):
+    fit = nw.fit(book)
+    gradients = {r.feature: r.gradient for r in nw.optimality(fit, book).collect()}
+    assert len(gradients) == 14 and max(map(abs, gradients.values())) < 1e-12
+    # The library's optimiser stops near the same minimum, on sample deviations.
+    scale = math.sqrt(299 / 300)
+    weights = dict(zip(fit.features, fit.weights))
+    for r in cm.coefficients(model, spark).collect():
+        own = weights[r.feature] * (1 if r.feature.startswith("segment") else 1 / scale)
+        assert abs(own - r.coefficient) < 0.02 * max(1, abs(own))
+    moved = dataclasses.replace(fit, weights=[w + 0.01 for w in fit.weights])
+    assert max(abs(r.gradient) for r in nw.optimality(moved, book).collect()) > 1e-5
+
+
+def test_newton_fit_edge_cases(spark, book):
+    fit = nw.fit(book)
+    gaps = book.withColumn("tenure_months", F.when(F.col("customer_id") != "C7",
+                                                   F.col("tenure_months")))
+    assert nw.fit(gaps).rows == 299
+    still = nw.fit(book.withColumn("products_held", F.lit(3)))
+    assert still.weights[nw.FEATURES.index("products_held")] == 0.0
+    # Perfectly separated: only the penalty holds the weights.
+    apart = book.withColumn("balance_trend_3m", F.when(F.col("churned"), -1.0).otherwise(1.0))
+    sure = nw.fit(apart)
+    assert sure.steps < nw.MAX_STEPS
+    assert max(abs(r.gradient) for r in nw.optimality(sure, apart).collect()) < 1e-12
+    for bad in (book.filter("churned"), book.filter("1 = 0")):
+        with pytest.raises(ValueError):
+            nw.fit(bad)
+    new = fit(book.limit(1).withColumn("segment", F.lit(None).cast("string"))).first()
+    assert 0 < new.behaviour < 1
+
+
+def test_held_out_customers_are_not_fitted(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the data folder")
+    tables = Tables(spark, folder)
+    total, held = tables.profile.count(), tables.held_out.count()
+    assert tables.churn_fit.rows == total - held and held == math.ceil(total * 0.25)
+
+
 def test_unknown_segment_is_all_zero(spark, book):
     fit = Pipeline(stages=cm.feature_stages()).fit(cm.labelled_features(book))
     new = cm.labelled_features(book.limit(1).withColumn("segment", F.lit("Platinum")))

@@ -13,6 +13,7 @@ from ..functions import numeric as nm
 from ..functions import risk as rk
 from ..functions import text as tx
 from ..learning import churn_model as cm
+from ..learning import newton as nw
 from ..learning import text_model as tm
 from ..learning import vocabulary as voc
 from ..lexicon import EUROPEAN as LEX
@@ -30,7 +31,7 @@ from ..operators.assess import (assess, feature_frame, fixed_scorer, fuse, messa
 from ..operators.literal import literal_table, lookup
 from ..schemas import DECISION_FIELDS, ISSUES, LANGUAGES, SIGNALS
 from ..sources import adapters as ad
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..sources.files import (append_log, booleans_as_ints, read_audit, read_messages, write_csv)
 from ..streaming import inbox as live
 from . import analytics as an
@@ -109,6 +110,27 @@ class Tables:
                                 c("churned").cast("int").alias("actual"),
                                 cm.hard_label("behaviour_risk").alias("predicted"))
 
+    @cached_property
+    def customer_parts(self) -> DataFrame:
+        """The book with ``held_out``: a quarter of each outcome, which no churn model sees."""
+        book = written(self.profile, "book")
+        return sp.stratified_split(book, c("churned").cast("string"), "customer_id", 0.25)
+
+    @cached_property
+    def churn_fit(self) -> nw.LogisticFit:
+        return nw.fit(self.customer_parts.filter(~c("held_out")))
+
+    @cached_property
+    def held_out(self) -> DataFrame:
+        """Truth and prediction of the customers the fitted model has not seen."""
+        return held_out_outcome(self.churn_fit(self.customer_parts.filter("held_out")))
+
+
+def held_out_outcome(scored: DataFrame) -> DataFrame:
+    return scored.select("customer_id", "nationality_region", "churned", "behaviour",
+                         c("churned").cast("int").alias("actual"),
+                         cm.hard_label("behaviour").alias("predicted"))
+
 
 Query = Callable[[Tables], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -422,6 +444,15 @@ def _region_held_out(t: Tables) -> DataFrame:
         "actual_churn_rate").orderBy("nationality_region")
 
 
+query("agg_18_report_fitted")(lambda t: rounded(mt.class_report(
+    t.held_out, "actual", "predicted", [0, 1]), "precision", "recall", "f1"))
+query("agg_19_confusion_fitted")(lambda t: mt.confusion(t.held_out, "actual", "predicted", [0, 1]))
+query("agg_20_roc_auc_fitted")(lambda t: rounded(mt.roc_auc(
+    t.held_out.withColumn("behaviour", r6(c("behaviour"))), "actual", "behaviour"), "auc"))
+query("agg_21_region_audit_fitted")(lambda t: rounded(t.held_out.groupBy("nationality_region").agg(
+    F.count("*").alias("n"), F.avg("behaviour").alias("mean_predicted_risk"),
+    F.avg("actual").alias("actual_churn_rate")), "mean_predicted_risk", "actual_churn_rate"))
+
 query("agg_22_issue_signal_crosstab")(lambda t: ev.crosstab(
     t.messages, "issue_type", "churn_signal", SIGNALS))
 query("agg_22_language_signal_crosstab")(lambda t: ev.crosstab(
@@ -520,20 +551,39 @@ def _one_hot(t: Tables) -> DataFrame:
         "array<string>"), " ").alias("one_hot"))
 
 
-@query("ml_3_logistic_scores")
-def _logistic(t: Tables) -> DataFrame:
-    return cm.scorer(cm.fit_logistic(t.profile))(t.profile).select(
-        "customer_id", "churned", r6(c("behaviour")).alias("behaviour"))
+# The churn models are fitted to three quarters of the book and judged on the rest.
+query("ml_3_logistic_scores")(lambda t: t.held_out.select("customer_id", "churned",
+                                                          r6(c("behaviour")).alias("behaviour")))
+query("ml_3_optimality")(lambda t: nw.optimality(
+    t.churn_fit, t.customer_parts.filter(~c("held_out"))).select(
+    "feature", (F.round("gradient", 9) + 0.0).alias("gradient")))
+
+
+def _trees_held_out(t: Tables) -> DataFrame:
+    model = cm.fit_trees(t.customer_parts.filter(~c("held_out")).drop("held_out"))
+    return held_out_outcome(cm.scorer(model)(t.customer_parts.filter("held_out").drop("held_out")))
+
+
+query("ml_4_boosted_trees_scores")(lambda t: _trees_held_out(t).select(
+    "customer_id", "churned", r6(c("behaviour")).alias("behaviour")))
 
 
-@query("ml_4_boosted_trees_scores")
-def _trees(t: Tables) -> DataFrame:
-    return cm.scorer(cm.fit_trees(t.profile))(t.profile).select(
-        "customer_id", "churned", r6(c("behaviour")).alias("behaviour"))
+@query("ml_4_boosted_trees_report")
+def _trees_report(t: Tables) -> DataFrame:
+    """What must hold of any fitted trees: a score in [0, 1] for every held-out customer, and the
+    leavers above the others on average."""
+    mean = F.avg("behaviour")
+    per = written(_trees_held_out(t).groupBy("actual").agg(
+        F.count("behaviour").alias("n"), mean.alias("mean"),
+        F.bool_and(c("behaviour").between(0.0, 1.0)).alias("in_range")), "trees-report")
+    spread = per.agg((F.max_by("mean", "actual") > F.min_by("mean", "actual")).alias("apart"))
+    return per.select("actual", "n", "in_range", spread.scalar().alias("leavers_above"))
 
 
 query("ml_5_hard_label")(lambda t: t.outcome.select("customer_id", "actual", "predicted"))
-query("ml_6_coefficients")(lambda t: cm.coefficients(cm.fit_logistic(t.profile), t.spark))
+query("ml_6_coefficients")(lambda t: nw.coefficients(t.churn_fit, t.spark).select(
+    "feature", (F.round("coefficient", 4) + 0.0).alias("coefficient")).orderBy("coefficient",
+                                                                               "feature"))
 
 
 def _trained_classifier(t: Tables) -> tm.TextClassifier:

