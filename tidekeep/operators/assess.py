@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk as rk
 from ..functions.numeric import round_exact
-from ..schemas import AUDIT_ONLY, FEATURES
+from ..schemas import AUDIT_ONLY, FEATURES, NO_CUSTOMER
 from .skew import left_join
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -70,7 +70,7 @@ def fuse(signals: DataFrame, profile: DataFrame, scorer: Scorer | None = None,
     if not with_reasons:
         book = book.drop("_reasons")
     joined = left_join(signals, book, "customer_id", spread_by="message_id",
-                       hot_share=hot_share)
+                       hot_share=hot_share, unmatched=F.col("customer_id") == NO_CUSTOMER)
     scored = joined.withColumns({
         "_behaviour": F.coalesce("_behaviour", F.lit(rk.NEUTRAL_PRIOR)),
         "text_score": rk.text_score(F.col("churn_signal"))})

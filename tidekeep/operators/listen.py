@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import entities as ent
 from ..functions import text as tx
 from ..lexicon import DEFAULT, Lexicon
+from ..schemas import NO_CUSTOMER
 
 SIGNAL_COLUMNS = ["message_id", "customer_id", "text", "language", "language_confidence",
                   "issue_type", "issue_confidence", "churn_signal", "churn_signal_confidence",
@@ -32,7 +33,7 @@ def clean_inbox(raw: DataFrame) -> DataFrame:
 
     kept = raw.withColumn("text", trimmed("text")).filter(F.length("text") > 0)
     return kept.select(*[
-        filled("customer_id", "UNKNOWN") if c == "customer_id"
+        filled("customer_id", NO_CUSTOMER) if c == "customer_id"
         else filled("message_id", "LIVE") if c == "message_id" else F.col(c)
         for c in raw.columns])
 

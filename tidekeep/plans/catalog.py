@@ -29,11 +29,12 @@ from ..operators import timeline as tl
 from ..operators.assess import (assess, feature_frame, fixed_scorer, fuse, message_reasons,
                                 needs_triage, score_book)
 from ..operators.literal import literal_table, lookup
-from ..schemas import DECISION_FIELDS, ISSUES, LANGUAGES, SIGNALS
+from ..schemas import DECISION_FIELDS, ISSUES, LANGUAGES, NO_CUSTOMER, SIGNALS
 from ..sources import adapters as ad
 from ..session import shared_dir, written
 from ..sources.files import (append_log, booleans_as_ints, read_audit, read_messages, write_csv)
 from ..streaming import inbox as live
+from ..streaming.ledger import Ledger
 from . import analytics as an
 from . import cases as cs
 from . import evaluation as ev
@@ -668,6 +669,22 @@ def _scored_stream(t: Tables) -> DataFrame:
     return live.drain(live.score_stream(stream, t.profile, scorer, LEX), "scored-inbox")
 
 
+def half_of_one(messages: DataFrame) -> DataFrame:
+    """The same messages, every second one from one customer and one in ten from nobody."""
+    number = F.substring("message_id", 2, 12).cast("bigint")
+    return messages.withColumn("customer_id", F.when(number % 2 == 0, ad.customer_key(F.lit(1)))
+                               .when(number % 10 == 1, NO_CUSTOMER)
+                               .when(number % 10 == 3, F.lit(None)).otherwise(c("customer_id")))
+
+
+@query("str_1_hot_customers")
+def _hot_stream(t: Tables) -> DataFrame:
+    customers = t.raw("customer").count()
+    stream = ad.shape_messages(_stream(t, "documents"), F.lit(customers))
+    return live.score_batches(half_of_one(stream), written(t.profile, "book"), "hot-inbox",
+                              scorer, LEX)
+
+
 @query("str_2_repeat_suppression")
 def _repeat_suppression(t: Tables) -> DataFrame:
     """Three in four events deliver a message of their own, the others repeat one."""
@@ -679,6 +696,27 @@ def _repeat_suppression(t: Tables) -> DataFrame:
     return live.drain(kept, "first-seen").groupBy("message_id").agg(F.count("*").alias("kept"))
 
 
+def _ledger(t: Tables) -> Ledger:
+    """The audit stream taken in, every batch delivered twice."""
+    ledger = Ledger(t.spark, shared_dir(t.spark, "ledger"))
+    rows = ad.shape_audit(_stream(t, "events"), F.lit(t.raw("documents").count()))
+
+    def twice(batch: DataFrame, number: int) -> None:
+        ledger.keep(batch, number)
+        ledger.keep(batch, number)
+
+    rows.writeStream.foreachBatch(twice).option(
+        "checkpointLocation", shared_dir(t.spark, "ledger-offsets")).trigger(
+        availableNow=True).start().awaitTermination()
+    return ledger
+
+
+query("str_3_status_over_log")(lambda t: _ledger(t).status())
+query("str_3_log_rows")(lambda t: _ledger(t).log().select(
+    "seq", "timestamp", "type", "step", "message_id", "human_verdict", "fused_risk",
+    "leaving_confirmed"))
+
+
 def _dated_risk(events: DataFrame) -> DataFrame:
     """Logged risk with its time, from the event table."""
     k = F.get_json_object("props", "$.k").cast("int")

@@ -409,6 +409,10 @@ QUEUE = """queue AS (SELECT message_id, customer_id, language AS lang, issue_typ
   churn_signal AS signal, fused_risk, risk_band AS band, segment, clv_estimate_aed AS clv_aed,
   action_label AS recommended, action, offer_value_aed AS offer FROM plan)"""
 QU = f"{PL}, {QUEUE}"
+OWN_CUSTOMER = CUST.format("(doc_id * 7) % CAST(floor((SELECT count(*) FROM customer) * 4e0 / 3e0)"
+                           " AS BIGINT)")
+HOT_MESSAGE = MESSAGE.replace(OWN_CUSTOMER, f"""CASE WHEN doc_id % 2 = 0 THEN {CUST.format('1')}
+    WHEN doc_id % 10 = 1 THEN 'UNKNOWN' WHEN doc_id % 10 = 3 THEN NULL ELSE {OWN_CUSTOMER} END""")
 QS = f"""{QU}, {AUDIT}, queue_status AS (SELECT q.*, coalesce(t.status, 'Pending Review') AS status
   FROM queue q LEFT JOIN status t USING (message_id))"""
 LV = f"{M}, {KEYWORDS}, {LIVE}"
@@ -1048,6 +1052,10 @@ GROUP BY message_id""",
   UNION ALL SELECT message_id, timestamp, seq, part, step, actor, summary, NULL FROM later
     WHERE message_id IN (SELECT message_id FROM served)""",
     "str_1_scored_stream": f"{QU} SELECT * FROM queue",
+    "str_1_hot_customers": QU.replace(MESSAGE, HOT_MESSAGE) + " SELECT * FROM queue",
+    "str_3_status_over_log": f"{A} SELECT message_id, status FROM status",
+    "str_3_log_rows": f"{A} SELECT seq, timestamp, type, step, message_id, human_verdict,"
+                      " fused_risk, leaving_confirmed FROM audit",
     "str_2_repeat_suppression": f"SELECT {MSG.format('n')} AS message_id, CAST(1 AS BIGINT) AS kept"
                                 " FROM (SELECT DISTINCT CASE WHEN event_id % 4 = 3 THEN event_id // 4"
                                 " * 4 ELSE event_id END AS n FROM events) d",

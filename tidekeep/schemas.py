@@ -14,6 +14,7 @@ BANDS = ["Low", "Medium", "High", "Critical"]
 VERDICTS = ["Approved", "Approved with edits", "Overridden", "Rejected", "Escalated",
             "Dignified Goodbye"]
 PENDING = "Pending Review"
+NO_CUSTOMER = "UNKNOWN"
 
 # Column contracts.
 NUMERIC = ["tenure_months", "products_held", "avg_balance_aed", "balance_trend_3m",

@@ -8,10 +8,9 @@ from pyspark.sql import types as T
 
 from ..lexicon import DEFAULT, Lexicon
 from ..operators.assess import Scorer
-from ..operators.review import latest_status
 from ..plans.queue import build_queue
 from ..session import shared_dir
-from ..sources.files import append_log, read_audit
+from .ledger import Ledger
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -83,13 +82,32 @@ def drain(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def score_batches(messages: DataFrame, profile: DataFrame, purpose: str,
+                  scorer: Scorer | None = None, lex: Lexicon = DEFAULT, classify=None,
+                  hot_share: float = 1 / 64) -> DataFrame:
+    """The queue of everything available, with hot customers split in every micro-batch.
+
+    A stream-static join is not re-planned for skew. Here each batch is a plain table: customers
+    above ``hot_share`` of *its* messages are counted anew and salted, and messages that no profile
+    can match are dealt out evenly. A batch owns a folder, so a repeated batch replaces itself.
+    """
+    spark = messages.sparkSession
+    out, checkpoint = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-offsets")
+    shape = build_queue(messages, profile, scorer, lex, classify).schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        build_queue(batch, profile, scorer, lex, classify, hot_share=hot_share).write.mode(
+            "overwrite").parquet(f"{out}/batch-{number}")
+
+    messages.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(shape).option("recursiveFileLookup", True).parquet(out)
+
+
 def log_stream(rows: DataFrame, log_path: str, checkpoint: str):
-    """Append a stream of log rows batch by batch."""
-    def write(batch: DataFrame, _: int) -> None:
-        append_log(batch, log_path)
-    return (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    """Append a stream of log rows; a repeated batch changes nothing (see ``Ledger``)."""
+    return Ledger(rows.sparkSession, log_path).follow(rows, checkpoint)
 
 
 def current_status(spark: SparkSession, log_path: str) -> DataFrame:
-    return latest_status(read_audit(spark, log_path))
+    return Ledger(spark, log_path).status()
