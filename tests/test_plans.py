@@ -2,6 +2,8 @@
 import math
 import os
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -52,6 +54,16 @@ def test_every_query_has_sql_or_a_reason():
     assert not set(entry.oracle_sql()) - set(entry.queries())
 
 
+@pytest.mark.parametrize("missing", ["public_tokenizers", "tidekeep.llm", "corpus_pipeline"])
+def test_entry_without_the_corpus_operators(missing):
+    code = (f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e;"
+            "names = e.queries(); assert not any(n.startswith('op') or n == 'pipeline'"
+            " for n in names); assert set(e.oracle_sql()) <= set(names); print(len(names))")
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True,
+                         cwd=os.path.dirname(entry.__file__))
+    assert run.returncode == 0 and int(run.stdout) == len(CATALOG), run.stderr
+
+
 def cell(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 9)
