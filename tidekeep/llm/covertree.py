@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .frames import find_package
+
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 NET = 24
 LEAF = 96
-_PLACES = 14
-_PLACE_MASK = (1 << _PLACES) - 1
-_NONE = -(1 << 62)
+_NONE = -(1 << 63) + 1
 
 
 class Node:
@@ -68,9 +68,15 @@ class DualTree:
     def __init__(self, queries, query_ids, candidates, candidate_ids, k: int):
         order = np.argsort(candidate_ids, kind="stable")
         self.ids, self.query_ids, self.k = candidate_ids[order], query_ids, k
-        self.q, self.c = queries, candidates[order]
-        # Places of ids in ascending order break ties; they are part of one sortable key.
+        self.order, self.q, self.c = order, queries, candidates[order]
+        # Double precision where it is exact, else whole numbers; the tree is the same.
+        top = max(float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (queries, candidates))
+        kind = np.float64 if top * top * queries.shape[1] < 2**53 else np.int64
+        self.exact = self.q.astype(kind), self.c.astype(kind)
+        self.q, self.c = self.q.astype(np.float64), self.c.astype(np.float64)
+        # Per query the best scores and, for ties, the candidates' places in order of their ids.
         self.best = np.full((len(queries), k), _NONE, np.int64)
+        self.places = np.full((len(queries), k), -1, np.int64)
         self.done: set[tuple[int, int]] = set()
         self.query_root = Node(self.q, np.arange(len(self.q)), 0)
         root = Node(self.c, np.arange(len(self.c)), 0)
@@ -79,13 +85,13 @@ class DualTree:
         self._visit(self.query_root, [root])
 
     def _bounds(self, q: Node, nodes: list[Node]) -> np.ndarray:
-        """Keys that no pair below (q, node) exceeds."""
+        """Scores that no pair below (q, node) exceeds; rounding is allowed for."""
         centers = np.stack([n.center for n in nodes])
         norms = np.array([n.norm for n in nodes])
         radii = np.array([n.radius for n in nodes])
         bound = centers @ q.center + q.norm * radii + norms * q.radius + q.radius * radii
-        bound = np.floor(bound + 1e-3 + 1e-9 * np.abs(bound)).astype(np.int64)
-        return (bound << _PLACES) | _PLACE_MASK
+        reach = q.norm * norms + q.norm * radii + norms * q.radius + q.radius * radii
+        return bound + 1e-3 + 1e-9 * reach
 
     def _worst(self, q: Node) -> int:
         return int(self.best[q.rows].min())
@@ -99,13 +105,14 @@ class DualTree:
 
     def _visit(self, q: Node, nodes: list[Node]) -> None:
         bounds, worst = self._bounds(q, nodes), self._worst(q)
-        nodes = [(int(bounds[i]), nodes[i]) for i in np.argsort(-bounds, kind="stable")
-                 if bounds[i] > worst]
+        # A node that can only tie may still hold smaller ids.
+        nodes = [(float(bounds[i]), nodes[i]) for i in np.argsort(-bounds, kind="stable")
+                 if bounds[i] >= worst]
         if not nodes:
             return
         if not q.children and not any(n.children for _, n in nodes):
             for bound, node in nodes:
-                if bound <= self._worst(q):
+                if bound < self._worst(q):
                     break
                 self._multiply(q, node)
             return
@@ -117,30 +124,20 @@ class DualTree:
         if (id(q), id(c)) in self.done:
             return
         self.done.add((id(q), id(c)))
-        score = (self.q[q.rows] @ self.c[c.rows].T).astype(np.int64)
-        keys = (score << _PLACES) | (_PLACE_MASK - c.rows)
-        keys[self.query_ids[q.rows][:, None] == self.ids[c.rows][None, :]] = _NONE
-        both = np.concatenate((self.best[q.rows], keys), axis=1)
-        self.best[q.rows] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k:]
+        asked, offered = self.exact
+        score = (asked[q.rows] @ offered[c.rows].T).astype(np.int64)
+        score[self.query_ids[q.rows][:, None] == self.ids[c.rows][None, :]] = _NONE
+        scores = np.concatenate((self.best[q.rows], score), axis=1)
+        places = np.concatenate((self.places[q.rows],
+                                 np.broadcast_to(c.rows, score.shape)), axis=1)
+        first = np.lexsort((places, -scores), axis=1)[:, :self.k]
+        self.best[q.rows] = np.take_along_axis(scores, first, axis=1)
+        self.places[q.rows] = np.take_along_axis(places, first, axis=1)
 
     def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, candidate row, score) of the best."""
         row, at = np.nonzero(self.best > _NONE)
-        key = self.best[row, at]
-        return row, self.ids[_PLACE_MASK - (key & _PLACE_MASK)], key >> _PLACES
-
-
-def _plain(queries, query_ids, candidates, candidate_ids, k: int):
-    """The same in whole numbers of any size, for blocks whose scores leave 48 bits."""
-    rows, ids, scores = [], [], []
-    wide = candidates.astype(object)
-    for i, vector in enumerate(queries.astype(object)):
-        found = sorted((-int(s), int(j)) for s, j in zip(wide @ vector, candidate_ids)
-                       if j != query_ids[i])
-        for s, j in found[:k]:
-            rows.append(i)
-            ids.append(j)
-            scores.append(max(-(2**63), min(2**63 - 1, -s)))
-    return np.array(rows, np.int64), np.array(ids, np.int64), np.array(scores, np.int64)
+        return row, self.order[self.places[row, at]], self.best[row, at]
 
 
 def _search(k: int):
@@ -149,43 +146,41 @@ def _search(k: int):
         ids, forms = frame["vec_id"].to_numpy(), frame["form"].to_numpy()
         if asks.all() or not asks.any():
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in _FOUND})
-        vectors = np.stack(frame["ints"].to_list()).astype(np.int64)
-        top = float(np.abs(vectors.astype(np.float64)).max(initial=0))
-        small = top * top * max(1, vectors.shape[1]) < 2**46
-        q, c = vectors[asks], vectors[~asks]
-        if small:
-            row, found, score = DualTree(q.astype(np.float64), ids[asks], c.astype(np.float64),
-                                         ids[~asks], k).results()
-        else:
-            row, found, score = _plain(q, ids[asks], c, ids[~asks], k)
+        vectors, copies = np.stack(frame["ints"].to_list()), frame["copies"].to_numpy()
+        row, found, score = DualTree(vectors[asks], ids[asks], vectors[~asks], ids[~asks],
+                                     k).results()
         return pd.DataFrame({"query_id": ids[asks][row], "form": forms[asks][row],
-                             "vec_id": found, "score": score})
+                             "asked": copies[asks][row], "vec_id": ids[~asks][found],
+                             "offered": copies[~asks][found], "score": score})
     return run
 
 
-_FOUND = ["query_id", "form", "vec_id", "score"]
+_FOUND = ["query_id", "form", "asked", "vec_id", "offered", "score"]
 
 
 def whole_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, ints, form): floor(scale * x) of every component; vectors that are null or hold a
-    null or a value that is not finite are left out, and so are rows without an id. Repeated rows
-    count once. ``form`` is a hash of the vector, to tell rows apart that share an id."""
+    """(vec_id, ints, form, copies): floor(scale * x) of every component; vectors that are null or
+    empty or hold a null or a value that is not finite are left out, and so are rows without an id.
+    Equal rows come as one with their number. ``form`` is a hash of the vector, to tell rows apart
+    that share an id. A vector of d components of which one reaches sqrt(2**62 / d) in size takes no
+    part either: its inner products need not fit a long."""
     x = F.col("embedding")
-    fine = x.isNotNull() & F.forall(x, lambda v: F.coalesce(
-        ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
+    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(
+        F.abs(F.lit(float(scale)) * v.cast("double")) < F.sqrt(F.lit(2.0**62) / F.size(x)),
+        F.lit(False)))
     ints = F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("long"))
     return embeddings.filter(fine & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long").alias("vec_id"), ints.alias("ints")).distinct().withColumn(
-        "form", F.xxhash64("ints"))
+        F.col("vec_id").cast("long").alias("vec_id"), ints.alias("ints")).groupBy(
+        "vec_id", "ints").agg(F.count("*").alias("copies")).withColumn("form", F.xxhash64("ints"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of every query.
 
-    ``vectors`` and ``queries`` are (vec_id, ints, form) tables. Rows with the query's id are no
-    candidates. Ties go to the smaller vec_id. Vectors of different length are never compared; a
-    query with fewer than k candidates gets all of them, one with none gets no row, empty tables
-    give none. Blocks follow from exact row counts; every block of queries meets every block of
+    ``vectors`` and ``queries`` are tables of ``whole_vectors``. Rows with the query's id are no
+    candidates. Ties go to the smaller vec_id. Equal rows count each for itself, as candidates and
+    as queries. Vectors of different length are never compared; a query with fewer than k
+    candidates gets all of them, one with none gets no row, empty tables give none. Blocks follow from exact row counts; every block of queries meets every block of
     candidates, and only k rows per query and block go on.
     """
     counts = [x.agg(F.count("*")).first()[0] for x in (vectors, queries)]
@@ -194,14 +189,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     def dealt(df, own: int, other: int, names: tuple[str, str], asks: bool):
         return df.select(
-            F.size("ints").alias("length"), "vec_id", "form", "ints", F.lit(asks).alias("asks"),
+            F.size("ints").alias("length"), "vec_id", "form", "copies", "ints", F.lit(asks).alias("asks"),
             F.pmod(F.xxhash64("vec_id", "form"), F.lit(own)).cast("int").alias(names[0]),
             F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
 
     sides = dealt(vectors, *blocks, ("c", "q"), False).unionByName(
         dealt(queries, *blocks[::-1], ("q", "c"), True))
+    find_package(sides.sparkSession)
     found = sides.groupBy("length", "q", "c").applyInPandas(
-        _search(k), "query_id long, form long, vec_id long, score long")
+        _search(k), "query_id long, form long, asked long, vec_id long, offered long, score long")
+
+    def numbered(name: str, most=None):
+        last = F.col(name) if most is None else F.least(F.col(name), F.lit(most))
+        return F.explode(F.sequence(F.lit(1).cast("long"), last.cast("long")))
     best = Window.partitionBy("query_id", "form").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
+    ranked = found.withColumn("copy", numbered("offered", k)).withColumn(
+        "rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.withColumn("copy", numbered("asked")).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -21,14 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers find this package also where it is not installed: the source
-    folder joins the workers' module path. On a cluster ship the package with ``--py-files``."""
-    paths = df.sparkSession.sparkContext.environment
+def find_package(spark: SparkSession) -> None:
+    """Workers find this package also where it is not installed: the source folder joins their
+    module path. On a cluster ship the package with ``--py-files``."""
+    paths = spark.sparkContext.environment
     known = paths.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         paths["PYTHONPATH"] = os.pathsep.join(x for x in (known, ROOT) if x)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers find this package."""
+    find_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
