@@ -77,6 +77,6 @@ def test_sql_agrees_on_repeats_and_empty_vectors(spark, tmp_path):
         str(tmp_path / "embeddings.parquet"))
     engine = duckdb.connect()
     engine.execute("create view embeddings as select * from "
-                   f"read_parquet('{tmp_path}/embeddings.parquet/*')")
+                   f"read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     got = sorted(map(tuple, QUERIES["op8_exact_top_k"](spark, str(tmp_path)).collect()))
     assert got == sorted(engine.execute(OP8_SQL).fetchall())

@@ -25,8 +25,11 @@ from .frames import find_package
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 NET = 24
-LEAF = 96
-_NONE = -(1 << 63) + 1
+LEAF = 256
+#: Scores of up to 2**46 and a place in the block fit one sortable number.
+_PLACES = 14
+_PLACE_MASK = (1 << _PLACES) - 1
+_SMALL = 2.0**46
 
 
 class Node:
@@ -62,6 +65,54 @@ class Node:
         return [x for c in self.children for x in c.leaves()] if self.children else [self]
 
 
+class Packed:
+    """The k best (score, place) per query as one sortable number each; ties to smaller places."""
+
+    least = -(1 << 47)
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.keys = np.full((queries, k), self.least << _PLACES, np.int64)
+
+    def worst(self, rows: np.ndarray) -> int:
+        return int(self.keys[rows].min()) >> _PLACES
+
+    def add(self, rows: np.ndarray, score: np.ndarray, places: np.ndarray) -> None:
+        keys = np.concatenate((self.keys[rows], (score << _PLACES) | (_PLACE_MASK - places)),
+                              axis=1)
+        self.keys[rows] = np.partition(keys, keys.shape[1] - self.k, axis=1)[:, -self.k:]
+
+    def found(self):
+        row, at = np.nonzero(self.keys >> _PLACES > self.least)
+        key = self.keys[row, at]
+        return row, _PLACE_MASK - (key & _PLACE_MASK), key >> _PLACES
+
+
+class Wide:
+    """The same for scores of any size that fits a long."""
+
+    least = -(1 << 63) + 1
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = np.full((queries, k), self.least, np.int64)
+        self.places = np.zeros((queries, k), np.int64)
+
+    def worst(self, rows: np.ndarray) -> int:
+        return int(self.scores[rows].min())
+
+    def add(self, rows: np.ndarray, score: np.ndarray, places: np.ndarray) -> None:
+        scores = np.concatenate((self.scores[rows], score), axis=1)
+        places = np.concatenate((self.places[rows], np.broadcast_to(places, score.shape)), axis=1)
+        first = np.lexsort((places, -scores), axis=1)[:, :self.k]
+        self.scores[rows] = np.take_along_axis(scores, first, axis=1)
+        self.places[rows] = np.take_along_axis(places, first, axis=1)
+
+    def found(self):
+        row, at = np.nonzero(self.scores > self.least)
+        return row, self.places[row, at], self.scores[row, at]
+
+
 class DualTree:
     """The k best candidates of every query of one pair of blocks."""
 
@@ -71,12 +122,11 @@ class DualTree:
         self.order, self.q, self.c = order, queries, candidates[order]
         # Double precision where it is exact, else whole numbers; the tree is the same.
         top = max(float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (queries, candidates))
-        kind = np.float64 if top * top * queries.shape[1] < 2**53 else np.int64
+        most = top * top * queries.shape[1]
+        kind = np.float64 if most < 2**53 else np.int64
         self.exact = self.q.astype(kind), self.c.astype(kind)
         self.q, self.c = self.q.astype(np.float64), self.c.astype(np.float64)
-        # Per query the best scores and, for ties, the candidates' places in order of their ids.
-        self.best = np.full((len(queries), k), _NONE, np.int64)
-        self.places = np.full((len(queries), k), -1, np.int64)
+        self.best = (Packed if most < _SMALL else Wide)(len(queries), k)
         self.done: set[tuple[int, int]] = set()
         self.query_root = Node(self.q, np.arange(len(self.q)), 0)
         root = Node(self.c, np.arange(len(self.c)), 0)
@@ -94,7 +144,7 @@ class DualTree:
         return bound + 1e-3 + 1e-9 * reach
 
     def _worst(self, q: Node) -> int:
-        return int(self.best[q.rows].min())
+        return self.best.worst(q.rows)
 
     def _prime(self, q: Node, root: Node) -> None:
         """First kth scores for a group: the leaf below the highest bounds."""
@@ -126,18 +176,13 @@ class DualTree:
         self.done.add((id(q), id(c)))
         asked, offered = self.exact
         score = (asked[q.rows] @ offered[c.rows].T).astype(np.int64)
-        score[self.query_ids[q.rows][:, None] == self.ids[c.rows][None, :]] = _NONE
-        scores = np.concatenate((self.best[q.rows], score), axis=1)
-        places = np.concatenate((self.places[q.rows],
-                                 np.broadcast_to(c.rows, score.shape)), axis=1)
-        first = np.lexsort((places, -scores), axis=1)[:, :self.k]
-        self.best[q.rows] = np.take_along_axis(scores, first, axis=1)
-        self.places[q.rows] = np.take_along_axis(places, first, axis=1)
+        score[self.query_ids[q.rows][:, None] == self.ids[c.rows][None, :]] = self.best.least
+        self.best.add(q.rows, score, c.rows)
 
     def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, candidate row, score) of the best."""
-        row, at = np.nonzero(self.best > _NONE)
-        return row, self.order[self.places[row, at]], self.best[row, at]
+        row, place, score = self.best.found()
+        return row, self.order[place], score
 
 
 def _search(k: int):
