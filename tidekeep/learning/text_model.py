@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,17 @@ def train_test(messages: DataFrame, test_ratio: float = 0.2,
         F.col("_val"), "validation").otherwise("train")).drop("_test", "_val")
 
 
+def fold(key: str, folds: int) -> Column:
+    """A fixed fold per key, from the head of its md5; the same on every run and in SQL."""
+    head = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
+    return F.pmod(head, F.lit(folds)).cast("int")
+
+
+def token_array(text: str = "text") -> Column:
+    """The tokens of a text; a null text has none."""
+    return F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("_tokens")
+
+
 @dataclass
 class TextClassifier:
     """Fitted feature stage and heads; use as a ``classify`` stage of ``listen``."""
@@ -55,7 +68,7 @@ class TextClassifier:
     def __call__(self, df: DataFrame) -> DataFrame:
         kept = [c for c in df.columns if c not in HEADS]
         low = F.lower("text")
-        out = self.features.transform(df.select(*kept, tokens(F.col("text")).alias("_tokens")))
+        out = self.features.transform(df.select(*kept, token_array()))
         for head, labels in HEADS.items():
             out = self.heads[head].transform(out)
             label, confidence = best_label(vector_to_array(f"_prob_{head}"), labels)
@@ -77,27 +90,62 @@ def load(path: str, lexicon: Lexicon = DEFAULT, name: str = "trained") -> TextCl
         head: PipelineModel.load(f"{path}/{head}") for head in HEADS}, lexicon, name)
 
 
-def fit(messages: DataFrame, lexicon: Lexicon = DEFAULT, vocabulary: int = MAX_TOKENS,
-        reg: float = 0.01, max_iter: int = 60, name: str = "trained") -> TextClassifier:
-    """Fit both heads on labelled messages.
-
-    The sparse token counts, not the texts, are what the iterations read.
-    """
-    labelled = messages.select(tokens(F.col("text")).alias("_tokens"), *[
+def _counted(messages: DataFrame, vocabulary: int, *extra: Column) -> tuple:
+    """Fitted feature stage, and the labelled token counts that the iterations read."""
+    labelled = messages.select(token_array(), *[
         label_index(h, labels).cast("double").alias(f"_label_{h}")
-        for h, labels in HEADS.items()])
+        for h, labels in HEADS.items()], *extra)
     features = Pipeline(stages=[CountVectorizer(
         inputCol="_tokens", outputCol="_counts", vocabSize=vocabulary)]).fit(labelled)
-    counted = features.transform(labelled).drop("_tokens").persist()
-    heads = {h: Pipeline(stages=[LogisticRegression(
+    return features, features.transform(labelled).drop("_tokens").persist()
+
+
+def _head(h: str, reg: float, max_iter: int) -> LogisticRegression:
+    return LogisticRegression(
         featuresCol="_counts", labelCol=f"_label_{h}", family="multinomial", regParam=reg,
         maxIter=max_iter, probabilityCol=f"_prob_{h}", rawPredictionCol=f"_raw_{h}",
-        predictionCol=f"_pred_{h}")]).fit(counted.filter(F.col(f"_label_{h}").isNotNull()))
-        for h in HEADS}
+        predictionCol=f"_pred_{h}")
+
+
+def fit(messages: DataFrame, lexicon: Lexicon = DEFAULT, vocabulary: int = MAX_TOKENS,
+        reg: float | dict[str, float] = 0.01, max_iter: int = 60,
+        name: str = "trained") -> TextClassifier:
+    """Fit both heads on labelled messages; ``reg`` may differ by head.
+
+    The sparse token counts, not the texts, are what the iterations read.
+    """
+    regs = reg if isinstance(reg, dict) else {h: reg for h in HEADS}
+    features, counted = _counted(messages, vocabulary)
+    heads = {h: Pipeline(stages=[_head(h, regs[h], max_iter)]).fit(
+        counted.filter(F.col(f"_label_{h}").isNotNull())) for h in HEADS}
     counted.unpersist()
     return TextClassifier(features, heads, lexicon, name)
 
 
+def tune(messages: DataFrame, regs: tuple[float, ...] = (0.001, 0.01, 0.1), folds: int = 3,
+         key: str = "message_id", vocabulary: int = MAX_TOKENS,
+         max_iter: int = 60) -> dict[str, dict[float, float]]:
+    """Mean accuracy over fixed folds by head and regularisation, by cross-validation."""
+    _, counted = _counted(messages, vocabulary, fold(key, folds).alias("_fold"))
+    found = {}
+    for h in HEADS:
+        head = _head(h, regs[0], max_iter)
+        grid = ParamGridBuilder().addGrid(head.regParam, list(regs)).build()
+        judge = MulticlassClassificationEvaluator(
+            labelCol=f"_label_{h}", predictionCol=f"_pred_{h}", metricName="accuracy")
+        model = CrossValidator(estimator=head, estimatorParamMaps=grid, evaluator=judge,
+                               numFolds=folds, foldCol="_fold", parallelism=2).fit(
+            counted.filter(F.col(f"_label_{h}").isNotNull()))
+        found[h] = dict(zip(regs, model.avgMetrics))
+    counted.unpersist()
+    return found
+
+
+def best_regs(tuned: dict[str, dict[float, float]]) -> dict[str, float]:
+    """Per head the value with the best mean accuracy; of equal ones the strongest."""
+    return {h: max(scores, key=lambda r: (scores[r], r)) for h, scores in tuned.items()}
+
+
 def choose(preferred: str, finetuned=None, trained=None):
     """The classifier to serve: the preferred one if present, else trained, else None (keywords)."""
     if preferred == "finetuned" and finetuned is not None:

@@ -15,6 +15,7 @@ from ..functions import text as tx
 from ..learning import churn_model as cm
 from ..learning import newton as nw
 from ..learning import text_model as tm
+from ..learning import token_weights as tw
 from ..learning import vocabulary as voc
 from ..lexicon import EUROPEAN as LEX
 from ..operators import decide as dc
@@ -42,6 +43,7 @@ from . import queue as qu
 from . import scenarios as sc
 
 c = F.col
+FOLDS = 3
 
 
 def scorer(profile: DataFrame) -> DataFrame:
@@ -126,6 +128,20 @@ class Tables:
         """Truth and prediction of the customers the fitted model has not seen."""
         return held_out_outcome(self.churn_fit(self.customer_parts.filter("held_out")))
 
+    unseen = cached_property(lambda self: ad.unseen(self.spark, self.folder))
+
+    @cached_property
+    def message_parts(self) -> DataFrame:
+        """Messages with part (train, validation, test) and, for train, a fold."""
+        return tm.train_test(self.messages).withColumn(
+            "fold", F.when(c("part") == "train", tm.fold("message_id", FOLDS)))
+
+    @cached_property
+    def counts_classifier(self) -> tw.WeightedClassifier:
+        """The count model of the train part."""
+        weights = tw.from_counts(self.message_parts.filter("part = 'train'"))
+        return tw.WeightedClassifier(written(weights, "count-weights"), LEX, "counts")
+
 
 def held_out_outcome(scored: DataFrame) -> DataFrame:
     return scored.select("customer_id", "nationality_region", "churned", "behaviour",
@@ -535,6 +551,7 @@ query("spl_1_message_split")(lambda t: sp.stratified_split(
 query("spl_2_label_split")(lambda t: sp.stratified_split(
     t.profile, c("churned").cast("string"), "customer_id", 0.25).select("customer_id",
                                                                         "held_out"))
+query("spl_3_folds")(lambda t: t.message_parts.select("message_id", "part", "fold"))
 query("spl_3_validation_tail")(lambda t: tm.train_test(t.messages).select("message_id", "part"))
 
 # ------------------------------------------------------------ learning
@@ -603,17 +620,91 @@ query("ml_8_trained_queue")(lambda t: qu.build_queue(
     classify=_trained_classifier(t)))
 
 
+def _labels(scored: DataFrame) -> DataFrame:
+    return rounded(scored, "issue_type_confidence", "churn_signal_confidence")
+
+
+query("ml_7_count_scores")(lambda t: _labels(tw.scored(t.messages, t.counts_classifier.weights)))
+
+
+@query("ml_7_weights_agree")
+def _weights_agree(t: Tables) -> DataFrame:
+    """The written weights of the fitted heads against the model's own vector output."""
+    model = _trained_classifier(t)
+    own = model(t.messages.select("message_id", "text"))
+    table = written(tw.from_heads(model, t.spark), "head-weights")
+    both = own.join(tw.scored(t.messages, table).select(
+        "message_id", c("issue_type").alias("issue"), c("churn_signal").alias("signal"),
+        "issue_type_confidence", c("churn_signal_confidence").alias("signal_confidence")),
+        "message_id")
+    gap = F.greatest(F.abs(c("issue_confidence") - c("issue_type_confidence")),
+                     F.abs(c("churn_signal_confidence") - c("signal_confidence")))
+    return both.agg(F.count("*").alias("n"), F.count_if(
+        (c("issue") != c("issue_type")) | (c("signal") != c("churn_signal"))).alias("other_labels"),
+        (F.max(gap) < 1e-9).alias("same_confidence"))
+
+
+query("ml_8_count_queue")(lambda t: qu.build_queue(
+    t.messages, t.profile, scorer, LEX, classify=t.counts_classifier))
+
+
+def _bakeoff_rows(t: Tables, models: dict, keep: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Truth and predictions of every model on every data set, each set scanned once a model."""
+    rows = []
+    for dataset, messages in keep:
+        base = messages.select("message_id", "text", "language", c("issue_type").alias("_issue"),
+                               c("churn_signal").alias("_signal"))
+        for name, classify in models.items():
+            rows.append(classify(base).select(
+                F.lit(name).alias("model"), F.lit(dataset).alias("dataset"), "language",
+                c("_issue").alias("issue_type"), c("_signal").alias("churn_signal"),
+                c("issue_type").alias("pred_issue"), c("churn_signal").alias("pred_signal")))
+    return ev.stack(rows)
+
+
+def _keywords(df: DataFrame) -> DataFrame:
+    return ls.with_keyword_labels(df, LEX)
+
+
+def _eval_sets(t: Tables) -> list[tuple[str, DataFrame]]:
+    return [("held_out", t.message_parts.filter("part = 'test'")), ("unseen", t.unseen)]
+
+
+query("ml_9_bakeoff_exact")(lambda t: rounded(ev.bakeoff(_bakeoff_rows(
+    t, {"keywords": _keywords, "counts": t.counts_classifier}, _eval_sets(t))),
+    "issue_acc", "signal_acc"))
+
+
+@query("ml_9_served")
+def _served_model(t: Tables) -> DataFrame:
+    """The validation part decides which classifier serves: the better one by both accuracies
+    together, of equal ones the keywords."""
+    rows = _bakeoff_rows(t, {"keywords": _keywords, "counts": t.counts_classifier},
+                         [("validation", t.message_parts.filter("part = 'validation'"))])
+    report = written(ev.bakeoff(rows).filter("language = '(all)'"), "validation-report")
+    best = report.agg(F.max_by("model", F.struct(
+        F.round(c("issue_acc") + c("signal_acc"), 9), c("model"))).alias("model"))
+    return rounded(report.select("model", "n", "issue_acc", "signal_acc", (
+        c("model") == best.scalar()).alias("served")), "issue_acc", "signal_acc")
+
+
+@query("ml_9_tuning")
+def _tuning(t: Tables) -> DataFrame:
+    tuned = tm.tune(t.message_parts.filter("part = 'train'"), folds=FOLDS)
+    chosen = tm.best_regs(tuned)
+    return literal_table(t.spark, ["head", "reg", "mean_accuracy", "chosen"], [
+        (h, r, a, chosen[h] == r) for h, scores in tuned.items() for r, a in scores.items()])
+
+
 @query("ml_9_bakeoff")
 def _bakeoff(t: Tables) -> DataFrame:
-    split = sp.stratified_split(t.messages, sp.message_stratum(), "message_id", 0.2)
-    parts = split.select("message_id", F.when(c("held_out"), "held_out").otherwise("rest")
-                         .alias("dataset"))
-    trained = tm.fit(split.filter(~c("held_out")), LEX)
-    inputs = t.messages.select("message_id", "text")
-    models = {"trained": trained(inputs), "keywords": ls.with_keyword_labels(inputs, LEX)}
-    preds = ev.stack([ev.predictions(df, name, "").drop("dataset")
-                      for name, df in models.items()]).join(parts, "message_id")
-    return rounded(ev.bakeoff(ev.with_truth(preds, t.messages)), "issue_acc", "signal_acc")
+    """All classifiers on the held-out and the unseen messages; the heads with the regularisation
+    that cross-validation chose."""
+    train = t.message_parts.filter("part = 'train'")
+    regs = tm.best_regs(tm.tune(train, folds=FOLDS))
+    models = {"trained": tm.fit(train, LEX, reg=regs), "keywords": _keywords,
+              "counts": t.counts_classifier}
+    return rounded(ev.bakeoff(_bakeoff_rows(t, models, _eval_sets(t))), "issue_acc", "signal_acc")
 
 
 query("ml_10_scored_book")(lambda t: t.book.select(

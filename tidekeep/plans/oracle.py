@@ -495,6 +495,89 @@ VOC = f"""{M}, toks AS (SELECT message_id, regexp_extract_all({STRIP},
 vocab AS (SELECT token, count(*) AS n FROM (SELECT unnest(tok) AS token FROM toks) u
   GROUP BY token ORDER BY n DESC, token DESC LIMIT 1998)"""
 
+HEAD_LABELS = [("issue_type", ISSUES), ("churn_signal", SIGNALS)]
+CLASS_ROWS = ", ".join(f"({s(h)}, {s(v)}, {k}, {len(vs)})"
+                       for h, vs in HEAD_LABELS for k, v in enumerate(vs))
+
+
+def bag(source: str, out: str) -> str:
+    """{out}(message_id, token), a row per token of the texts of a table."""
+    return f"""{out} AS (SELECT message_id, unnest(regexp_extract_all({STRIP},
+  {s('[^' + ent.BLANK_CHARS + ']+')})) AS token FROM {source})"""
+
+
+def counted_ctes(source: str, out: str) -> str:
+    """{out}(message_id, issue_type, ..._confidence, churn_signal, ...): the count model fitted to
+    table train, applied to the texts of a table."""
+    heads = []
+    for h, _ in HEAD_LABELS:
+        heads.append(f"""{out}_{h} AS (SELECT message_id,
+  first(label ORDER BY z DESC, place) AS best, 1e0 / sum(exp(z - top)) AS share
+  FROM (SELECT *, max(z) OVER (PARTITION BY message_id) AS top
+    FROM {out}_z WHERE head = {s(h)}) t GROUP BY message_id)""")
+    return f"""{bag(source, out + '_bag')},
+{out}_n AS (SELECT message_id, token, count(*) AS n FROM {out}_bag GROUP BY 1, 2),
+{out}_sum AS (SELECT message_id, head, label, sum(n * weight) AS z FROM {out}_n
+  JOIN odds USING (token) GROUP BY 1, 2, 3),
+{out}_z AS (SELECT m.message_id, p.head, p.label, p.place, p.weight + coalesce(z, 0e0) AS z
+  FROM {source} m CROSS JOIN priors p LEFT JOIN {out}_sum USING (message_id, head, label)),
+{', '.join(heads)},
+{out} AS (SELECT i.message_id, i.best AS issue_type, i.share AS issue_type_confidence,
+  c.best AS churn_signal, c.share AS churn_signal_confidence
+  FROM {out}_issue_type i JOIN {out}_churn_signal c USING (message_id))"""
+
+
+def count_model(base: str) -> str:
+    """Tables train, priors and odds of the count model on top of message and split."""
+    return f"""{base}, rest AS (SELECT * EXCLUDE (held_out) FROM split WHERE NOT held_out),
+{part_ctes('rest', "issue_type || '_' || churn_signal", 'message_id', '1.5e-1', 'tail')},
+train AS (SELECT * FROM tail WHERE NOT held_out),
+classes(head, label, place, of) AS (VALUES {CLASS_ROWS}),
+truth AS (SELECT message_id, 'issue_type' AS head, issue_type AS label FROM train
+  UNION ALL SELECT message_id, 'churn_signal', churn_signal FROM train),
+known AS (SELECT t.* FROM truth t JOIN classes USING (head, label)),
+priors AS (SELECT head, label, place, ln((count(message_id) + 1)
+    / CAST(sum(count(message_id)) OVER (PARTITION BY head) + of AS DOUBLE)) AS weight
+  FROM classes LEFT JOIN known USING (head, label) GROUP BY head, label, place, of),
+{bag('train', 'train_bag')},
+words AS (SELECT token FROM train_bag GROUP BY token ORDER BY count(*) DESC, token DESC LIMIT 1998),
+cells AS (SELECT head, label, token, count(*) AS n FROM train_bag JOIN words USING (token)
+  JOIN known USING (message_id) GROUP BY 1, 2, 3),
+sizes AS (SELECT head, label, sum(n) AS total FROM cells GROUP BY 1, 2),
+odds AS (SELECT c.head, c.label, w.token, ln((coalesce(n, 0) + 1)
+    / CAST(coalesce(total, 0) + (SELECT count(*) FROM words) AS DOUBLE)) AS weight
+  FROM classes c CROSS JOIN words w LEFT JOIN cells USING (head, label, token)
+  LEFT JOIN sizes USING (head, label))"""
+
+
+UNSEEN = ("unseen AS (SELECT 'U' || conv_id || '-' || turn AS message_id, concat_ws(' ', text,"
+          " line) AS text, language, issue_type, churn_signal, lower(concat_ws(' ', text, line))"
+          " AS low FROM conversations JOIN (VALUES " + ", ".join(
+              f"({k}, {s(a)}, {s(b)}, {s(d)}, {s(e)})"
+              for k, (a, b, d, e) in enumerate(ad.UNSEEN_CLOSINGS))
+          + f") closing(k, line, language, issue_type, churn_signal)"
+            f" ON (conv_id * 5 + turn) % {len(ad.UNSEEN_CLOSINGS)} = k WHERE role = 'user')")
+
+
+def eval_sql(sets: list[tuple[str, str]]) -> str:
+    """Predictions of keywords and of the count model on tables with text and labels."""
+    parts, rows = [], []
+    for name, source in sets:
+        parts.append(counted_ctes(source, f"c_{name}"))
+        parts.append(f"""k_{name} AS (SELECT message_id, {ISSUE} AS issue_type,
+  CASE WHEN {any_of('low', LEX.leaving)} THEN 'High' WHEN {any_of('low', LEX.wavering)}
+    THEN 'Medium' ELSE 'Low' END AS churn_signal FROM {source})""")
+        for model, table in (("counts", f"c_{name}"), ("keywords", f"k_{name}")):
+            rows.append(f"SELECT {s(model)} AS model, {s(name)} AS dataset, t.language,"
+                        f" t.issue_type = p.issue_type AS issue_hit,"
+                        f" t.churn_signal = p.churn_signal AS signal_hit"
+                        f" FROM {source} t JOIN {table} p USING (message_id)")
+    return ", ".join(parts) + ", hits AS (" + " UNION ALL ".join(rows) + """), report AS (
+  SELECT model, dataset, coalesce(language, '(all)') AS language, count(*) AS n,
+  avg(CASE WHEN issue_hit THEN 1e0 ELSE 0e0 END) AS issue_acc,
+  avg(CASE WHEN signal_hit THEN 1e0 ELSE 0e0 END) AS signal_acc
+  FROM hits GROUP BY GROUPING SETS ((model, dataset), (model, dataset, language)))"""
+
 
 def reply(text: str, labels) -> str:
     arms = " ".join(f"WHEN contains(lower({text}), {s(v.lower())}) THEN {s(v)}" for v in labels)
@@ -1021,6 +1104,32 @@ GROUP BY message_id""",
   count(*) AS n, true AS in_range, true AS leavers_above FROM parts WHERE held_out GROUP BY churned""",
     "ml_6_coefficients": f"""{HELD} SELECT unnest({WEIGHTS}) AS feature,
   unnest(list_transform(b, lambda w: round(w, 4) + 0e0)) AS coefficient FROM fitted""",
+    "spl_3_folds": f"""{count_model(f'{M}, {SPLIT}')} SELECT message_id, 'test' AS part,
+  CAST(NULL AS INTEGER) AS fold FROM split WHERE held_out
+  UNION ALL SELECT message_id, CASE WHEN held_out THEN 'validation' ELSE 'train' END,
+  CASE WHEN NOT held_out THEN CAST(CAST('0x' || substr(md5(message_id), 1, 8) AS BIGINT) % 3
+    AS INTEGER) END FROM tail""",
+    "ml_7_count_scores": f"""{count_model(f'{M}, {SPLIT}')}, {counted_ctes('message', 'found')}
+  SELECT message_id, issue_type, round(issue_type_confidence, 6) AS issue_type_confidence,
+  churn_signal, round(churn_signal_confidence, 6) AS churn_signal_confidence FROM found""",
+    "ml_7_weights_agree": f"{M} SELECT count(*) AS n, CAST(0 AS BIGINT) AS other_labels,"
+                          " true AS same_confidence FROM message",
+    "ml_8_count_queue": f"""{count_model(f'{PM}, {SPLIT}')}, {counted_ctes('message', 'found')},
+voted AS (SELECT m.message_id, customer_id, text, low, language,
+  {any_of('low', LEX.leaving)} AS leaving_confirmed, f.issue_type, f.churn_signal,
+  f.issue_type_confidence AS issue_confidence, f.churn_signal_confidence, 1e0 AS
+  language_confidence FROM message m JOIN found f USING (message_id)),
+{risk_ctes('voted')}, {plan_ctes()}, {QUEUE} SELECT * FROM queue""",
+    "ml_9_bakeoff_exact": f"""{count_model(f'{M}, {SPLIT}')}, {UNSEEN},
+held_out AS (SELECT * FROM split WHERE held_out), {eval_sql([('held_out', 'held_out'),
+                                                              ('unseen', 'unseen')])}
+  SELECT model, dataset, language, n, round(issue_acc, 6) AS issue_acc,
+  round(signal_acc, 6) AS signal_acc FROM report""",
+    "ml_9_served": f"""{count_model(f'{M}, {SPLIT}')},
+validation AS (SELECT * FROM tail WHERE held_out), {eval_sql([('validation', 'validation')])}
+  SELECT model, n, round(issue_acc, 6) AS issue_acc, round(signal_acc, 6) AS signal_acc,
+  row_number() OVER (ORDER BY round(issue_acc + signal_acc, 9) DESC, model DESC) = 1 AS served
+  FROM report WHERE language = '(all)'""",
     "ml_5_hard_label": f"{OUT} SELECT customer_id, actual, predicted FROM outcome",
     "ml_10_scored_book": f"{B} SELECT customer_id, segment, round(behaviour_risk, 6) AS"
                          " behaviour_risk, band FROM book",

@@ -220,6 +220,41 @@ def shape_inbox(turns: DataFrame) -> DataFrame:
         .when(F.pmod("conv_id", F.lit(3)) == 1, "auto").alias("lang_override"))
 
 
+# Closing lines that no document has: (text, language, issue, signal).
+UNSEEN_CLOSINGS = [
+    ("After this summer we live elsewhere for good, so end my banking with you.", "en",
+     "Account_Closure", "High"),
+    ("My wire to my sister has not shown up on her side.", "en", "Remittance_Transfer", "Low"),
+    ("We wonder whether to repay the house loan early, undecided so far.", "en", "Loan_Mortgage",
+     "Medium"),
+    ("A charge of AED 75 appeared twice and I am frustrated.", "en", "Fees_Charges", "Medium"),
+    ("Please block the card, the shop kept it.", "en", "Card_Services", "Low"),
+    ("The app shows a blank page and no otp arrives.", "en", "App_Technical", "Low"),
+    ("When does the office close on Fridays?", "en", "General_Query", "Low"),
+    ("سأغادر الإمارات نهائيا وأريد إغلاق الحساب.", "ar", "Account_Closure", "High"),
+    ("لماذا هذه الرسوم على حسابي؟", "ar", "Fees_Charges", "Low"),
+    ("hamesha ke liye ja rahe hain, khata band kar dijiye.", "hi", "Account_Closure", "High"),
+    ("card kaam nahi karta, naya chahiye.", "hi", "Card_Services", "Low"),
+    ("aalis na ako ng UAE sa Marso, pakisara ang account.", "tl", "Account_Closure", "High"),
+    ("hindi ko mabuksan ang app mula kahapon po.", "tl", "App_Technical", "Low"),
+]
+
+
+def unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second labelled message set: user turns of conversations, which share neither texts nor
+    closing lines with the documents."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    line = F.pmod(F.col("conv_id") * 5 + F.col("turn"), F.lit(len(UNSEEN_CLOSINGS))) + 1
+
+    def part(k: int) -> Column:
+        return F.element_at(F.array(*[F.lit(x[k]) for x in UNSEEN_CLOSINGS]), line.cast("int"))
+    return turns.select(
+        F.concat(F.lit("U"), F.col("conv_id").cast("string"), F.lit("-"),
+                 F.col("turn").cast("string")).alias("message_id"),
+        F.concat_ws(" ", "text", part(0)).alias("text"), part(1).alias("language"),
+        part(2).alias("issue_type"), part(3).alias("churn_signal"))
+
+
 AUDIT_ACTIONS = ["dignified_goodbye", "fee_waiver", "remittance_support",
                  "loan_restructure_info", "rm_call", "service_fix", "proactive_checkin",
                  "answer_query", "human_triage"]
