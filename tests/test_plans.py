@@ -47,6 +47,28 @@ def test_no_single_task_rank(spark):
     assert rows and not any("message_id" in r for r in rows)
 
 
+@needs_data
+@pytest.mark.parametrize("name, carried", [
+    ("tml_1_case_timeline", ()), ("tml_2_extended_timeline", ()), ("grd_3_invented_amounts", ()),
+    ("grd_4_retention_pressure", ()), ("rev_1_review_transition", ()),
+    ("drf_3_serve_decision", ("_draft",)), ("cmp_2_run_case", ("_draft",))])
+def test_texts_stay_out_of_the_exchanges(spark, name, carried):
+    """With no broadcast of data to hide behind; ``_draft`` is null for texts no plan can serve."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        text = explain(CATALOG[name](Tables(spark, FOLDER)))
+    finally:
+        spark.conf.set(key, before)
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)\n", text)
+    assert moved
+    for columns in moved:
+        names = set(re.findall(r"(\w+)#", columns))
+        assert not names & ({"candidate", "text", "_clow", "_low", "draft_message", "_draft"}
+                            - set(carried)), columns
+
+
 def test_every_query_has_sql_or_a_reason():
     missing = set(CATALOG) - set(entry.oracle_sql())
     assert missing == {"ml_4_boosted_trees_scores", "ml_7_text_heads", "ml_8_trained_queue",

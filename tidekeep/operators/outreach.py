@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import whole
+from ..functions.text import contains_any
 from ..lexicon import DEFAULT, Lexicon
 from . import guardrails as gr
 from .decide import ACTION_LABELS
@@ -37,12 +38,12 @@ TEMPLATES: dict[str, dict[str, str]] = {
               "just answer this note and one of us will look at it.",
         "ar": "عميلنا الكريم، شكواكم في محلها ونحن نعتذر. راجعنا المبلغ وسنعيد إلى حسابكم AED {offer} "
               "كاملة. إذا لاحظتم أي أمر آخر غير واضح فيكفي الرد على هذه الرسالة وسيتابعها أحد زملائنا معكم.",
-        "hi": "Priya grahak, aapki shikayat sahi hai aur hum maafi chahte hain. Humne charge dekha hai aur "
-              "AED {offer} wapas aapke account mein aa gaya hai. Kuch aur galat lage to isi par jawab "
-              "dijiye, hum turant nahi to jaldi dekhenge.",
-        "tl": "Mahal na kliyente, tama po ang reklamo ninyo at humihingi kami ng paumanhin. Sinuri na "
-              "namin ang singil at ibabalik ang AED {offer} sa inyong account. Kung may iba pang hindi "
-              "malinaw, sumagot lang po sa sulat na ito.",
+        "hi": "Priya grahak, AED {offer} ka ye charge bank ki bhool thi, aapki nahi. Kal tak poora paisa "
+              "aapke khaate mein dikhega. Batane ke liye dhanyavaad; hum apna tareeka badal rahe hain "
+              "aur aap ke liye dhyan rakhenge.",
+        "tl": "Mahal na kliyente, mali po ng bangko ang singil na AED {offer} at hindi ninyo dapat "
+              "binayaran ito. Makikita ninyo ang buong halaga sa account sa loob ng ilang araw. Salamat sa "
+              "pagsabi, at babantayan namin na hindi na ito mangyari.",
     },
     "remittance_support": {
         "en": "Dear customer, sending money home should be simple and fair. Your next transfer costs "
@@ -117,9 +118,9 @@ TEMPLATES: dict[str, dict[str, str]] = {
         "hi": "Priya grahak, humein likhne ke liye dhanyavaad. Humare saathi aapko poori jaankari jaldi "
               "bhej denge. Agar aap baat karna chahte hain to branch ko phone karo ya isi sandesh ka jawab "
               "dijiye.",
-        "tl": "Mahal na kliyente, salamat po sa pagsulat sa amin. Ipapadala ng kasama namin ang mga detalye "
-              "sa lalong madaling panahon. Kung gusto ninyo na may kausap, tumawag sa branch o sumagot sa "
-              "sulat na ito.",
+        "tl": "Mahal na kliyente, nakarating po sa amin ang tanong ninyo. Isang kasama namin ang "
+              "magbibigay ng buong sagot para sa inyo. Bukas din ang branch kung mas gusto ninyo na "
+              "pumunta at makipag-usap sa isang tao.",
     },
     "human_triage": {
         "en": "[STAFF ONLY] No outreach was prepared: the labels were too uncertain, so a person "
@@ -165,57 +166,91 @@ def with_template(plan: DataFrame) -> DataFrame:
         F.coalesce("_l", F.lit("en")).alias("template_language"))
 
 
-def check_candidates(drafts: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
-    """Adds ``candidate_language`` and ``candidate_flags`` for a ``candidate`` text column."""
-    kept, c = drafts.columns, F.col
+FACTS = ["candidate_language", "candidate_broken", "_written", "_urgent", "_slots", "_amounts",
+         "_pressing", "_short", "_draft"]
+
+
+def draft_facts(candidates: DataFrame, lex: Lexicon = DEFAULT, keep_text: bool = False) -> DataFrame:
+    """What the checks need of each ``candidate`` text, found where the text is scanned.
+
+    The facts are short whatever the length of the text. ``_draft`` is the text itself where it may
+    still be served: a text that no plan can accept is not carried on.
+    """
+    kept, c = [k for k in candidates.columns if k != "candidate"], F.col
     # Renamed to the text columns of the listen stage, whose lower-casing is shared.
-    renamed = drafts.select(*[F.col(k).alias(f"_p_{k}") for k in kept if k != "candidate"],
-                            F.col("candidate").alias("text"),
-                            F.lower("candidate").alias(LOW))
+    renamed = candidates.select(*[F.col(k).alias(f"_p_{k}") for k in kept],
+                                F.col("candidate").alias("text"),
+                                F.lower("candidate").alias(LOW))
     detected = with_detected_language(renamed, lex, language="candidate_language",
                                       confidence="_candidate_confidence")
-    lowered = detected.select(
-        *[F.col("text" if k == "candidate" else f"_p_{k}").alias(k) for k in kept],
-        "candidate_language", F.col(LOW).alias("_clow"))
+    lowered = detected.select(*[F.col(f"_p_{k}").alias(k) for k in kept],
+                              F.col("text").alias("candidate"), "candidate_language",
+                              F.col(LOW).alias("_clow"))
     looked_up = lowered.withColumns({
         "_urgent": gr.urgency_hits(c("_clow"), lex), "_slots": gr.placeholders(c("candidate")),
-        "_amounts": gr.draft_amounts(c("_clow")),
-        "_pressured": gr.pressures(c("_clow"), c("action"), lex),
-        "_short": gr.too_short(c("candidate"))})
-    checked = looked_up.withColumns({
-        "_invented": gr.invented_amounts(c("_amounts"), c("offer_value_aed")),
+        "_found": gr.draft_amounts(c("_clow")), "_pressing": contains_any(c("_clow"), lex.pressure),
+        "_short": gr.too_short(c("candidate")), "_written": c("candidate").isNotNull()})
+    judged = looked_up.withColumns({
         # An amount token without digits makes the draft unusable before any flag is raised.
-        "candidate_broken": F.exists("_amounts", lambda a: a.isNull())})
-    raised = gr.flags(c("_urgent"), c("_slots"), c("_invented"), c("_pressured"), c("_short"),
-                      c("language"), c("candidate_language"))
-    return checked.select(
-        *kept, "candidate_language", "candidate_broken",
-        F.when(c("candidate_broken"), F.array().cast("array<string>")).otherwise(raised)
-        .alias("candidate_flags"))
+        "candidate_broken": F.exists("_found", lambda a: a.isNull()),
+        "_amounts": F.array_distinct(F.array_compact("_found"))})
+    hopeless = (c("candidate_broken") | (F.size("_urgent") > 0) | (F.size("_slots") > 0)
+                | c("_short"))
+    return judged.withColumn("_draft", F.when(~hopeless, c("candidate"))).select(
+        *kept, *(["candidate"] if keep_text else []), *FACTS)
+
+
+def raised_flags() -> Column:
+    """All flags of a draft from its facts and the plan it is joined to."""
+    c = F.col
+    return gr.flags(c("_urgent"), c("_slots"),
+                    gr.invented_amounts(c("_amounts"), c("offer_value_aed")),
+                    (c("action") == "dignified_goodbye") & c("_pressing"), c("_short"),
+                    c("language"), c("candidate_language"))
 
 
-def serve(plan: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
+def check_candidates(drafts: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
+    """Adds ``candidate_language`` and ``candidate_flags`` for a ``candidate`` text column."""
+    facts = draft_facts(drafts, lex, keep_text=True)
+    return facts.select(
+        *drafts.columns, "candidate_language", "candidate_broken",
+        F.when(F.col("candidate_broken"), F.array().cast("array<string>"))
+        .otherwise(raised_flags()).alias("candidate_flags"))
+
+
+def serve(plan: DataFrame, lex: Lexicon = DEFAULT,
+          candidates: DataFrame | None = None) -> DataFrame:
     """What the reviewer gets: the candidate draft if one exists and no check objects, else the
-    template in the customer's language. Flags are kept either way."""
+    template in the customer's language. Flags are kept either way.
+
+    ``candidates`` (message_id, candidate) are checked at their scan and joined as facts; a plan
+    that has a ``candidate`` column already is checked in place.
+    """
     none = F.array().cast("array<string>")
+    kept = plan.columns
+    if candidates is not None:
+        plan = plan.join(draft_facts(candidates, lex), "message_id", "left")
+    elif "candidate" in kept:
+        plan = draft_facts(plan, lex, keep_text=True)
     templated = with_template(plan)
-    if "candidate" not in plan.columns:
+    if "_draft" not in plan.columns:
         return templated.select(
-            *plan.columns, F.col("template_text").alias("draft_message"),
+            *kept, F.col("template_text").alias("draft_message"),
             F.col("template_language").alias("draft_language"),
             F.lit("template").alias("draft_source"), none.alias("guardrail_flags"))
-    checked = check_candidates(templated, lex)
-    eligible = F.col("candidate").isNotNull() & (F.col("action") != "human_triage")
-    chosen = checked.withColumn("_serve", eligible & ~F.coalesce("candidate_broken", F.lit(False))
-                                & (F.size("candidate_flags") == 0))
+    broken = F.coalesce("candidate_broken", F.lit(False))
+    eligible = F.coalesce("_written", F.lit(False)) & (F.col("action") != "human_triage")
+    checked = templated.withColumn("guardrail_flags", F.when(
+        eligible & ~broken, raised_flags()).otherwise(none))
+    chosen = checked.withColumn("_serve", eligible & ~broken & (F.size("guardrail_flags") == 0))
     return chosen.select(
-        *plan.columns,
-        F.when(F.col("_serve"), F.col("candidate")).otherwise(F.col("template_text"))
+        *kept,
+        F.when(F.col("_serve"), F.col("_draft")).otherwise(F.col("template_text"))
         .alias("draft_message"),
         F.when(F.col("_serve"), F.col("language")).otherwise(F.col("template_language"))
         .alias("draft_language"),
         F.when(F.col("_serve"), "llm").otherwise("template").alias("draft_source"),
-        F.when(eligible, F.col("candidate_flags")).otherwise(none).alias("guardrail_flags"))
+        "guardrail_flags")
 
 
 def with_prompt(plan: DataFrame, tone: str | None = None) -> DataFrame:

@@ -50,12 +50,23 @@ def apply_review(cases: DataFrame, verdicts: DataFrame) -> DataFrame:
 
     An override replaces action and label and deliberately keeps the old offer.
     """
-    wanted = ["message_id", "human_verdict", "reviewer_note", "override_action",
-              "edited_message"]
+    return reviewed_cases(with_verdicts(cases, verdicts), cases.columns)
+
+
+VERDICT_FIELDS = ["human_verdict", "reviewer_note", "override_action", "edited_message"]
+
+
+def with_verdicts(cases: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The cases that have a verdict, with it; drafts may be made after this join, for them only."""
+    wanted = ["message_id", *VERDICT_FIELDS]
     filled = verdicts.select(*[
         F.col(c) if c in verdicts.columns else F.lit(None).cast("string").alias(c)
         for c in wanted])
-    joined = cases.join(filled, "message_id")
+    return cases.join(filled, "message_id")
+
+
+def reviewed_cases(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """What the verdict makes of each joined case; ``columns`` are those of the cases."""
     verdict, override = F.col("human_verdict"), F.col("override_action")
     action = (F.when((verdict == "Overridden") & (F.coalesce(override, F.lit("")) != ""), override)
               .when(verdict == "Dignified Goodbye", "dignified_goodbye")
@@ -67,8 +78,8 @@ def apply_review(cases: DataFrame, verdicts: DataFrame) -> DataFrame:
     return out.withColumns({
         "action_label": F.coalesce(lookup(F.col("action"), ACTION_LABELS), F.col("action")),
         "status": verdict}).select(
-        *cases.columns, "human_verdict", "reviewer_note", "final_message",
-        *([] if "status" in cases.columns else ["status"]))
+        *columns, "human_verdict", "reviewer_note", "final_message",
+        *([] if "status" in columns else ["status"]))
 
 
 def decision_rows(reviewed_cases: DataFrame, timestamp: Column) -> DataFrame:

@@ -29,11 +29,7 @@ def run_cases(messages: DataFrame, profile: DataFrame, scorer: Scorer | None = N
         plan = with_prompt(plan, tone)
     if not with_draft:
         return plan.withColumn("status", F.lit("Drafted"))
-    if candidates is not None:
-        plan = plan.join(candidates, "message_id", "left")
-    served = serve(plan, lex)
-    if candidates is not None:
-        served = served.drop("candidate")
+    served = serve(plan, lex, candidates)
     return served.withColumn("status", F.lit(PENDING))
 
 

@@ -387,11 +387,15 @@ query("grd_1_urgency")(lambda t: t.texts.select(
     "message_id", joined(gr.urgency_hits(c("low"), LEX)).alias("urgency")))
 query("grd_2_placeholders")(lambda t: t.texts.select(
     "message_id", joined(gr.placeholders(c("candidate"))).alias("placeholders")))
-query("grd_3_invented_amounts")(lambda t: t.drafts.filter(c("candidate").isNotNull()).select(
-    "message_id", money_list(gr.invented_amounts(gr.draft_amounts(c("low")),
-                                                 c("offer_value_aed"))).alias("invented")))
-query("grd_4_retention_pressure")(lambda t: t.drafts.select(
-    "message_id", gr.pressures(c("low"), c("action"), LEX).alias("pressure")))
+query("grd_3_invented_amounts")(lambda t: t.texts.filter(c("candidate").isNotNull()).select(
+    "message_id", F.array_distinct(F.array_compact(gr.draft_amounts(c("low")))).alias("amounts"))
+    .join(t.plan.select("message_id", "offer_value_aed"), "message_id").select(
+    "message_id", money_list(gr.invented_amounts(c("amounts"), c("offer_value_aed")))
+    .alias("invented")))
+query("grd_4_retention_pressure")(lambda t: t.plan.select("message_id", "action").join(
+    t.texts.select("message_id", tx.contains_any(c("low"), LEX.pressure).alias("pressing")),
+    "message_id", "left").select("message_id", (
+        (c("action") == "dignified_goodbye") & c("pressing")).alias("pressure")))
 query("grd_5_too_short")(lambda t: t.texts.select(
     "message_id", gr.word_count(c("candidate")).alias("n_words"),
     gr.too_short(c("candidate")).alias("short")))
@@ -733,9 +737,15 @@ def _verdicts(t: Tables) -> DataFrame:
         "message_id", "v.*")
 
 
-query("rev_1_review_transition")(lambda t: rv.apply_review(
-    og.serve(t.plan, LEX).select("message_id", "action", "action_label", "offer_value_aed",
-                                 "draft_message"), _verdicts(t)))
+@query("rev_1_review_transition")
+def _transition(t: Tables) -> DataFrame:
+    """Drafts are rendered for the reviewed cases only, after the join."""
+    fields = ["message_id", "action", "action_label", "offer_value_aed", "draft_message"]
+    joined_cases = rv.with_verdicts(t.plan, _verdicts(t))
+    return rv.reviewed_cases(og.serve(joined_cases, LEX).select(*fields, *rv.VERDICT_FIELDS),
+                             fields)
+
+
 query("rev_2_first_decision")(lambda t: rv.first_verdict(t.audit).select(
     "message_id", "human_verdict", "seq"))
 query("tml_1_case_timeline")(lambda t: tl.case_timeline(t.cases).withColumn(
