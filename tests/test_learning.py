@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from tidekeep.learning import churn_model as cm
 from tidekeep.learning import newton as nw
+from tidekeep.learning import store
 from tidekeep.learning import text_model as tm
 from tidekeep.learning import vocabulary as voc
 from tidekeep.operators.assess import assess, score_book
 from tidekeep.operators.listen import listen
 from tidekeep.operators.metrics import roc_auc
 from tidekeep.plans.catalog import Tables
+from tidekeep.sources import versions
 from tidekeep.schemas import ISSUES, PROFILE, SIGNALS
 
 
@@ -111,6 +113,39 @@ def test_save_load_and_fallback(spark, book, model, tmp_path):
     assert a == [r.behaviour for r in cm.scorer(again)(pick).collect()]
 
 
+def test_versions_switch_last(spark, tmp_path):
+    root = str(tmp_path / "store")
+
+    def write(text):
+        return lambda to: spark.createDataFrame([(text,)], "value string").write.text(to)
+
+    def read(at):
+        return spark.read.text(at).first()["value"]
+
+    def fail(to):
+        write("half")(to)
+        raise OSError("lost")
+
+    assert store.load(spark, root, read) is None
+    store.save(spark, root, write("one"))
+    with pytest.raises(OSError):
+        store.save(spark, root, fail)
+    assert store.load(spark, root, read) == "one"
+    first = versions.current(spark, root)["version"]
+    store.save(spark, root, write("two"))
+    assert store.load(spark, root, read) == "two" and (tmp_path / "store" / first).is_dir()
+    store.save(spark, root, write("three"))
+    assert store.load(spark, root, read) == "three" and not (tmp_path / "store" / first).exists()
+
+
+def test_newton_fit_saves_and_loads(spark, book, tmp_path):
+    path = str(tmp_path / "fit")
+    assert nw.LogisticFit.load(spark, path) is None
+    fit = nw.fit(book)
+    fit.save(spark, path)
+    assert nw.LogisticFit.load(spark, path) == fit
+
+
 def test_boosted_trees(spark, book):
     scored = cm.scorer(cm.fit_trees(book, trees=5))(book)
     auc = roc_auc(scored.withColumn("y", F.col("churned").cast("int")), "y", "behaviour").first()

@@ -176,6 +176,17 @@ def test_report_of_any_depth_keeps_null_leaves(spark, tmp_path):
     assert rows == {"a.b.c.d.e.f.g.h": "1", "x": None, "o": "{}", "l": "[1,2]"}
 
 
+def test_report_strings_that_look_like_objects(spark, tmp_path):
+    path = tmp_path / "odd.json"
+    path.write_text(r'''{"a":"{not json","e":"{\"x\":1}","n":{"s":" {} ","t":true,"f":0.5},"k":"[1"}''')
+    rows = by(fl.read_report(spark, str(path), "odd"), "path", "value")
+    assert rows == {"a": "{not json", "e": '{"x":1}', "n.s": " {} ", "n.t": "true", "n.f": "0.5",
+                    "k": "[1"}
+    for text in ("", "[1,2]", "no json", "{}", "null"):
+        path.write_text(text)
+        assert fl.read_report(spark, str(path), "odd").count() == 0
+
+
 def test_csv_with_line_breaks_and_any_column_order(spark, tmp_path):
     path = tmp_path / "messages.csv"
     path.write_text('text,message_id,churn_signal,customer_id,language,issue_type\n'

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.assess import guard_features
 from ..operators.literal import literal_table
 from ..schemas import BOOLEAN, NUMERIC
+from . import store
 
 
 def feature_stages() -> list:
@@ -75,18 +75,13 @@ def scorer(model: PipelineModel):
 
 
 def load_or_none(spark, path: str) -> PipelineModel | None:
-    """A saved model, or None so that callers fall back to the prior."""
-    try:
-        spark.read.text(f"{path.rstrip('/')}/metadata")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return PipelineModel.load(path)
+    """The current saved model, or None so that callers fall back to the prior."""
+    return store.load(spark, path, PipelineModel.load)
 
 
 def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """A new version below ``path``; the models loaded from it before are not touched."""
+    store.save(SparkSession.active(), path, lambda to: model.write().save(to))
 
 
 def coefficients(model: PipelineModel, spark) -> DataFrame:

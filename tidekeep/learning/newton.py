@@ -8,7 +8,8 @@ of the loss, the result does not depend on the optimiser: ``optimality`` proves
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from ..operators.assess import guard_features
 from ..operators.literal import literal_table
 from ..schemas import BOOLEAN, NUMERIC, SEGMENTS
 from ..session import written
+from . import store
 
 INPUTS = NUMERIC + BOOLEAN
 FEATURES = [*INPUTS, *[f"segment_{s}" for s in SEGMENTS]]
@@ -40,6 +42,17 @@ class LogisticFit:
     steps: int
     features: list[str] = field(default_factory=lambda: list(FEATURES))
 
+    def save(self, spark, path: str) -> None:
+        """A new version below ``path``, as one JSON row."""
+        row = spark.createDataFrame([(json.dumps(asdict(self)),)], "fit string")
+        store.save(spark, path, lambda to: row.write.text(to))
+
+    @classmethod
+    def load(cls, spark, path: str) -> LogisticFit | None:
+        """The current saved fit, or None so that callers fall back to the prior."""
+        return store.load(spark, path, lambda at: cls(
+            **json.loads(spark.read.text(at).filter("value <> ''").first()["value"])))
+
     def columns(self) -> list[Column]:
         """The design columns, named x0, x1, ...; an unknown segment is all zeros."""
         return design(self.means, self.scales)

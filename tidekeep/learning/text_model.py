@@ -10,13 +10,14 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import leaving_confirmed
 from ..lexicon import DEFAULT, Lexicon
 from ..operators.splits import message_stratum, stratified_split
 from ..schemas import ISSUES, SIGNALS
+from . import store
 from .vocabulary import MAX_TOKENS, tokens
 
 HEADS = {"issue_type": ISSUES, "churn_signal": SIGNALS}
@@ -80,14 +81,20 @@ class TextClassifier:
             F.lit(self.name).alias("classifier"))
 
     def save(self, path: str) -> None:
-        self.features.write().overwrite().save(f"{path}/features")
-        for head, model in self.heads.items():
-            model.write().overwrite().save(f"{path}/{head}")
-
-
-def load(path: str, lexicon: Lexicon = DEFAULT, name: str = "trained") -> TextClassifier:
-    return TextClassifier(PipelineModel.load(f"{path}/features"), {
-        head: PipelineModel.load(f"{path}/{head}") for head in HEADS}, lexicon, name)
+        """A new version below ``path``: feature stage and heads become current together."""
+        def write(to: str) -> None:
+            self.features.write().save(f"{to}/features")
+            for head, model in self.heads.items():
+                model.write().save(f"{to}/{head}")
+        store.save(SparkSession.active(), path, write)
+
+
+def load(path: str, lexicon: Lexicon = DEFAULT,
+         name: str = "trained") -> TextClassifier | None:
+    """The current saved classifier, or None where none was saved."""
+    return store.load(SparkSession.active(), path, lambda at: TextClassifier(
+        PipelineModel.load(f"{at}/features"),
+        {head: PipelineModel.load(f"{at}/{head}") for head in HEADS}, lexicon, name))
 
 
 def _counted(messages: DataFrame, vocabulary: int, *extra: Column) -> tuple:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import leaving_confirmed
 from ..lexicon import DEFAULT, Lexicon
 from ..session import written
+from . import store
 from .text_model import HEADS, TextClassifier, best_label
 from .vocabulary import MAX_TOKENS, fit_vocabulary, tokens
 
@@ -114,6 +115,17 @@ class WeightedClassifier:
     lexicon: Lexicon = DEFAULT
     name: str = "weights"
 
+    def save(self, path: str) -> None:
+        """A new version of the weight table below ``path``."""
+        store.save(self.weights.sparkSession, path, lambda to: self.weights.write.parquet(to))
+
+    @classmethod
+    def load(cls, spark, path: str, lexicon: Lexicon = DEFAULT,
+             name: str = "weights") -> WeightedClassifier | None:
+        """The current saved weights, or None where none were saved."""
+        return store.load(spark, path, lambda at: cls(
+            spark.read.schema(WEIGHTS).parquet(at), lexicon, name))
+
     def __call__(self, df: DataFrame) -> DataFrame:
         kept = [c for c in df.columns if c not in HEADS]
         labels = scored(df, self.weights)

@@ -33,7 +33,8 @@ from ..operators.literal import literal_table, lookup
 from ..schemas import DECISION_FIELDS, ISSUES, LANGUAGES, NO_CUSTOMER, SIGNALS
 from ..sources import adapters as ad
 from ..session import shared_dir, written
-from ..sources.files import (append_log, booleans_as_ints, read_audit, read_messages, write_csv)
+from ..sources.files import (append_log, booleans_as_ints, event_rows, metric_value, read_audit,
+                             read_messages, read_report, write_csv, write_metrics)
 from ..streaming import inbox as live
 from ..streaming.ledger import Ledger
 from . import analytics as an
@@ -200,6 +201,49 @@ def _audit_log(t: Tables) -> DataFrame:
     return read_audit(t.spark, path).select(rows.columns)
 
 
+@query("snk_2_event_rows")
+def _event_rows(t: Tables) -> DataFrame:
+    """Clicks logged as events: a log column among the extra fields stays a column, the others
+    come back from the map as text, whole numbers and nulls included."""
+    path = shared_dir(t.spark, "event-log")
+    clicks = t.raw("events").filter("event_type = 'click'")
+    append_log(event_rows(
+        clicks, F.lit("Page clicked"), F.lit("customer"),
+        F.concat(F.lit("event "), c("event_id").cast("string")),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), confidence=c("value") / 7.0,
+        extras={"customer_id": ad.customer_key(c("user_id")), "number": c("event_id"),
+                "odd": F.when(c("event_id") % 2 == 1, "yes")}), path)
+    return read_audit(t.spark, path).select(
+        "timestamp", "type", "step", "actor", "summary", "status", "confidence", "customer_id",
+        c("extras")["number"].alias("number"), c("extras")["odd"].alias("odd"))
+
+
+@query("snk_3_metric_rows")
+def _metric_rows(t: Tables) -> DataFrame:
+    """The accuracy report through its file."""
+    path, report = shared_dir(t.spark, "metrics"), CATALOG["agg_17_accuracy"](t)
+    write_metrics(report, path)
+    return t.spark.read.schema(report.schema).json(path)
+
+
+def _report(t: Tables) -> DataFrame:
+    """Counts per source as a nested report, written and read back, with leaves that look like
+    objects and are none."""
+    counts = t.raw("documents").groupBy("source").agg(
+        F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    by_source = F.map_from_entries(F.sort_array(F.collect_list(F.struct(
+        "source", F.struct("n", "chars")))))
+    report = counts.agg(F.struct(by_source.alias("sources"), F.sum("n").alias("n")).alias("data"))
+    path = shared_dir(t.spark, "report")
+    write_metrics(report.select("data", F.lit("{not json").alias("note"),
+                                F.lit('{"x":1}').alias("quoted")), path)
+    return read_report(t.spark, path, "counts")
+
+
+query("src_4_report_leaves")(_report)
+query("prj_14_report_metric")(lambda t: metric_value(_report(t), "data.sources.src0.n"))
+
+
 query("prj_1_boolean_casts")(lambda t: booleans_as_ints(t.profile, [
     "salary_credit_active", "intl_transfer_spike", "churned"]).select(
     "customer_id", "salary_credit_active", "intl_transfer_spike", "churned"))
@@ -602,6 +646,36 @@ def _trees_report(t: Tables) -> DataFrame:
     return per.select("actual", "n", "in_range", spread.scalar().alias("leavers_above"))
 
 
+@query("snk_4_saved_model")
+def _saved_model(t: Tables) -> DataFrame:
+    """Held-out scores of the model as it comes back from its folder."""
+    path = shared_dir(t.spark, "churn-model")
+    t.churn_fit.save(t.spark, path)
+    again = nw.LogisticFit.load(t.spark, path)
+    return held_out_outcome(again(t.customer_parts.filter("held_out"))).select(
+        "customer_id", "churned", r6(c("behaviour")).alias("behaviour"))
+
+
+@query("src_5_absent_model")
+def _absent_model(t: Tables) -> DataFrame:
+    """Nothing saved: every customer gets the neutral prior."""
+    none = nw.LogisticFit.load(t.spark, shared_dir(t.spark, "no-model"))
+    return score_book(t.profile, none).select("customer_id", "behaviour_risk", "band")
+
+
+@query("clf_3_classifier_choice")
+def _classifier_choice(t: Tables) -> DataFrame:
+    """Labels by the saved classifier, and by the keywords where nothing was saved."""
+    path = shared_dir(t.spark, "classifier")
+    t.counts_classifier.save(path)
+    rows = []
+    for folder in (path, shared_dir(t.spark, "no-classifier")):
+        served = tw.WeightedClassifier.load(t.spark, folder, LEX, "counts") or _keywords
+        rows.append(served(t.messages.select("message_id", "text")).select(
+            "message_id", "issue_type", "churn_signal", "classifier"))
+    return ev.stack(rows)
+
+
 query("ml_5_hard_label")(lambda t: t.outcome.select("customer_id", "actual", "predicted"))
 query("ml_6_coefficients")(lambda t: nw.coefficients(t.churn_fit, t.spark).select(
     "feature", (F.round("coefficient", 4) + 0.0).alias("coefficient")).orderBy("coefficient",

@@ -754,6 +754,19 @@ ORACLE: dict[str, str] = {
     "src_2_message_scan": f"{M} SELECT * EXCLUDE (low) FROM message",
     "src_3_audit_log": f"{A} SELECT seq, timestamp, type, step, message_id, human_verdict, fused_risk,"
                        " leaving_confirmed FROM audit",
+    "snk_2_event_rows": f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp,
+  'event' AS type, 'Page clicked' AS step, 'customer' AS actor,
+  'event ' || event_id AS summary, 'ok' AS status, {exact_round('(value / 7e0)', 3)} AS confidence,
+  {CUST.format('user_id')} AS customer_id, CAST(event_id AS VARCHAR) AS number,
+  CASE WHEN event_id % 2 = 1 THEN 'yes' END AS odd FROM events WHERE event_type = 'click'""",
+    "src_4_report_leaves": """SELECT 'counts' AS report, 'data.sources.' || source || '.n' AS path,
+  CAST(count(*) AS VARCHAR) AS value FROM documents GROUP BY source
+  UNION ALL SELECT 'counts', 'data.sources.' || source || '.chars', CAST(sum(n_chars) AS VARCHAR)
+  FROM documents GROUP BY source
+  UNION ALL SELECT 'counts', 'data.n', CAST(count(*) AS VARCHAR) FROM documents
+  UNION ALL VALUES ('counts', 'note', '{not json'), ('counts', 'quoted', '{"x":1}')""",
+    "prj_14_report_metric": """SELECT 'counts' AS report, 'data.sources.src0.n' AS path,
+  CAST(count(*) AS DOUBLE) AS value FROM documents WHERE source = 'src0'""",
     "prj_1_boolean_casts": f"{P} SELECT customer_id, CAST(salary_credit_active AS INTEGER) AS"
                            " salary_credit_active, CAST(intl_transfer_spike AS INTEGER) AS"
                            " intl_transfer_spike, CAST(churned AS INTEGER) AS churned FROM profile",
@@ -1130,6 +1143,14 @@ validation AS (SELECT * FROM tail WHERE held_out), {eval_sql([('validation', 'va
   SELECT model, n, round(issue_acc, 6) AS issue_acc, round(signal_acc, 6) AS signal_acc,
   row_number() OVER (ORDER BY round(issue_acc + signal_acc, 9) DESC, model DESC) = 1 AS served
   FROM report WHERE language = '(all)'""",
+    "snk_4_saved_model": f"{HELD} SELECT customer_id, churned, round(behaviour, 6) AS behaviour"
+                         " FROM held",
+    "src_5_absent_model": f"{P} SELECT customer_id, 5e-1 AS behaviour_risk,"
+                          f" {band_of('5e-1')} AS band FROM profile",
+    "clf_3_classifier_choice": f"""{count_model(f'{KW}, {SPLIT}')},
+{counted_ctes('message', 'found')} SELECT message_id, issue_type, churn_signal,
+  'counts' AS classifier FROM found UNION ALL
+  SELECT message_id, issue_type, churn_signal, 'heuristic' FROM keyword""",
     "ml_5_hard_label": f"{OUT} SELECT customer_id, actual, predicted FROM outcome",
     "ml_10_scored_book": f"{B} SELECT customer_id, segment, round(behaviour_risk, 6) AS"
                          " behaviour_risk, band FROM book",
@@ -1175,3 +1196,4 @@ validation AS (SELECT * FROM tail WHERE held_out), {eval_sql([('validation', 'va
   count(DISTINCT user_id) AS customers FROM events WHERE {K} / 1e2 >= 5.5e-1
   GROUP BY CAST(ts AS DATE)""",
 }
+ORACLE["snk_3_metric_rows"] = ORACLE["agg_17_accuracy"]

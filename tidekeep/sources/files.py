@@ -86,9 +86,11 @@ REPORT_FIELDS = ["report", "path", "value"]
 def read_report(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A nested JSON report as rows (report, path, value), one per leaf; empty when missing.
 
-    Keys are data (model and label names), so every level is read as a map. A report holds the
-    metrics of a few classes, so one document always fits a row. Levels are opened until none is
-    left, one short job each. A null or an empty object is a leaf.
+    Keys are data (model and label names), so the document is a variant, which knows an object from
+    a string that looks like one. A report holds the metrics of a few classes, so one document
+    always fits a row. Levels are opened until none is left, one short job each. Strings and
+    numbers are given as text, a null as null, an array as its JSON; an empty object is a leaf. A
+    document that is no JSON object has no leaves.
     """
     none = spark.createDataFrame([], ", ".join(f"{c} string" for c in REPORT_FIELDS))
     try:
@@ -97,20 +99,36 @@ def read_report(spark: SparkSession, path: str, name: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return none
-    level = whole.select(F.lit(name).alias("report"), F.lit("").alias("path"), F.col("value"))
+    level = whole.select(F.lit(name).alias("report"), F.lit("").alias("path"),
+                         F.try_parse_json("value").alias("value")).filter(_is_object("value"))
     leaves = none
     while not level.isEmpty():
-        # A nested object comes out of the map as its own JSON text and is opened next round.
-        opened = level.select("report", F.col("path").alias("above"), F.explode(
-            F.from_json("value", "map<string,string>")).alias("key", "value"))
-        named = opened.select("report", F.concat_ws(".", F.nullif("above", F.lit("")), "key")
-                              .alias("path"), "value")
-        is_object = F.coalesce(F.rlike("value", F.lit("^\\{\\s*[^}\\s]")), F.lit(False))
-        leaves = leaves.unionByName(named.filter(~is_object))
-        level = named.filter(is_object)
+        named = spark.sql(
+            "SELECT report, concat_ws('.', nullif(l.path, ''), e.key) AS path, e.value AS value"
+            " FROM {level} l, LATERAL variant_explode(l.value) e", level=level)
+        opens = _is_object("value")
+        leaves = leaves.unionByName(named.filter(~opens).select(
+            "report", "path", _leaf_text("value").alias("value")))
+        level = named.filter(opens)
     return leaves
 
 
+def _kind(value: str) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _is_object(value: str) -> Column:
+    """An object with fields."""
+    return F.coalesce(_kind(value).startswith("OBJECT<")
+                      & (_kind(value) != "OBJECT<>"), F.lit(False))
+
+
+def _leaf_text(value: str) -> Column:
+    """A scalar as text, anything else as JSON."""
+    nested = _kind(value).startswith("OBJECT") | _kind(value).startswith("ARRAY")
+    return F.when(nested, F.to_json(value)).otherwise(F.try_variant_get(value, "$", "string"))
+
+
 def metric_value(report: DataFrame, path: str) -> DataFrame:
     """One metric of a report by its dotted path."""
     return report.filter(F.col("path") == path).select(
