@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidekeep.operators import metrics as mt
+from tidekeep.operators.key_filter import may_match
 from tidekeep.operators.ranking import rank_rows, running_totals
 from tidekeep.operators.skew import hot_keys, left_join
 from tidekeep.operators.splits import stratified_split
@@ -32,6 +33,20 @@ def test_global_rank(spark, skewed):
     assert got == {r[0]: i + 1 for i, r in enumerate(order)}
 
 
+@pytest.mark.parametrize("places", [7, 27])
+def test_key_filter_loses_no_match(spark, places):
+    rows = spark.range(4000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), "id").union(
+        spark.sql("select cast(null as string), 1L"))
+    keys = spark.range(0, 4000, 40).select(F.concat(F.lit("k"), F.col("id")).alias("key")).union(
+        spark.sql("select cast(null as string)"))
+    passed = may_match(rows, keys, "key", places)
+    assert passed.columns == ["key", "id"]
+    got = {r.id for r in passed.collect()}
+    assert set(range(0, 4000, 40)) <= got
+    assert len(got) <= (4000 if places == 7 else 110)
+    assert may_match(rows, keys.filter("1 = 0"), "key", places).count() == 0
+
+
 def test_page_agrees_with_rank(spark, skewed):
     df = spark.createDataFrame(skewed, "message_id string, customer string, level int").withColumn(
         "fused_risk", F.col("level") / 1000.0)

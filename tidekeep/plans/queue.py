@@ -9,6 +9,7 @@ from ..functions.numeric import whole
 from ..lexicon import DEFAULT, Lexicon
 from ..operators.assess import Scorer, assess
 from ..operators.decide import decide
+from ..operators.key_filter import may_match
 from ..operators.listen import listen_declared
 from ..operators.ranking import rank_rows, top_rows
 from ..session import written
@@ -67,8 +68,11 @@ def queue_view(queue: DataFrame, band: str = "All", status: str = "All") -> Data
 
 
 def attach_text(selected: DataFrame, messages: DataFrame) -> DataFrame:
-    """Full records of selected queue rows."""
-    return selected.join(messages.select("message_id", "text"), "message_id")
+    """Full records of selected queue rows. The selection is written, because it is read twice: its
+    keys filter the texts where they are scanned, so the exchange grows with the selection."""
+    chosen = written(selected, "selection")
+    texts = may_match(messages.select("message_id", "text"), chosen, "message_id")
+    return chosen.join(texts, "message_id")
 
 
 def queue_summary(queue: DataFrame) -> DataFrame:
