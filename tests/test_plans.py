@@ -103,7 +103,7 @@ def table(columns, rows):
     "cmp_1_review_queue", "tml_2_extended_timeline", "agg_14_overview",
     "spl_1_message_split", "rev_1_review_transition", "clf_4_token_ids", "srt_1_ranked_queue",
     "ml_3_optimality", "agg_18_report_fitted", "ml_8_count_queue", "ml_9_bakeoff_exact",
-    "str_1_hot_customers", "str_3_status_over_log"])
+    "str_1_hot_customers", "str_3_status_over_log", "udf_1_sql_functions", "udf_1_sql_views"])
 def test_against_sql(spark, name):
     engine = duckdb.connect()
     for t in TABLES:

@@ -42,6 +42,7 @@ from . import cases as cs
 from . import evaluation as ev
 from . import queue as qu
 from . import scenarios as sc
+from .sql_surface import register
 
 c = F.col
 FOLDS = 3
@@ -788,6 +789,36 @@ def _bakeoff(t: Tables) -> DataFrame:
 query("ml_10_scored_book")(lambda t: t.book.select(
     "customer_id", "segment", r6(c("behaviour_risk")).alias("behaviour_risk"), "band"))
 
+# ------------------------------------------------------------ SQL
+
+
+@query("udf_1_sql_functions")
+def _sql_functions(t: Tables) -> DataFrame:
+    """Detect, assess and decide in one SQL statement over the registered views."""
+    register(t.spark, t.messages, t.profile, scorer, LEX)
+    return t.spark.sql("""
+        WITH labelled AS (
+          SELECT message_id, customer_id, keyword_issue(text) AS issue,
+                 churn_intent(text) AS signal, says_leaving(text) AS leaving FROM inbox),
+        mixed AS (
+          SELECT l.*, behaviour_mix(b.behaviour_risk, signal, leaving) AS risk,
+                 coalesce(b.segment, 'Unknown') AS segment,
+                 coalesce(cast(b.clv_estimate_aed AS DOUBLE), 0D) AS clv
+          FROM labelled l LEFT JOIN book b ON l.customer_id = b.customer_id)
+        SELECT message_id, issue, signal, segment, risk_band(risk) AS band,
+               decision_rule(needs_human_triage, leaving, risk_band(risk), issue, segment, clv)
+                 AS by_function, rule_id AS by_view
+        FROM mixed JOIN (SELECT message_id, needs_human_triage, rule_id FROM decisions) d
+        USING (message_id)""")
+
+
+@query("udf_1_sql_views")
+def _sql_views(t: Tables) -> DataFrame:
+    register(t.spark, t.messages, t.profile, scorer, LEX)
+    return t.spark.sql("SELECT message_id, customer_id, lang, issue, signal, fused_risk, band,"
+                       " segment, clv_aed, recommended, action, offer FROM queue")
+
+
 # ------------------------------------------------------------ composites, review, timeline
 query("cmp_1_review_queue")(lambda t: t.queue)
 CASE_FIELDS = ["message_id", "customer_id", "language", "issue_type", "churn_signal",

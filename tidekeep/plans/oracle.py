@@ -1151,6 +1151,10 @@ validation AS (SELECT * FROM tail WHERE held_out), {eval_sql([('validation', 'va
 {counted_ctes('message', 'found')} SELECT message_id, issue_type, churn_signal,
   'counts' AS classifier FROM found UNION ALL
   SELECT message_id, issue_type, churn_signal, 'heuristic' FROM keyword""",
+    "udf_1_sql_views": f"{QU} SELECT * FROM queue",
+    "udf_1_sql_functions": f"""{PL} SELECT message_id, issue_type AS issue,
+  churn_signal AS signal, segment, risk_band AS band, rule_id AS by_function,
+  rule_id AS by_view FROM plan""",
     "ml_5_hard_label": f"{OUT} SELECT customer_id, actual, predicted FROM outcome",
     "ml_10_scored_book": f"{B} SELECT customer_id, segment, round(behaviour_risk, 6) AS"
                          " behaviour_risk, band FROM book",
