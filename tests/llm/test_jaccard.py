@@ -80,6 +80,29 @@ def test_blocked_product_alone_gives_the_same(spark, corpus, monkeypatch):
     assert answer(spark, corpus) == brute(corpus)
 
 
+def test_large_groups_are_dealt_again_in_proportion(spark, monkeypatch):
+    """A passage of many different texts and a group of near copies, both above a cell's size."""
+    import tidekeep.llm.jaccard as jaccard
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, passage + "".join(f" u{k}_{j}" for j in range(rng.randrange(4, 26))))
+            for k in range(400)]
+    shared = [" ".join(f"q{g}_{j}" for j in range(12)) for g in range(40)]
+    rows += [(1000 + k, passage + " " + shared[k % 40] + f" v{k}") for k in range(200)]
+    base = [f"b{k}" for k in range(90)]
+    for k in range(300):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(90)] = f"z{k}"
+        rows.append((2000 + k, " ".join(words)))
+    cut = []
+    blocks = jaccard._blocks
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 100)
+    monkeypatch.setattr(jaccard, "_blocks", lambda df: cut.append(blocks(df)) or cut[-1])
+    assert answer(spark, rows) == brute(rows)
+    assert sum(c.filter("class is not null").count() for c in cut) <= 10 * len(rows)
+
+
 def test_every_column_in_the_first_block(spark, corpus, monkeypatch):
     import tidekeep.llm.jaccard as jaccard
     monkeypatch.setattr(jaccard, "FIRST_BLOCK", 0.999)

@@ -10,12 +10,20 @@ gives every bound used here. The columns of the incidence are ordered by shingle
    sent once, so neither copies nor a phrase of every document pile up in a task.
 2. *All columns* of the classes left, the same way, now with the exact bound.
 3. *Leaders.* The classes left list, rarest first, the leading shingles of which a linked pair
-   must share one. Lists with equal members count once. Every member is compared with one leader
-   of its list, exactly, on the shingle sets; this gives the links inside large groups without
+   must share one; each is a cell. Cells with equal members count once. Every member is compared
+   with the smallest set of its cell, exactly; this gives the links inside large groups without
    their pairs.
-4. *Blocked product.* Lists whose members are still in different components are multiplied out
-   in blocks of documents, column chunk by column chunk, with pairs dropped as soon as their
-   overlap plus what remains cannot reach the bound. Each block returns a spanning forest.
+4. *Large cells are dealt again.* Let L be the smallest set of a cell, A and B linked members, A
+   not linked to L. L and A share less than A and B must, so A and B share a shingle outside L, and
+   the rarest such shingle is among the leading ones of A without L and of B without L. Members
+   of cells with more than ``BLOCK_DOCS`` outside their largest component so go to the cells of
+   these shingles, unless the blocks of their own cell are fewer rows (texts of one template that
+   differ in many places, say).
+5. *Blocked product.* Cells that still hold several components are multiplied out in blocks,
+   column chunk by column chunk, with pairs dropped as soon as their overlap plus what remains
+   cannot reach the bound. The members outside the largest component meet each block of it; other
+   large cells meet in all pairs of blocks. A block with more than four open pairs a member
+   returns a spanning forest.
 
 Fingerprints in steps 1 and 2 are 32 bits of the hash beside its slice: a clash can only keep a class.
 Everything after that uses whole 64-bit hashes.
@@ -29,7 +37,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -225,14 +233,13 @@ def _overlaps(sets: list[np.ndarray]):
 
 def _open_pairs(threshold: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a block whose leading shingles leave room for a link, from those alone.
+        """Pairs of a cell whose leading shingles leave room for a link, from those alone.
 
         Of two sets, let the one whose leading part ends first have n shingles, p of them leading.
-        All that is shared up to that end is in both leading parts, and n - p can follow. A block
+        All that is shared up to that end is in both leading parts, and n - p can follow. A cell
         with many open pairs is returned as one row without a pair, to be multiplied out.
         """
-        block = {c: int(frame[c].iloc[0]) for c in ("token", "span", "low", "high")}
-        frame = frame.drop_duplicates("class")
+        cell = int(frame["cell"].iloc[0])
         names, group, n = (frame[c].to_numpy() for c in ("class", "component", "n"))
         for overlap, _ in _overlaps(frame["heads"].tolist()):
             pass
@@ -243,20 +250,18 @@ def _open_pairs(threshold: int):
             group[:, None] != group[None, :])
         i, j = np.nonzero(np.triu(open_, 1))
         if len(i) > 4 * len(names):
-            return pd.DataFrame([{"a": None, "b": None, **block}]).astype(
+            return pd.DataFrame([{"a": None, "b": None, "cell": cell}]).astype(
                 {"a": "Int64", "b": "Int64"})
-        return pd.DataFrame({"a": names[i], "b": names[j], **block})[
-            ["a", "b", "token", "span", "low", "high"]]
+        return pd.DataFrame({"a": names[i], "b": names[j], "cell": cell})
     return run
 
 
 def _product(threshold: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Links of one block pair as a spanning forest over components."""
-        frame = frame.drop_duplicates("class")
+        """Links of one cell as a spanning forest over components."""
         names, group = frame["class"].to_numpy(), frame["component"].to_numpy()
         sets = frame["tokens"].tolist()
-        sizes = np.array([len(x) for x in sets], np.int64)
+        sizes = frame["n"].to_numpy()
         union = sizes[:, None] + sizes[None, :]
         open_ = np.triu(group[:, None] != group[None, :], 1)
         for overlap, rest in _overlaps(sets):
@@ -331,99 +336,176 @@ def narrowed(sets: DataFrame, threshold: int) -> DataFrame:
     return written(sets.join(kept, "class"), "sets")
 
 
-def leading(sets: DataFrame, threshold: int) -> DataFrame:
-    """(class, n, heads): of the shingles by rarity, the first ones of which two linked sets must
-    share one; shingles that no other set has take their places but are not listed."""
+def ranked(sets: DataFrame, threshold: int) -> DataFrame:
+    """(class, n, tokens, room): the shingles that another set has too, rarest first, and how many
+    of them lead. Two linked sets share one of the leading ones; shingles that no other set has
+    take their places but are not listed."""
     entries = sets.select("class", "n", F.explode("tokens").alias("token"))
     common = entries.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = entries.join(common, "token").groupBy("class", "n").agg(
+    listed = entries.join(common, "token").groupBy("class", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     places = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
     room = F.greatest(places - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")
-    return written(ranked.select("class", "n", F.transform(
-        F.slice("shared", F.lit(1), room), lambda x: x["token"]).alias("heads")), "leading")
+    return written(listed.select("class", "n", F.transform(
+        "shared", lambda x: x["token"]).alias("tokens"), room.alias("room")), "ranked")
 
 
-def _spread(leads: DataFrame, threshold: int) -> DataFrame:
-    """(class, n, token, span) per leading shingle.
+def _spread(sets: DataFrame, threshold: int) -> DataFrame:
+    """(cell, class, n) per leading shingle.
 
     Linked sets differ in size by a bounded factor. Sizes fall into classes a little wider than
     that, and each row stands in the span of its own and of the next class, so that two linked
     sets meet in one.
     """
     span = F.floor(F.log("n") / math.log(100 / threshold * 1.0001)).cast("int")
-    return leads.select("class", "n", span.alias("own"), F.explode("heads").alias("token")).select(
-        "class", "n", "token", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("span"))
+    heads = sets.select("class", "n", span.alias("own"), F.explode(_heads("tokens")).alias("token"))
+    return heads.select("class", "n", "token", F.explode(
+        F.array(F.col("own"), F.col("own") + 1)).alias("span")).select(
+        F.xxhash64("token", "span").alias("cell"), "class", "n")
+
+
+def _heads(tokens: str | Column) -> Column:
+    return F.slice(tokens, F.lit(1), F.col("room"))
+
+
+def _cells(rows: DataFrame, *within: str) -> DataFrame:
+    """The rows (cell, class, n) of cells with several members; of cells with the same members
+    (and equal columns ``within``) one stays."""
+    several = rows.groupBy("cell", *within).agg(
+        F.count("*").alias("g"), F.min("class").alias("least"),
+        F.bit_xor(F.xxhash64("class")).alias("x"),
+        F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).filter("g > 1")
+    chosen = several.groupBy("g", "least", "x", "y", *within).agg(F.min("cell").alias("cell"))
+    return written(rows.join(chosen.select("cell"), "cell").select(
+        "cell", "class", "n", *within), "cells")
+
+
+def _mixed(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of cells that hold several components, each with the smallest set of its cell
+    as leader and the number of members."""
+    labelled = written(member.join(labels, "class"), "labelled")
+    mixed = labelled.groupBy("cell").agg(
+        F.min(F.struct("n", "class", "component")).alias("first"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count("*").alias("g")).filter("low != high").select(
+        "cell", "g", F.col("first.class").alias("leader"), F.col("first.n").alias("leader_n"),
+        F.col("first.component").alias("leader_component"))
+    return written(labelled.join(mixed, "cell"), "mixed")
 
 
 def link_components(sets: DataFrame, threshold: int) -> DataFrame:
     """(class, component) of the written sets (class, n, tokens)."""
-    leads = leading(sets, threshold)
-    heads = _spread(leads, threshold)
-    key = ["token", "span"]
-    lists = heads.groupBy(key).agg(
-        F.count("*").alias("g"), F.min("class").alias("leader"),
-        F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1)))
-        .alias("y")).filter("g > 1")
-    chosen = lists.groupBy("g", "leader", "x", "y").agg(F.min(F.struct(*key)).alias("k"))
-    member = written(heads.join(chosen.select("k.*"), key).select(*key, "class", "n"), "lists")
+    order = ranked(sets, threshold)
+    member = _cells(_spread(order, threshold))
     nodes = sets.select(F.col("class").alias("node"))
     labels = nodes.select(F.col("node").alias("class"), F.col("node").alias("component"))
     edges = None
+
+    def linked(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = written(found, "links")
+        together = found if edges is None else edges.union(found)
+        return together, components(nodes, together).select(
+            F.col("node").alias("class"), "component")
+
     for _ in range(LEADER_ROUNDS):
-        labelled = written(member.join(labels, "class"), "labelled")
-        mixed = labelled.groupBy(key).agg(
-            F.min(F.struct("component", "class", "n")).alias("low"),
-            F.max("component").alias("high")).filter("low.component != high").select(
-            *key, F.col("low.component").alias("leader_component"),
-            F.col("low.class").alias("leader"), F.col("low.n").alias("leader_n"))
-        member = written(labelled.join(mixed, key), "mixed")
-        if member.isEmpty():
+        mixed = _mixed(member, labels)
+        if mixed.isEmpty():
             return labels
-        pairs = member.filter(
+        edges, labels = linked(_verified(mixed.filter(
             (F.col("component") != F.col("leader_component"))
             & (100 * F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n"))
-        ).select("class", "leader").distinct()
-        found = written(_verified(pairs, sets, threshold), "links")
-        edges = found if edges is None else edges.union(found)
-        labels = components(nodes, edges).select(F.col("node").alias("class"), "component")
-        # The leader has met every member of its list.
-        member = member.filter(F.col("class") != F.col("leader")).select(*key, "class", "n")
-    labelled = member.join(labels, "class")
-    mixed = labelled.groupBy(key).agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
-        F.count("*").alias("g")).filter("low != high").select(*key, "g")
-    rest = written(labelled.join(mixed, key), "rest")
-    if rest.isEmpty():
+        ).select("class", "leader").distinct(), order, threshold))
+        # The leader has met every member of its cell.
+        member = mixed.filter(F.col("class") != F.col("leader")).select("cell", "class", "n")
+    mixed = _mixed(member, labels)
+    if mixed.isEmpty():
         return labels
-    blocks = F.ceil(F.col("g") / BLOCK_DOCS).cast("int")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    dealt = rest.withColumn("blocks", blocks).withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        *key, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        "class", "component")
-    block = [*key, "low", "high"]
-    narrow = dealt.join(leads, "class").groupBy(block).applyInPandas(
-        _open_pairs(threshold), "a long, b long, token long, span int, low int, high int")
-    narrow = written(narrow, "open")
-    edges = edges.union(written(_verified(narrow.filter("a is not null").select(
-        F.col("a").alias("class"), F.col("b").alias("leader")).distinct(), sets, threshold),
-        "links"))
-    dense = narrow.filter("a is null").select(block)
-    if not dense.isEmpty():
-        carried = dealt.join(dense, block).join(sets.select("class", "tokens"), "class")
-        more = carried.groupBy(block).applyInPandas(_product(threshold), "a long, b long")
-        edges = edges.union(written(more.distinct(), "links"))
-    return components(nodes, edges).select(F.col("node").alias("class"), "component")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    left = sets.select("class", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
-    right = sets.select(F.col("class").alias("leader"), F.col("n").alias("n2"),
-                        F.col("tokens").alias("t2"))
-    overlap = F.size(F.array_intersect("t1", "t2"))
-    return pairs.join(left, "class").join(right, "leader").filter(
-        (100 + threshold) * overlap >= threshold * (F.col("n1") + F.col("n2"))).select(
+    sized = _majority(mixed)
+    large = sized.filter((F.col("others") > BLOCK_DOCS) & (F.col("class") != F.col("leader")))
+    met = written(_compared(large.select("class", "leader").distinct(), order).select(
+        "class", "leader", "overlap", (F.col("n1") + F.col("n2")).alias("sizes"),
+        _heads(F.array_except("t1", "t2")).alias("heads")), "met")
+    if not met.isEmpty():
+        edges, labels = linked(met.filter(
+            (100 + threshold) * F.col("overlap") >= threshold * F.col("sizes")).select(
+            F.col("leader").alias("a"), F.col("class").alias("b")))
+        dealt = _cells(large.join(met.filter(F.size("heads") > 0), ["class", "leader"]).select(
+            F.col("cell").alias("parent"), "class", "n", F.explode("heads").alias("token"))
+            .withColumn("cell", F.xxhash64("parent", "token")), "parent")
+        sized = _cheaper(_majority(_mixed(sized.select("cell", "class", "n"), labels)),
+                         large.select("cell").distinct(), _majority(_mixed(dealt, labels)))
+    return linked(_inside(_blocks(sized), order, threshold))[1]
+
+
+def _cheaper(cells: DataFrame, large: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Rows (cell, class, component, main, s, others, g): of each large cell its own or those of
+    the cells it was dealt to (column ``parent``), whichever takes fewer rows in blocks."""
+    rows = F.sum(F.when(F.col("others") <= BLOCK_DOCS, F.lit(1)).otherwise(
+        F.ceil(F.col("g") / BLOCK_DOCS)))
+    after = dealt.groupBy(F.col("parent").alias("cell")).agg(rows.alias("after"))
+    better = written(cells.groupBy("cell").agg(rows.alias("before")).join(large, "cell").join(
+        after, "cell", "left").filter(F.coalesce("after", F.lit(0)) < F.col("before")).select(
+        "cell"), "better")
+    names = ["cell", "class", "component", "main", "s", "others", "g"]
+    return cells.join(better, "cell", "left_anti").select(names).union(
+        dealt.join(better.select(F.col("cell").alias("parent")), "parent").select(names))
+
+
+def _majority(mixed: DataFrame) -> DataFrame:
+    """Adds to the rows of each cell its largest component and how many members are of others."""
+    sizes = mixed.groupBy("cell", "component").agg(F.count("*").alias("s"))
+    main = sizes.groupBy("cell").agg(
+        F.max(F.struct("s", "component")).alias("m"), F.sum("s").alias("all")).select(
+        "cell", F.col("m.component").alias("main"), F.col("m.s").alias("s"),
+        (F.col("all") - F.col("m.s")).alias("others"))
+    return written(mixed.join(main, "cell"), "sized")
+
+
+def _blocks(sized: DataFrame) -> DataFrame:
+    """(cell, class, component) with cells cut to at most about twice ``BLOCK_DOCS`` members.
+
+    Members of one component need not meet. Where few are of other components, these few go to
+    every block of the largest one, which at most doubles the rows. Other large cells meet in
+    pairs of blocks.
+    """
+    lean = F.col("others") <= BLOCK_DOCS
+    blocks = F.ceil(F.when(lean, F.col("s")).otherwise(F.col("g")) / BLOCK_DOCS).cast("int")
+    dealt = sized.withColumn("blocks", blocks).withColumn(
+        "own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = dealt.withColumn("at", F.explode(F.when(
+        lean & (F.col("component") == F.col("main")), F.array("own")).otherwise(every)))
+    low = F.when(lean, F.col("at")).otherwise(F.least("own", "at"))
+    high = F.when(lean, F.col("at")).otherwise(F.greatest("own", "at"))
+    return dealt.select(F.xxhash64("cell", low, high).alias("cell"), "class", "component")
+
+
+def _inside(blocks: DataFrame, order: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) inside blocks."""
+    rows = written(blocks, "blocks")
+    leads = order.select("class", "n", _heads("tokens").alias("heads"))
+    pairs = written(rows.join(leads, "class").groupBy("cell").applyInPandas(
+        _open_pairs(threshold), "a long, b long, cell long"), "open")
+    found = _verified(pairs.filter("a is not null").select(
+        F.col("a").alias("class"), F.col("b").alias("leader")).distinct(), order, threshold)
+    dense = pairs.filter("a is null").select("cell")
+    carried = rows.join(dense, "cell").join(order.select("class", "n", "tokens"), "class")
+    return found.union(carried.groupBy("cell").applyInPandas(
+        _product(threshold), "a long, b long").distinct())
+
+
+def _compared(pairs: DataFrame, order: DataFrame) -> DataFrame:
+    """Pairs (class, leader) with sizes, shared shingles of both and the overlap."""
+    left = order.select("class", "room", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
+    right = order.select(F.col("class").alias("leader"), F.col("n").alias("n2"),
+                         F.col("tokens").alias("t2"))
+    return pairs.join(left, "class").join(right, "leader").withColumn(
+        "overlap", F.size(F.array_intersect("t1", "t2")))
+
+
+def _verified(pairs: DataFrame, order: DataFrame, threshold: int) -> DataFrame:
+    return _compared(pairs, order).filter(
+        (100 + threshold) * F.col("overlap") >= threshold * (F.col("n1") + F.col("n2"))).select(
         F.col("leader").alias("a"), F.col("class").alias("b"))
 
 
