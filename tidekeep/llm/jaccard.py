@@ -421,8 +421,13 @@ def link_components(sets: DataFrame, threshold: int) -> DataFrame:
     if mixed.isEmpty():
         return labels
     sized = _majority(mixed)
-    large = sized.filter((F.col("others") > BLOCK_DOCS) & (F.col("class") != F.col("leader")))
-    met = written(_compared(large.select("class", "leader").distinct(), order).select(
+    # Large cells under one leader are one cell, in which each member stands once.
+    wide = F.col("others") > BLOCK_DOCS
+    large = written(sized.filter(wide & (F.col("class") != F.col("leader"))).select(
+        F.col("leader").alias("cell"), "leader", "class", "n").distinct(), "large")
+    rest = sized.filter(~wide).select("cell", "class", "n").union(
+        large.select("cell", "class", "n"))
+    met = written(_compared(large.select("class", "leader"), order).select(
         "class", "leader", "overlap", (F.col("n1") + F.col("n2")).alias("sizes"),
         _heads(F.array_except("t1", "t2")).alias("heads")), "met")
     if not met.isEmpty():
@@ -432,7 +437,7 @@ def link_components(sets: DataFrame, threshold: int) -> DataFrame:
         dealt = _cells(large.join(met.filter(F.size("heads") > 0), ["class", "leader"]).select(
             F.col("cell").alias("parent"), "class", "n", F.explode("heads").alias("token"))
             .withColumn("cell", F.xxhash64("parent", "token")), "parent")
-        sized = _cheaper(_majority(_mixed(sized.select("cell", "class", "n"), labels)),
+        sized = _cheaper(_majority(_mixed(rest, labels)),
                          large.select("cell").distinct(), _majority(_mixed(dealt, labels)))
     return linked(_inside(_blocks(sized), order, threshold))[1]
 
