@@ -93,3 +93,21 @@ def test_empty_tables(spark):
     assert dc.find_leaks(none, some).count() == 0
     assert dc.find_leaks(some, none).count() == 0
     assert dc.find_leaks(some, some).count() == 1
+
+
+def test_hits_by_chance_are_dropped_before_they_are_sorted(monkeypatch):
+    monkeypatch.setattr(dc, "_CELLS", 50)  # items share counters
+    rng = random.Random(11)
+    pool = ["of the river ", "and the water ", "in the old house ", "on a day ", "was seen ", "xq "]
+    items = [(k, "".join(rng.choices(pool, k=12)) + f"item number {k}") for k in range(30)]
+    index = dc.Items(items)
+    noise = "".join(rng.choices(pool, k=60)) + " ".join(str(rng.random()) for _ in range(3000))
+    text = noise + corrupt(rng, items[4][1], 3) + " ".join(str(rng.random()) for _ in range(3000))
+    data, offsets = dc.normalise(pa.array([text, None, ""]))
+    at, entry = index.hits(data)
+    kept = index.likely(at, index.item[entry])
+    start = text.index(items[4][1][:5], len(noise) - 5) - 20
+    planted = (index.item[entry] == 4) & (at > start) & (at < start + 300)
+    assert kept[planted].all() and planted.sum() >= index.need[4]
+    assert not kept[at > start + 3000].any()
+    assert (0, 4) in {(d, i) for d, i, _ in index.search(data, offsets)}

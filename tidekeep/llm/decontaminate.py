@@ -8,7 +8,8 @@ with it, and their diagonals (place in the document minus place in the item) spa
 So hits are counted in bands of 2 (k + 1) diagonals that begin every k + 1, one of which holds
 them all. Bands that reach the bound are kept, and their region is aligned with the item inside
 the band, exactly. k is ``budget`` percent of m, less for short items, so that the bound is never
-below one.
+below one. Before bands are formed, hits are counted by stretch of text and item, without a sort: a
+region lies in two neighbouring stretches, so hits of items with too few in both are dropped.
 
 The benchmark is the query set: it is read in blocks of bounded size, each block is sent to the
 tasks, and every document meets every block. Documents are never shuffled or held whole beside
@@ -25,12 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import batch, map_batches, text_bytes
+from .frames import batch, bounded, map_batches, text_bytes
 
 Q = 8
 BUDGET_PERCENT = 10
 BLOCK_BYTES = 2 << 20
 WINDOW_BYTES = 2 << 20
+STRETCH_BYTES = 512
+PIECE_BYTES = 1 << 20  # text of one step
+_CELLS = 1 << 20
 _FILTER_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,9 +110,27 @@ class Items:
         entry = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - many, many)
         return np.repeat(at, many), np.repeat(low, many) + entry
 
+    def likely(self, at: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether the two stretches around a place in the data hold as many hits of the item as a
+        match needs. Items share counters if there are many, so counts may be too high only."""
+        if not len(at):
+            return np.zeros(0, bool)
+        stretch = at // max(STRETCH_BYTES, self.longest)
+        rows = int(stretch.max()) + 1
+        slots = min(len(self.ids), max(1, _CELLS // rows))
+        cell = stretch * slots + item % slots
+        count = np.bincount(cell, minlength=rows * slots).reshape(rows, slots)
+        both = count[:-1] + count[1:]
+        most = count
+        most[:-1] = np.maximum(most[:-1], both)
+        most[1:] = np.maximum(most[1:], both)
+        return most.ravel()[cell] >= self.need[item]
+
     def search(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, item, edits) of every match in some texts laid end to end."""
         at, entry = self.hits(data)
+        chosen = self.likely(at, self.item[entry])
+        at, entry = at[chosen], entry[chosen]
         doc = np.searchsorted(offsets, at, side="right") - 1
         inside = at + Q <= offsets[doc + 1]
         at, entry, doc = at[inside], entry[inside], doc[inside]
@@ -196,7 +218,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, percent: int = BUDGET
         shared = spark.sparkContext.broadcast(Items(rows, percent))
 
         def run(batches, shared=shared):
-            for b in batches:
+            for b in bounded(batches, 1, PIECE_BYTES):
                 ids = b.column(0).to_pylist()
                 out = [(ids[d], shared.value.ids[i], edits)
                        for d, i, edits in _matches(b.column(1), shared.value)]
@@ -219,7 +241,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, percent: int = BUD
         shared = spark.sparkContext.broadcast(Items(rows, percent))
 
         def run(batches, shared=shared):
-            for b in batches:
+            for b in bounded(batches, at, PIECE_BYTES):
                 clean = np.ones(len(b), bool)
                 clean[[d for d, _, _ in _matches(b.column(at), shared.value)]] = False
                 yield b.filter(pa.array(clean))
