@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from tidekeep.llm import hashing
 from tidekeep.llm import quality as q
 
 
@@ -99,3 +100,25 @@ def test_long_texts_are_measured_window_by_window(monkeypatch):
     cut = q.measures(pa.array([text, "x", None]))
     same = [c for c in range(11) if c not in (q.DISTINCT, q.REPEATS)]
     assert (whole[:, same] == cut[:, same]).all()
+
+
+def test_short_documents_are_taken_in_small_runs(monkeypatch):
+    monkeypatch.setattr(hashing, "RUN_BYTES", 1000)
+    sizes = [400] * 9 + [5000, 0, 400, 999, 1, 1]
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    runs = list(hashing.pieces(np.full(int(offsets[-1]), 97, np.uint8), offsets))
+    assert [(first, len(bounds) - 1) for first, _, bounds in runs] == [
+        (0, 2), (2, 2), (4, 2), (6, 2), (8, 1), (9, 1), (10, 2), (12, 2), (14, 1)]
+    assert all(at == offsets[first] for first, at, _ in runs)
+    assert sum(int(bounds[-1]) for _, _, bounds in runs) == offsets[-1]
+
+
+def test_kept_rows_leave_in_small_batches(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q, "map_batches", lambda df, run, schema: seen.append(run))
+    table = pa.record_batch({"text": ["a b c " * 300_000] * 12, "n": list(range(12))})
+    scorer = q.Scorer(np.ones(3 ** q.HEURISTICS), np.zeros(q.FEATURES + 2), 9.0)
+    df = spark.createDataFrame([], "text string, n long")
+    q.keep_good(df, scorer)
+    out = list(seen[0](iter([table])))
+    assert [r for b in out for r in b.column(1).to_pylist()] == list(range(12)) and len(out) > 1

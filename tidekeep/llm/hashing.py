@@ -14,6 +14,10 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Short documents are taken together up to so many bytes; the arrays of a run take up to 60 times
+#: as much.
+RUN_BYTES = 1 << 19
+
 _PRIME = np.uint64(0x100000001B3)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,11 +48,14 @@ _POWERS = np.ones(1, np.uint64)
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first document, byte offset, bounds) of runs of documents of about PIECE_BYTES; a longer
-    document is cut at spaces, where no word is lost, and comes as several runs of one."""
-    n, first = len(offsets) - 1, 0
+    """(first document, byte offset, bounds) of runs of documents of about RUN_BYTES; a document of
+    up to PIECE_BYTES is one run, a longer one is cut at spaces, where no word is lost, and comes
+    as several runs of one."""
+    n, first, most = len(offsets) - 1, 0, min(RUN_BYTES, PIECE_BYTES)
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1
+        if last == first and offsets[first + 1] - offsets[first] <= PIECE_BYTES:
+            last = first + 1
         if last > first:
             yield first, int(offsets[first]), offsets[first:last + 1] - offsets[first]
             first = last

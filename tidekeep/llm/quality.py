@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import batch, binary_column, map_batches, text_bytes
+from .frames import batch, binary_column, bounded, map_batches, text_bytes
 from .hashing import LOWER, SPACES, hash_runs, pieces
 
 SAMPLE_ROWS = 4000
@@ -295,7 +295,7 @@ def keep_good(documents: DataFrame, scorer: Scorer, text: str = "text") -> DataF
     at = documents.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, at):
             score, _ = shared.value.score(b.column(at))
             yield b.filter(pa.array(np.round(score, 6) >= KEEP_FROM))
 
