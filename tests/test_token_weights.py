@@ -97,3 +97,30 @@ def test_tuning_over_fixed_folds(labelled):
     assert tuned["issue_type"][0.001] > tuned["issue_type"][5.0]
     assert tm.best_regs(tuned)["issue_type"] == 0.001
     assert tm.best_regs({"x": {0.1: 0.5, 1.0: 0.5}}) == {"x": 1.0}
+
+
+def test_tuning_makes_only_the_judged_fits(labelled, monkeypatch):
+    _, df = labelled
+    sizes, real = [], tm._head
+
+    def counted_fits(h, reg, max_iter):
+        head = real(h, reg, max_iter)
+        fit = head.fit
+        head.fit = lambda rows: (sizes.append((h, rows.count())), fit(rows))[1]
+        return head
+
+    monkeypatch.setattr(tm, "_head", counted_fits)
+    prepared = tm.prepare(df)
+    assert set(tm.tune(df, max_iter=5, prepared=prepared)) == set(tm.HEADS)
+    for h in tm.HEADS:
+        own = [n for head, n in sizes if head == h]
+        assert len(own) == 9 and sum(own) == 3 * 2 * prepared.of(h).count()
+    fitted = tm.fit(df, max_iter=5, prepared=prepared)
+    assert fitted.features is prepared.features
+    prepared.release()
+
+
+def test_tuning_needs_rows_in_every_fold(labelled):
+    _, df = labelled
+    with pytest.raises(ValueError, match="fold"):
+        tm.tune(df.filter("message_id = 'M1'"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,14 +97,31 @@ def load(path: str, lexicon: Lexicon = DEFAULT,
         {head: PipelineModel.load(f"{at}/{head}") for head in HEADS}, lexicon, name))
 
 
-def _counted(messages: DataFrame, vocabulary: int, *extra: Column) -> tuple:
-    """Fitted feature stage, and the labelled token counts that the iterations read."""
+@dataclass
+class Prepared:
+    """The fitted feature stage and the labelled token counts, with a fold, that fits read."""
+
+    features: PipelineModel
+    counted: DataFrame
+
+    def of(self, head: str) -> DataFrame:
+        return self.counted.filter(F.col(f"_label_{head}").isNotNull())
+
+    def release(self) -> None:
+        self.counted.unpersist()
+
+
+def prepare(messages: DataFrame, vocabulary: int = MAX_TOKENS, folds: int = 3,
+            key: str = "message_id") -> Prepared:
+    """Counts the tokens once, for any number of fits on the same messages; a row without a key is
+    in fold 0."""
+    where = F.coalesce(fold(key, folds), F.lit(0)) if key in messages.columns else F.lit(0)
     labelled = messages.select(token_array(), *[
         label_index(h, labels).cast("double").alias(f"_label_{h}")
-        for h, labels in HEADS.items()], *extra)
+        for h, labels in HEADS.items()], where.alias("_fold"))
     features = Pipeline(stages=[CountVectorizer(
         inputCol="_tokens", outputCol="_counts", vocabSize=vocabulary)]).fit(labelled)
-    return features, features.transform(labelled).drop("_tokens").persist()
+    return Prepared(features, features.transform(labelled).drop("_tokens").persist())
 
 
 def _head(h: str, reg: float, max_iter: int) -> LogisticRegression:
@@ -116,36 +133,49 @@ def _head(h: str, reg: float, max_iter: int) -> LogisticRegression:
 
 def fit(messages: DataFrame, lexicon: Lexicon = DEFAULT, vocabulary: int = MAX_TOKENS,
         reg: float | dict[str, float] = 0.01, max_iter: int = 60,
-        name: str = "trained") -> TextClassifier:
+        name: str = "trained", prepared: Prepared | None = None) -> TextClassifier:
     """Fit both heads on labelled messages; ``reg`` may differ by head.
 
-    The sparse token counts, not the texts, are what the iterations read.
+    The sparse token counts, not the texts, are what the iterations read; with ``prepared`` (of the
+    same messages) they are not counted again.
     """
     regs = reg if isinstance(reg, dict) else {h: reg for h in HEADS}
-    features, counted = _counted(messages, vocabulary)
-    heads = {h: Pipeline(stages=[_head(h, regs[h], max_iter)]).fit(
-        counted.filter(F.col(f"_label_{h}").isNotNull())) for h in HEADS}
-    counted.unpersist()
-    return TextClassifier(features, heads, lexicon, name)
+    own = prepared or prepare(messages, vocabulary)
+    heads = {h: Pipeline(stages=[_head(h, regs[h], max_iter)]).fit(own.of(h)) for h in HEADS}
+    if prepared is None:
+        own.release()
+    return TextClassifier(own.features, heads, lexicon, name)
 
 
 def tune(messages: DataFrame, regs: tuple[float, ...] = (0.001, 0.01, 0.1), folds: int = 3,
-         key: str = "message_id", vocabulary: int = MAX_TOKENS,
-         max_iter: int = 60) -> dict[str, dict[float, float]]:
-    """Mean accuracy over fixed folds by head and regularisation, by cross-validation."""
-    _, counted = _counted(messages, vocabulary, fold(key, folds).alias("_fold"))
-    found = {}
+         key: str = "message_id", vocabulary: int = MAX_TOKENS, max_iter: int = 60,
+         prepared: Prepared | None = None) -> dict[str, dict[float, float]]:
+    """Mean accuracy over fixed folds by head and regularisation, by cross-validation.
+
+    Only the fits that are judged are made, and all read the counts that are kept once.
+    """
+    own = prepared or prepare(messages, vocabulary, folds, key)
+    filled = {(h, r["_fold"]) for h in HEADS
+              for r in own.of(h).groupBy("_fold").agg(F.count("*").alias("n")).collect()}
     for h in HEADS:
-        head = _head(h, regs[0], max_iter)
-        grid = ParamGridBuilder().addGrid(head.regParam, list(regs)).build()
+        for k in range(folds):
+            if (h, k) not in filled:
+                raise ValueError(f"fold {k} of {h} is empty")
+
+    def accuracy(case: tuple[str, float, int]) -> float:
+        h, reg, k = case
         judge = MulticlassClassificationEvaluator(
             labelCol=f"_label_{h}", predictionCol=f"_pred_{h}", metricName="accuracy")
-        model = CrossValidator(estimator=head, estimatorParamMaps=grid, evaluator=judge,
-                               numFolds=folds, foldCol="_fold", parallelism=2).fit(
-            counted.filter(F.col(f"_label_{h}").isNotNull()))
-        found[h] = dict(zip(regs, model.avgMetrics))
-    counted.unpersist()
-    return found
+        model = _head(h, reg, max_iter).fit(own.of(h).filter(F.col("_fold") != k))
+        return judge.evaluate(model.transform(own.of(h).filter(F.col("_fold") == k)))
+
+    cases = [(h, reg, k) for h in HEADS for reg in regs for k in range(folds)]
+    with ThreadPool(2) as pool:
+        found = dict(zip(cases, pool.map(accuracy, cases, chunksize=1)))
+    if prepared is None:
+        own.release()
+    return {h: {reg: sum(found[h, reg, k] for k in range(folds)) / folds for reg in regs}
+            for h in HEADS}
 
 
 def best_regs(tuned: dict[str, dict[float, float]]) -> dict[str, float]:

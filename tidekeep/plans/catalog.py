@@ -780,8 +780,11 @@ def _bakeoff(t: Tables) -> DataFrame:
     """All classifiers on the held-out and the unseen messages; the heads with the regularisation
     that cross-validation chose."""
     train = t.message_parts.filter("part = 'train'")
-    regs = tm.best_regs(tm.tune(train, folds=FOLDS))
-    models = {"trained": tm.fit(train, LEX, reg=regs), "keywords": _keywords,
+    prepared = tm.prepare(train, folds=FOLDS)
+    regs = tm.best_regs(tm.tune(train, folds=FOLDS, prepared=prepared))
+    trained = tm.fit(train, LEX, reg=regs, prepared=prepared)
+    prepared.release()
+    models = {"trained": trained, "keywords": _keywords,
               "counts": t.counts_classifier}
     return rounded(ev.bakeoff(_bakeoff_rows(t, models, _eval_sets(t))), "issue_acc", "signal_acc")
 
