@@ -16,6 +16,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: Texts of one Arrow batch are worked on in pieces of about this many bytes.
 PIECE_BYTES = 4 << 20
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -37,11 +39,17 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, release: bool = False) -> DataFrame:
     """Write once to the folder all executors share and read it back; this cuts the lineage, and
-    the files outlive any executor."""
+    the files outlive any executor. With ``release`` the shuffle files behind it go when it is
+    written, not when the driver happens to collect its garbage."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_RELEASE, "false")
+    conf.set(_RELEASE, "true" if release else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_RELEASE, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

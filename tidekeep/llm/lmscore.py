@@ -11,20 +11,24 @@ its tokens of target loss minus background loss (nats), so low values are close
 
 Words are 64-bit hashes. A word below MIN_COUNT occurs once, so its count names the document that
 has it, and documents get their unknown words by a join. Occurrences (document, previous word,
-word) are dealt once, by word: windows over a word and over a pair count them beside the
-occurrences, with Spark's sort and spill. Words with a large share of all tokens (at most
-1 / HOT_SHARE of them by arithmetic) are counted first and their pairs dealt by pair; pairs with
-such a share are scored where the document is. Only these two tables are sent to every task.
+word) are dealt once, by word, and sorted by Spark, with its spill; words and their pairs are
+counted where they pass by. Each of PARTS passes deals the words of one part by hash, and its
+shuffle files go before the next begins, so the disk holds one part of the occurrences at a time.
+Words with a large share of all tokens (at most 1 / HOT_SHARE of them by arithmetic) are counted
+first and their pairs dealt by pair; pairs with such a share are scored where the document is. Only
+these two tables are sent to every task.
 Losses are summed as whole micro-nats, so results do not depend on the order of partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import batch, bounded, map_batches, text_bytes, written
@@ -37,6 +41,8 @@ MICRO = 1e6
 UNKNOWN, START = 0, 1
 _BINS = 4096
 PAIR_BYTES = 4 << 20  # text of one step
+PARTS = 3             # passes over the texts; one part of the occurrences is dealt in each
+PAIR_ROWS = 1 << 19   # dealt rows of one step
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -187,12 +193,14 @@ def count_model(tokens: DataFrame, counts: DataFrame, least: int,
                  table[:2, len(word):-1], table[:2, -1], (sums["kinds"] or 0) + 2)
 
 
-def _deal(tokens: DataFrame, model: Model, known: np.ndarray | None) -> DataFrame:
-    """(a, b, name, m). Per row with words, m = -words, a = name, b and name the sums of
-    background and target losses of what is known everywhere. Per other pair of a row, m =
-    times * 8 + 4 if the word has a large share + 2 if the row ends with it + 1 if target;
-    (a, b) is (word, previous word), or (pair, word) if the word has a large share."""
+def _deal(tokens: DataFrame, model: Model, known: np.ndarray | None, part: int) -> DataFrame:
+    """(a, b, id, m) of one part. Per row with words, in the first part, m = -words, a = id, b and
+    id the sums of background and target losses of what is known everywhere. Per other pair of a
+    row, m = times * 8 + 4 if the word has a large share + 2 if the row ends with it + 1 if target;
+    (a, b) is (word, previous word), or (pair, word) if the word has a large share. The part is
+    a % PARTS; rows of a step come by word and pair, so that neighbours share most bytes."""
     shared = tokens.sparkSession.sparkContext.broadcast((model, known))
+    parts = np.uint64(PARTS)
 
     def run(batches):
         m, known_ = shared.value
@@ -201,86 +209,121 @@ def _deal(tokens: DataFrame, model: Model, known: np.ndarray | None) -> DataFram
             row, before, now, last = _tokens(b, known_)
             if not len(row):
                 continue
-            names = b.column("name").to_numpy()
+            ids = b.column("id").to_numpy()
             target = b.column("target").to_numpy(zero_copy_only=False)
-            sums = np.zeros((2, len(b)))
             pairs = _pair(before, now)
-            at_v, in_v = _find(m.word, before)
             at_p, in_p = _find(m.pair, pairs)
-            for k in range(2):  # whole numbers far below 2**53, so exact
-                sums[k] = np.bincount(row[in_v], context_loss[k][at_v[in_v]], len(b))
-                if len(m.pair):
-                    sums[k] += np.bincount(row[in_p], pair_loss[k][at_p[in_p]], len(b))
-            sums = sums.astype(np.int64)
-            sizes = np.bincount(row, minlength=len(b))
-            some = np.flatnonzero(sizes)
-            yield _dealt(names[some], sums[0][some], sums[1][some], -sizes[some])
-            row, before, now, last, pairs = (x[~in_p] for x in (row, before, now, last, pairs))
-            order = np.lexsort((pairs, row))
-            row, before, now, last, pairs = (x[order] for x in (row, before, now, last, pairs))
+            if part == 0:
+                sums = np.zeros((2, len(b)))
+                at_v, in_v = _find(m.word, before)
+                for k in range(2):  # whole numbers far below 2**53, so exact
+                    sums[k] = np.bincount(row[in_v], context_loss[k][at_v[in_v]], len(b))
+                    if len(m.pair):
+                        sums[k] += np.bincount(row[in_p], pair_loss[k][at_p[in_p]], len(b))
+                sums = sums.astype(np.int64)
+                sizes = np.bincount(row, minlength=len(b))
+                some = np.flatnonzero(sizes)
+                yield _dealt(ids[some], sums[0][some], sums[1][some], -sizes[some])
+            large = _find(m.word, now)[1]
+            own = np.flatnonzero(~in_p & (np.where(large, pairs, now) % parts == part))
+            if not len(own):
+                continue
+            own = own[np.lexsort((before[own], now[own]))]  # stable, so the rows ascend
+            row, before, now, last, pairs, large = (
+                x[own] for x in (row, before, now, last, pairs, large))
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (pairs[1:] != pairs[:-1])
             opens = np.flatnonzero(new)
-            if not len(opens):
-                continue
             times = np.diff(np.append(opens, len(row)))
             ends = np.add.reduceat(last.astype(np.int64), opens)
-            row, before, now, pairs = row[opens], before[opens], now[opens], pairs[opens]
-            large = _find(m.word, now)[1]
+            row, before, now, pairs, large = (x[opens] for x in (row, before, now, pairs, large))
             yield _dealt(np.where(large, pairs, now).view(np.int64),
-                         np.where(large, now, before).view(np.int64), names[row],
+                         np.where(large, now, before).view(np.int64), ids[row],
                          times * 8 + large * 4 + ends * 2 + target[row])
 
-    return map_batches(tokens.select("text", "rare", "target", "name"), run,
-                       "a long, b long, name long, m long")
+    return map_batches(tokens.select("text", "rare", "target", "id"), run,
+                       "a long, b long, id long, m long")
 
 
-def _dealt(a, b, name, m) -> pa.RecordBatch:
-    return batch(["a", "b", "name", "m"], [pa.array(x, pa.int64()) for x in (a, b, name, m)])
+def _dealt(a, b, ids, m) -> pa.RecordBatch:
+    return batch(["a", "b", "id", "m"], [pa.array(x, pa.int64()) for x in (a, b, ids, m)])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns in steps of about PAIR_ROWS rows that never part equal values of the first, by
+    which the rows are sorted."""
+    held, size, most = [], 0, PAIR_ROWS
+    for b in chain(batches, [None]):
+        if b is not None:
+            held.append([c.to_numpy() for c in b.columns])
+            size += len(b)
+            if size < most:
+                continue
+        if not size:
+            continue
+        rows = [np.concatenate(c) for c in zip(*held)]
+        cut = size if b is None else int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut:
+            yield [c[:cut] for c in rows]
+        held, size = [[c[cut:] for c in rows]], size - cut
+        most = max(PAIR_ROWS, 2 * size)
+
+
+def _group_sums(values: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    return np.repeat(np.add.reduceat(values, opens), np.diff(np.append(opens, len(values))))
+
+
+def _opens(sorted_: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+
+
+def _score(dealt: DataFrame, model: Model) -> DataFrame:
+    """(id, background, aim, n) of what ``_deal`` gives, sorted by ``a``: sums of micro-nats over
+    the rows of a step, and the tokens."""
+    shared = dealt.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        known = shared.value
+        for a, b, ids, m in _whole(batches):
+            done, large = m < 0, (m & 4) != 0
+            times, ends = np.where(done, 0, m >> 3), np.where(done, 0, (m >> 1) & 1)
+            words_, pairs = _opens(a), _pair(b.view(np.uint64), a.view(np.uint64))
+            order = np.argsort(pairs)
+            pairs = _opens(pairs[order])
+            at = _find(known.word, b.view(np.uint64))[0]
+            losses = []
+            for k, use in enumerate((times >= 0, (m & 1) != 0)):
+                own, count = times * use, np.empty(len(a), np.int64)
+                count[order] = _group_sums(own[order], pairs)
+                now = np.where(large, known.now[k][at], _group_sums(own, words_))
+                context = _group_sums(own - ends * use, words_)
+                single = (now + 1.0) / (known.total[k] + known.kinds)
+                losses.append(
+                    np.where(large, 0, times - ends) * np.rint(np.log(context + MASS) * MICRO)
+                    - times * np.rint(np.log(count + MASS * single) * MICRO))
+            name, place = np.unique(np.where(done, a, ids), return_inverse=True)
+            sums = (np.where(done, b, losses[0]), np.where(done, ids, losses[1]),
+                    np.where(done, -m, 0))
+            yield batch(["id", "background", "aim", "n"], [pa.array(name)] + [
+                # whole numbers far below 2**53, so exact
+                pa.array(np.bincount(place, x).astype(np.int64)) for x in sums])
+
+    return map_batches(dealt, run, "id long, background long, aim long, n long")
 
 
 def score_tokens(tokens: DataFrame, model: Model, known: np.ndarray | None) -> DataFrame:
-    """(name, background, aim, n, tokens): micro-nats and tokens summed over the rows of a name,
-    and the tokens of one of them."""
+    """(id, background, aim, n): micro-nats and tokens of every row with words."""
     spark = tokens.sparkSession
-    large = spark.createDataFrame(
-        [(int(w), int(x), int(y)) for w, (x, y) in zip(model.word.view(np.int64), model.now.T)],
-        "b long, large_0 long, large_1 long")
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    done = F.col("m") < 0
-    times = F.when(done, F.lit(0)).otherwise(F.shiftright("m", 3))
-    bit = lambda k: F.col("m").bitwiseAND(1 << k) != 0
-    rows = _deal(tokens, model, known).repartition(slices, "a").select(
-        "a", "b", "name", "m", times.alias("times"),
-        F.when(~done & bit(1), F.lit(1)).otherwise(0).alias("ends"),
-        F.when(~done & bit(0), F.col("times")).otherwise(0).alias("times_1"),
-        F.when(~done & bit(0), F.col("ends")).otherwise(0).alias("ends_1"))
-    pair, word = Window.partitionBy("a", "b"), Window.partitionBy("a")
-    counted = rows.select(
-        "*", F.sum("times").over(pair).alias("pair_0"),
-        F.sum("times_1").over(pair).alias("pair_1")).select(
-        "*", F.sum("times").over(word).alias("now_0"), F.sum("times_1").over(word).alias("now_1"),
-        F.sum(F.col("times") - F.col("ends")).over(word).alias("context_0"),
-        F.sum(F.col("times_1") - F.col("ends_1")).over(word).alias("context_1"))
-    counted = counted.join(F.broadcast(large), "b", "left")
-
-    def micro(column):
-        return F.rint(column * F.lit(MICRO)).cast("long")
-
-    def loss(k):
-        now = F.when(bit(2), F.col(f"large_{k}")).otherwise(F.col(f"now_{k}"))
-        single = (now + 1.0) / F.lit(float(model.total[k] + model.kinds))
-        own = F.when(bit(2), F.lit(0)).otherwise(
-            (F.col("times") - F.col("ends")) * micro(F.log(F.col(f"context_{k}") + MASS)))
-        return own - F.col("times") * micro(F.log(F.col(f"pair_{k}") + MASS * single))
-
-    size = F.when(done, -F.col("m")).otherwise(0)
-    return counted.select(
-        F.when(done, F.col("a")).otherwise(F.col("name")).alias("name"), size.alias("n"),
-        F.when(done, F.col("b")).otherwise(loss(0)).alias("background"),
-        F.when(done, F.col("name")).otherwise(loss(1)).alias("aim")).groupBy("name").agg(
-        F.sum("background").alias("background"), F.sum("aim").alias("aim"),
-        F.sum("n").alias("n"), F.max("n").alias("tokens"))
+    slices = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTS)
+    slices = max(slices, spark.sparkContext.defaultParallelism)
+    sums = [F.sum(c).alias(c) for c in ("background", "aim", "n")]
+    parts = None
+    for part in range(PARTS):
+        rows = _deal(tokens, model, known, part).repartition(slices, "a")
+        scored = _score(rows.sortWithinPartitions("a"), model).groupBy("id").agg(*sums)
+        scored = written(scored, f"part-{part}", release=True)
+        parts = scored if parts is None else parts.union(scored)
+    return parts.groupBy("id").agg(*sums)
 
 
 def cross_entropy_difference(documents: DataFrame, targets: DataFrame, key: str = "doc_id",
@@ -300,7 +343,7 @@ def cross_entropy_difference(documents: DataFrame, targets: DataFrame, key: str
     # Rows of one name are equal; a null id is skipped by the hash.
     slim = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")) \
         .withColumn("name", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    counts = written(word_counts(slim), "words")
+    counts = written(word_counts(slim), "words", release=True)
     least, known = MIN_COUNT, None
     if vocabulary is not None:
         least = least_count(counts, vocabulary)
@@ -314,15 +357,17 @@ def cross_entropy_difference(documents: DataFrame, targets: DataFrame, key: str
     marks = hits.union(counts.filter((F.col("n") < MIN_COUNT) & F.lit(known is None)).select(
         "name", F.lit(False), "word")).groupBy("name").agg(
         F.max("hit").alias("hit"), F.collect_list("word").alias("rare"))
-    tokens = written(slim.select("name", "text").join(marks.hint("merge"), "name", "left").select(
-        "name", "text", F.coalesce("hit", F.lit(False)).alias("target"),
-        F.coalesce("rare", F.array().cast("array<long>")).alias("rare")), "tokens")
+    # The files fix the ids; they name rows from here on, in fewer bytes than a hash.
+    tokens = written(slim.join(marks.hint("merge"), "name", "left").select(
+        F.monotonically_increasing_id().alias("id"), "doc_id", "text",
+        F.coalesce("hit", F.lit(False)).alias("target"),
+        F.coalesce("rare", F.array().cast("array<long>")).alias("rare")), "tokens", release=True)
     sums = score_tokens(tokens, count_model(tokens, counts, least, known), known)
 
     def mean(column):
         return column / (F.col("n") * F.lit(MICRO))
 
-    return slim.select("doc_id", "name").join(sums, "name", "left").select(
-        "doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("n_tokens"),
+    return tokens.select("id", "doc_id").join(sums, "id", "left").select(
+        "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"),
         mean(F.col("aim")).alias("target_loss"), mean(F.col("background"))
         .alias("background_loss"), mean(F.col("aim") - F.col("background")).alias("difference"))
