@@ -1,9 +1,12 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidekeep.llm import lmscore
 from tidekeep.llm.lmscore import MASS, cross_entropy_difference
@@ -103,3 +106,55 @@ def test_large_counts_are_told_apart(spark):
         "word long, n long")
     want = {1: 10**9 + 1, 2: 8001, 3: 5001, 4: 4101, 5: 3, 6: 2, 7: 2}
     assert {m: lmscore.least_count(counts, m) for m in want} == want
+
+
+def test_parts_are_dealt_one_at_a_time(spark):
+    """The disk holds the shuffle files of one part, not of all occurrences."""
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def held():
+        found = files.getAllFiles()
+        found = [found.apply(k) for k in range(found.size())]
+        return sum(f.length() for f in found if f.getName().startswith("shuffle_"))
+
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(1500)))
+            for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    flags = spark.createDataFrame([(i,) for i in range(0, 400, 3)], "doc_id long")
+    floor = held()
+    got = cross_entropy_difference(df, flags).select("doc_id", "n_tokens").collect()
+    assert sorted(map(tuple, got)) == [(k, 1500) for k in range(400)]
+    for _ in range(100):
+        if held() - floor < 1_000_000:
+            return
+        time.sleep(0.2)
+    raise AssertionError(f"{held() - floor} bytes of shuffle files stay")
+
+
+def test_every_pair_is_in_one_part(spark):
+    df = spark.createDataFrame([(k, f"a b c d{k % 7} a b e{k % 5}") for k in range(200)],
+                               "doc_id long, text string")
+    slim = df.withColumns({"target": F.col("doc_id") % 3 == 0,
+                           "rare": F.array().cast("array<long>")})
+    tokens = lmscore.hashed(slim, None).withColumn("id", F.col("doc_id")).cache()
+    counts = lmscore.word_counts(df.withColumn("name", F.col("doc_id"))).cache()
+    model = lmscore.count_model(tokens, counts, 2)
+    model.pair, model.pair_now = model.pair[:0], model.pair_now[:0]
+    model.pair_count = model.pair_count[:, :0]
+    parts = [lmscore._deal(tokens, model, k).filter("m > 0").collect()
+             for k in range(lmscore.PARTS)]
+    assert sum((r["m"] >> 3) for p in parts for r in p) == 200 * 7
+    keys = [{r["a"] for r in p} for p in parts]
+    assert all(keys) and not any(keys[i] & keys[j] for i in range(len(keys)) for j in range(i))
+
+
+def test_steps_keep_equal_values_together(monkeypatch):
+    monkeypatch.setattr(lmscore, "PAIR_ROWS", 10)
+    values = [1] * 3 + [2] * 40 + list(range(3, 30)) + [50] * 11
+    batches = [pa.RecordBatch.from_arrays([pa.array(values[k:k + 7])] * 2, names=["a", "b"])
+               for k in range(0, len(values), 7)]
+    steps = [a.tolist() for a, _ in lmscore._whole(iter(batches))]
+    assert sum(steps, []) == values and len(steps) > 3
+    assert all(x[-1] != y[0] for x, y in zip(steps, steps[1:]))
+    assert list(lmscore._whole(iter([]))) == []

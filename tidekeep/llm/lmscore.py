@@ -10,7 +10,8 @@ are the unknown word, and each document starts after a start mark. A document sc
 its tokens of target loss minus background loss (nats), so low values are close to the target.
 
 Words are 64-bit hashes. A word below MIN_COUNT occurs once, so its count names the document that
-has it, and documents get their unknown words by a join. Occurrences (document, previous word,
+has it, and documents get their unknown words by a join; the words of every document are then
+written once, for all later passes. Occurrences (document, previous word,
 word) are dealt once, by word, and sorted by Spark, with its spill; words and their pairs are
 counted where they pass by. Each of PARTS passes deals the words of one part by hash, and its
 shuffle files go before the next begins, so the disk holds one part of the occurrences at a time.
@@ -40,9 +41,9 @@ HOT_SHARE = 1 / 4096
 MICRO = 1e6
 UNKNOWN, START = 0, 1
 _BINS = 4096
-PAIR_BYTES = 4 << 20  # text of one step
-PARTS = 3             # passes over the texts; one part of the occurrences is dealt in each
-PAIR_ROWS = 1 << 19   # dealt rows of one step
+PAIR_BYTES = 4 << 20  # words of one step
+PARTS = 3             # one part of the occurrences is dealt in each pass
+PAIR_ROWS = 1 << 18   # dealt rows of one step
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -101,16 +102,37 @@ def _pair(before: np.ndarray, now: np.ndarray) -> np.ndarray:
     return mix(before * _LEFT + now * _RIGHT)
 
 
-def _tokens(b: pa.RecordBatch, known: np.ndarray | None):
-    """(row, previous word, word, last of its row) of every token of a batch (text, rare, ..)."""
-    row, now = words(*text_bytes(b.column("text")))
-    if known is None:
-        # Rare is a property of the word, so the rows need not be told apart.
-        rare = np.unique(b.column("rare").flatten().to_numpy(zero_copy_only=False))
-        unknown = _find(np.sort(rare.astype(np.int64).view(np.uint64)), now)[1]
-    else:
-        unknown = ~_find(known, now)[1]
-    now = np.where(unknown, np.uint64(UNKNOWN), now)
+def hashed(documents: DataFrame, known: np.ndarray | None) -> DataFrame:
+    """(doc_id, target, n, words) of (doc_id, text, target, rare): the hashes of the n words of a
+    text in order, 8 bytes each, with UNKNOWN for what is rare or, if given, not known."""
+    shared = documents.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for b in bounded(batches, 1):
+            row, now = words(*text_bytes(b.column("text")))
+            if shared.value is None:
+                # Rare is a property of the word, so the rows need not be told apart.
+                rare = np.unique(b.column("rare").flatten().to_numpy(zero_copy_only=False))
+                unknown = _find(np.sort(rare.astype(np.int64).view(np.uint64)), now)[1]
+            else:
+                unknown = ~_find(shared.value, now)[1]
+            now[unknown] = UNKNOWN
+            sizes = np.bincount(row, minlength=len(b))
+            ends = (8 * np.concatenate(([0], np.cumsum(sizes)))).astype(np.int32)
+            packed = pa.Array.from_buffers(
+                pa.binary(), len(b), [None, pa.py_buffer(ends), pa.py_buffer(now)])
+            yield batch(["doc_id", "target", "n", "words"], [
+                b.column("doc_id"), b.column("target"), pa.array(sizes, pa.int64()), packed])
+
+    return map_batches(documents.select("doc_id", "text", "target", "rare"), run,
+                       "doc_id long, target boolean, n long, words binary")
+
+
+def _tokens(b: pa.RecordBatch):
+    """(row, previous word, word, last of its row) of every token of a batch (words, ..)."""
+    data, bounds = text_bytes(b.column("words"))
+    now = data.view(np.uint64)
+    row = np.repeat(np.arange(len(b)), np.diff(bounds) // 8)
     new = np.ones(len(row), bool)
     new[1:] = row[1:] != row[:-1]
     before = np.where(new, np.uint64(START), np.roll(now, 1))
@@ -138,27 +160,29 @@ class Model:
         return np.rint(np.log(self.context + MASS) * MICRO)
 
 
-def count_model(tokens: DataFrame, counts: DataFrame, least: int,
-                known: np.ndarray | None) -> Model:
+def count_model(tokens: DataFrame, counts: DataFrame, least: int) -> Model:
     """Exact counts of the words and pairs with a large share of all tokens."""
-    shared = tokens.sparkSession.sparkContext.broadcast(known)
     sums = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= least).alias("kinds")).first()
     bar = max(2.0, (sums["n"] or 0) * HOT_SHARE)
     hot = counts.filter((F.col("n") >= least) & (F.col("n") >= bar)).select("word").toPandas()
     word = np.sort(np.concatenate((np.array([UNKNOWN, START], np.uint64),
                                    hot["word"].to_numpy(np.int64).view(np.uint64))))
 
+    share = HOT_SHARE
+
     def often(batches):
         for b in bounded(batches, 0, PAIR_BYTES):
-            _, before, now, _ = _tokens(b, shared.value)
-            _, first, n = np.unique(_pair(before, now), return_index=True, return_counts=True)
-            chosen = n >= max(2.0, len(now) * HOT_SHARE / 2)
-            at = first[chosen]
+            _, before, now, _ = _tokens(b)
+            both = np.flatnonzero(_find(word, now)[1] & _find(word, before)[1])
+            _, first, n = np.unique(_pair(before[both], now[both]), return_index=True,
+                                    return_counts=True)
+            chosen = n >= max(2.0, len(now) * share / 2)
+            at = both[first[chosen]]
             yield batch(["before", "now", "n"], [
                 pa.array(before[at].view(np.int64)), pa.array(now[at].view(np.int64)),
                 pa.array(n[chosen], pa.int64())])
 
-    slim = tokens.select("text", "rare", "target")
+    slim = tokens.select("words", "target")
     # At most 1 / HOT_SHARE pairs can have this share of all tokens; both their words have it too.
     found = map_batches(slim, often, "before long, now long, n long").groupBy("before", "now") \
         .agg(F.sum("n").alias("n")).filter(F.col("n") >= bar).toPandas()
@@ -170,15 +194,17 @@ def count_model(tokens: DataFrame, counts: DataFrame, least: int,
     def exact(batches):
         total = np.zeros((4, len(word) + len(pair) + 1), np.int64)
         for b in bounded(batches, 0, PAIR_BYTES):
-            row, before, now, _ = _tokens(b, shared.value)
+            row, before, now, _ = _tokens(b)
             target = b.column("target").to_numpy(zero_copy_only=False)[row]
+            both = np.ones(len(row), bool)
             for k, values in ((0, now), (2, before)):
                 at, inside = _find(word, values)
+                both &= inside
                 total[k, :len(word)] += np.bincount(at[inside], minlength=len(word))
                 total[k + 1, :len(word)] += np.bincount(at[inside & target], minlength=len(word))
-            at, inside = _find(pair, _pair(before, now))
+            at, inside = _find(pair, _pair(before[both], now[both]))
             total[0, len(word):-1] += np.bincount(at[inside], minlength=len(pair))
-            total[1, len(word):-1] += np.bincount(at[inside & target], minlength=len(pair))
+            total[1, len(word):-1] += np.bincount(at[inside & target[both]], minlength=len(pair))
             total[0, -1] += len(now)
             total[1, -1] += int(target.sum())
         yield batch(["id", "a", "b", "c", "d"], [
@@ -193,25 +219,28 @@ def count_model(tokens: DataFrame, counts: DataFrame, least: int,
                  table[:2, len(word):-1], table[:2, -1], (sums["kinds"] or 0) + 2)
 
 
-def _deal(tokens: DataFrame, model: Model, known: np.ndarray | None, part: int) -> DataFrame:
+def _deal(tokens: DataFrame, model: Model, part: int) -> DataFrame:
     """(a, b, id, m) of one part. Per row with words, in the first part, m = -words, a = id, b and
     id the sums of background and target losses of what is known everywhere. Per other pair of a
     row, m = times * 8 + 4 if the word has a large share + 2 if the row ends with it + 1 if target;
     (a, b) is (word, previous word), or (pair, word) if the word has a large share. The part is
-    a % PARTS; rows of a step come by word and pair, so that neighbours share most bytes."""
-    shared = tokens.sparkSession.sparkContext.broadcast((model, known))
-    parts = np.uint64(PARTS)
+    a % PARTS. A step comes by word and previous word, so that neighbours share most bytes; a
+    pair of a row may come in two rows."""
+    shared = tokens.sparkSession.sparkContext.broadcast(model)
+    parts, half = np.uint64(PARTS), np.uint64(32)
 
     def run(batches):
-        m, known_ = shared.value
+        m = shared.value
         pair_loss, context_loss = m.pair_loss(), m.context_loss()
         for b in bounded(batches, 0, PAIR_BYTES):
-            row, before, now, last = _tokens(b, known_)
+            row, before, now, last = _tokens(b)
             if not len(row):
                 continue
             ids = b.column("id").to_numpy()
             target = b.column("target").to_numpy(zero_copy_only=False)
-            pairs = _pair(before, now)
+            large = _find(m.word, now)[1]
+            at_large = np.flatnonzero(large)
+            pairs = _pair(before[at_large], now[at_large])
             at_p, in_p = _find(m.pair, pairs)
             if part == 0:
                 sums = np.zeros((2, len(b)))
@@ -219,29 +248,32 @@ def _deal(tokens: DataFrame, model: Model, known: np.ndarray | None, part: int)
                 for k in range(2):  # whole numbers far below 2**53, so exact
                     sums[k] = np.bincount(row[in_v], context_loss[k][at_v[in_v]], len(b))
                     if len(m.pair):
-                        sums[k] += np.bincount(row[in_p], pair_loss[k][at_p[in_p]], len(b))
+                        sums[k] += np.bincount(row[at_large[in_p]], pair_loss[k][at_p[in_p]],
+                                               len(b))
                 sums = sums.astype(np.int64)
                 sizes = np.bincount(row, minlength=len(b))
                 some = np.flatnonzero(sizes)
                 yield _dealt(ids[some], sums[0][some], sums[1][some], -sizes[some])
-            large = _find(m.word, now)[1]
-            own = np.flatnonzero(~in_p & (np.where(large, pairs, now) % parts == part))
+            a = now.copy()
+            a[at_large] = pairs
+            own = a % parts == part
+            own[at_large[in_p]] = False
+            own = np.flatnonzero(own)
             if not len(own):
                 continue
-            own = own[np.lexsort((before[own], now[own]))]  # stable, so the rows ascend
-            row, before, now, last, pairs, large = (
-                x[own] for x in (row, before, now, last, pairs, large))
+            key = (now[own] >> half << half) | (before[own] >> half)
+            own = own[np.argsort(key, kind="stable")]  # the rows ascend
+            row, before, now = row[own], before[own], now[own]
             new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (pairs[1:] != pairs[:-1])
+            new[1:] = (row[1:] != row[:-1]) | (before[1:] != before[:-1]) | (now[1:] != now[:-1])
             opens = np.flatnonzero(new)
             times = np.diff(np.append(opens, len(row)))
-            ends = np.add.reduceat(last.astype(np.int64), opens)
-            row, before, now, pairs, large = (x[opens] for x in (row, before, now, pairs, large))
-            yield _dealt(np.where(large, pairs, now).view(np.int64),
-                         np.where(large, now, before).view(np.int64), ids[row],
-                         times * 8 + large * 4 + ends * 2 + target[row])
+            ends = np.add.reduceat(last[own].astype(np.int64), opens)
+            row, before, now, own = row[opens], before[opens], now[opens], own[opens]
+            yield _dealt(a[own].view(np.int64), np.where(large[own], now, before).view(np.int64),
+                         ids[row], times * 8 + large[own] * 4 + ends * 2 + target[row])
 
-    return map_batches(tokens.select("text", "rare", "target", "id"), run,
+    return map_batches(tokens.select("words", "target", "id"), run,
                        "a long, b long, id long, m long")
 
 
@@ -278,8 +310,7 @@ def _opens(sorted_: np.ndarray) -> np.ndarray:
 
 
 def _score(dealt: DataFrame, model: Model) -> DataFrame:
-    """(id, background, aim, n) of what ``_deal`` gives, sorted by ``a``: sums of micro-nats over
-    the rows of a step, and the tokens."""
+    """(id, background, aim) in micro-nats, a row for each row of ``_deal``, sorted by ``a``."""
     shared = dealt.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -287,7 +318,7 @@ def _score(dealt: DataFrame, model: Model) -> DataFrame:
         for a, b, ids, m in _whole(batches):
             done, large = m < 0, (m & 4) != 0
             times, ends = np.where(done, 0, m >> 3), np.where(done, 0, (m >> 1) & 1)
-            words_, pairs = _opens(a), _pair(b.view(np.uint64), a.view(np.uint64))
+            opens, pairs = _opens(a), _pair(b.view(np.uint64), a.view(np.uint64))
             order = np.argsort(pairs)
             pairs = _opens(pairs[order])
             at = _find(known.word, b.view(np.uint64))[0]
@@ -295,31 +326,27 @@ def _score(dealt: DataFrame, model: Model) -> DataFrame:
             for k, use in enumerate((times >= 0, (m & 1) != 0)):
                 own, count = times * use, np.empty(len(a), np.int64)
                 count[order] = _group_sums(own[order], pairs)
-                now = np.where(large, known.now[k][at], _group_sums(own, words_))
-                context = _group_sums(own - ends * use, words_)
+                now = np.where(large, known.now[k][at], _group_sums(own, opens))
+                context = _group_sums(own - ends * use, opens)
                 single = (now + 1.0) / (known.total[k] + known.kinds)
-                losses.append(
-                    np.where(large, 0, times - ends) * np.rint(np.log(context + MASS) * MICRO)
-                    - times * np.rint(np.log(count + MASS * single) * MICRO))
-            name, place = np.unique(np.where(done, a, ids), return_inverse=True)
-            sums = (np.where(done, b, losses[0]), np.where(done, ids, losses[1]),
-                    np.where(done, -m, 0))
-            yield batch(["id", "background", "aim", "n"], [pa.array(name)] + [
-                # whole numbers far below 2**53, so exact
-                pa.array(np.bincount(place, x).astype(np.int64)) for x in sums])
+                loss = np.where(large, 0, times - ends) * np.rint(np.log(context + MASS) * MICRO) \
+                    - times * np.rint(np.log(count + MASS * single) * MICRO)
+                losses.append(np.where(done, ids if k else b, loss.astype(np.int64)))
+            yield batch(["id", "background", "aim"],
+                        [pa.array(x) for x in (np.where(done, a, ids), *losses)])
 
-    return map_batches(dealt, run, "id long, background long, aim long, n long")
+    return map_batches(dealt, run, "id long, background long, aim long")
 
 
-def score_tokens(tokens: DataFrame, model: Model, known: np.ndarray | None) -> DataFrame:
-    """(id, background, aim, n): micro-nats and tokens of every row with words."""
+def score_tokens(tokens: DataFrame, model: Model) -> DataFrame:
+    """(id, background, aim): micro-nats of every row with words."""
     spark = tokens.sparkSession
     slices = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTS)
     slices = max(slices, spark.sparkContext.defaultParallelism)
-    sums = [F.sum(c).alias(c) for c in ("background", "aim", "n")]
+    sums = [F.sum(c).alias(c) for c in ("background", "aim")]
     parts = None
     for part in range(PARTS):
-        rows = _deal(tokens, model, known, part).repartition(slices, "a")
+        rows = _deal(tokens, model, part).repartition(slices, "a")
         scored = _score(rows.sortWithinPartitions("a"), model).groupBy("id").agg(*sums)
         scored = written(scored, f"part-{part}", release=True)
         parts = scored if parts is None else parts.union(scored)
@@ -357,17 +384,18 @@ def cross_entropy_difference(documents: DataFrame, targets: DataFrame, key: str
     marks = hits.union(counts.filter((F.col("n") < MIN_COUNT) & F.lit(known is None)).select(
         "name", F.lit(False), "word")).groupBy("name").agg(
         F.max("hit").alias("hit"), F.collect_list("word").alias("rare"))
+    marked = slim.join(marks.hint("merge"), "name", "left").select(
+        "doc_id", "text", F.coalesce("hit", F.lit(False)).alias("target"),
+        F.coalesce("rare", F.array().cast("array<long>")).alias("rare"))
     # The files fix the ids; they name rows from here on, in fewer bytes than a hash.
-    tokens = written(slim.join(marks.hint("merge"), "name", "left").select(
-        F.monotonically_increasing_id().alias("id"), "doc_id", "text",
-        F.coalesce("hit", F.lit(False)).alias("target"),
-        F.coalesce("rare", F.array().cast("array<long>")).alias("rare")), "tokens", release=True)
-    sums = score_tokens(tokens, count_model(tokens, counts, least, known), known)
+    tokens = written(hashed(marked, known).withColumn("id", F.monotonically_increasing_id()),
+                     "tokens", release=True)
+    sums = score_tokens(tokens, count_model(tokens, counts, least))
 
     def mean(column):
         return column / (F.col("n") * F.lit(MICRO))
 
-    return tokens.select("id", "doc_id").join(sums, "id", "left").select(
-        "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"),
+    return tokens.select("id", "doc_id", "n").join(sums, "id", "left").select(
+        "doc_id", F.col("n").alias("n_tokens"),
         mean(F.col("aim")).alias("target_loss"), mean(F.col("background"))
         .alias("background_loss"), mean(F.col("aim") - F.col("background")).alias("difference"))
