@@ -20,7 +20,7 @@ from ..functions.text import leaving_confirmed
 from ..lexicon import DEFAULT, Lexicon
 from ..session import written
 from . import store
-from .text_model import HEADS, TextClassifier, best_label
+from .text_model import HEADS, Prepared, TextClassifier, best_label
 from .vocabulary import MAX_TOKENS, fit_vocabulary, tokens
 
 WEIGHTS = "head string, token string, label string, weight double"
@@ -41,29 +41,27 @@ def from_heads(model: TextClassifier, spark) -> DataFrame:
     return spark.createDataFrame(rows, WEIGHTS)
 
 
-def from_counts(messages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def from_counts(messages: DataFrame, max_tokens: int = MAX_TOKENS,
+                prepared: Prepared | None = None) -> DataFrame:
     """Log odds of a multinomial count model: ln((n + 1) / (class tokens + vocabulary)) per token
     and class, ln((messages + 1) / (all + classes)) as intercepts. Labels outside the fixed list
-    are left out; a class without messages keeps the smoothed odds."""
-    words = written(fit_vocabulary(messages, max_tokens=max_tokens).select("token"), "vocabulary")
-    spark, size = messages.sparkSession, words.count()
-    pairs = F.array(*[F.struct(F.lit(h).alias("head"), F.col(h).alias("label")) for h in HEADS])
+    are left out; a class without messages keeps the smoothed odds. With ``prepared`` (of the same
+    messages, over as many tokens or more) the texts are not read again."""
+    spark = messages.sparkSession
     known = F.concat(*[F.array(*[F.struct(F.lit(h).alias("head"), F.lit(x).alias("label"))
                                  for x in labels]) for h, labels in HEADS.items()])
-    labelled = messages.select("text", F.explode(pairs).alias("class")).filter(
-        F.array_contains(known, F.col("class")))
+    if prepared is None:
+        words, rows, counts = _counted(messages, max_tokens, known)
+    else:
+        words, rows, counts = _prepared_counts(spark, max_tokens, prepared)
+    size = words.count()
     classes = spark.range(0, 1, 1, 1).select(F.explode(known).alias("class"))
-    rows = written(labelled.groupBy("class").agg(F.count("*").alias("d")), "class-rows")
     total = rows.groupBy("class.head").agg(F.sum("d").alias("all"))
     priors = classes.join(rows, "class", "left").withColumn("head", F.col("class.head")).join(
         total, "head").select(
         "head", F.lit(None).cast("string").alias("token"), F.col("class.label").alias("label"),
         F.log((F.coalesce("d", F.lit(0)) + 1) / (F.col("all") + _classes(F.col("head"))))
         .alias("weight"))
-    # Bounded: vocabulary x classes rows.
-    counts = written(labelled.select("class", F.explode(tokens(F.col("text"))).alias("token")).join(
-        F.broadcast(words), "token").groupBy("class", "token").agg(F.count("*").alias("n")),
-        "class-tokens")
     sums = counts.groupBy("class").agg(F.sum("n").alias("of"))
     cells = words.select("token", F.explode(known).alias("class")).join(
         sums, "class", "left").join(counts, ["class", "token"], "left")
@@ -72,6 +70,40 @@ def from_counts(messages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     return priors.unionByName(odds)
 
 
+def _counted(messages: DataFrame, max_tokens: int,
+             known: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(token), (class, messages) and (class, token, n) from the texts."""
+    words = written(fit_vocabulary(messages, max_tokens=max_tokens).select("token"), "vocabulary")
+    pairs = F.array(*[F.struct(F.lit(h).alias("head"), F.col(h).alias("label")) for h in HEADS])
+    labelled = messages.select("text", F.explode(pairs).alias("class")).filter(
+        F.array_contains(known, F.col("class")))
+    rows = written(labelled.groupBy("class").agg(F.count("*").alias("d")), "class-rows")
+    # Bounded: vocabulary x classes rows.
+    counts = written(labelled.select("class", F.explode(tokens(F.col("text"))).alias("token")).join(
+        F.broadcast(words), "token").groupBy("class", "token").agg(F.count("*").alias("n")),
+        "class-tokens")
+    return words, rows, counts
+
+
+def _prepared_counts(spark, max_tokens: int,
+                     prepared: Prepared) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of ``_counted`` from counts that were made once."""
+    kept, rows, counts = prepared.ranked[:max_tokens - 2], [], []
+    at = [prepared.columns[w] for w in kept]
+    for (head, labels), table in zip(HEADS.items(), prepared.by_label):
+        found = prepared.of(head).moments.per_label
+        for k, label in enumerate(labels):
+            if found[k]:
+                rows.append(((head, label), int(found[k])))
+            counts += [((head, label), kept[j], int(table[k, at[j]]))
+                       for j in np.flatnonzero(table[k, at]).tolist()]
+    key = "class struct<head: string, label: string>"
+    return tuple(written(spark.createDataFrame(found, schema), purpose) for found, schema, purpose
+                 in (([(w,) for w in kept], "token string", "vocabulary"),
+                     (rows, f"{key}, d bigint", "class-rows"),
+                     (counts, f"{key}, token string, n bigint", "class-tokens")))
+
+
 def _classes(head: Column) -> Column:
     out = F.lit(0)
     for h, labels in HEADS.items():

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.entities import blank_separated
+from ..functions.entities import BLANKS, blank_separated
+from ..session import map_batches
 
 # Size limits, reserved ids and the stripped punctuation.
 MAX_TOKENS, LENGTH = 2000, 32
@@ -16,11 +20,57 @@ PAD, UNKNOWN = 0, 1
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 _BUCKETS = 256
 
+_ASCII_BLANKS = "".join(b for b in BLANKS if b.isascii())
+_SPACED = bytes.maketrans(_ASCII_BLANKS.encode(), b" " * len(_ASCII_BLANKS))
+_DROPPED = PUNCTUATION.encode()
+_WIDE_BLANKS = [b.encode() for b in BLANKS if not b.isascii()]
+_LEADS = sorted({b[:2] for b in _WIDE_BLANKS})
+#: Distinct tokens that a worker counts before it hands them on.
+HELD_TOKENS = 200_000
+
 
 def tokens(text: Column) -> Column:
     return blank_separated(F.lower(text), PUNCTUATION)
 
 
+def byte_tokens(lowered: bytes) -> list[bytes]:
+    """What ``tokens`` finds, from a lowered text in a worker."""
+    if not lowered.isascii():
+        for lead in _LEADS:  # most texts have none
+            if lead in lowered:
+                for blank in _WIDE_BLANKS:
+                    if blank.startswith(lead):
+                        lowered = lowered.replace(blank, b" ")
+    return lowered.translate(_SPACED, _DROPPED).split()
+
+
+def lowered_bytes(text: str = "text") -> Column:
+    return F.lower(F.col(text)).cast("binary").alias("_lowered")
+
+
+def token_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(token, n): every token with its count, added up by the workers before they are exchanged."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def handed_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([
+                pa.array(list(held), pa.binary()).cast(pa.string()),
+                pa.array(list(held.values()), pa.int64())], ["token", "n"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for lowered in b.column(0):
+                held.update(byte_tokens(lowered.as_py() or b""))
+                if len(held) >= HELD_TOKENS:
+                    yield handed_on()
+        yield handed_on()
+
+    parts = map_batches(texts.select(lowered_bytes(text)), work, "token string, n bigint")
+    return parts.groupBy("token").agg(F.sum("n").alias("n"))
+
+
 def fit_vocabulary(texts: DataFrame, text: str = "text",
                    max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(token, n) of the most frequent tokens; ties by descending token.

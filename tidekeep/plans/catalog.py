@@ -783,9 +783,10 @@ def _bakeoff(t: Tables) -> DataFrame:
     prepared = tm.prepare(train, folds=FOLDS)
     regs = tm.best_regs(tm.tune(train, folds=FOLDS, prepared=prepared))
     trained = tm.fit(train, LEX, reg=regs, prepared=prepared)
+    counts = written(tw.from_counts(train, prepared=prepared), "count-weights")
     prepared.release()
     models = {"trained": trained, "keywords": _keywords,
-              "counts": t.counts_classifier}
+              "counts": tw.WeightedClassifier(counts, LEX, "counts")}
     return rounded(ev.bakeoff(_bakeoff_rows(t, models, _eval_sets(t))), "issue_acc", "signal_acc")
 
 

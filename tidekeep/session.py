@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 # Adaptive execution re-plans joins from measured sizes and splits skewed partitions, so no
 # join in the package carries a broadcast hint for data that grows.
@@ -54,3 +58,18 @@ def written(df, purpose: str = "stage"):
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def find_package(spark: SparkSession) -> None:
+    """Workers find this package also where it is not installed: the source folder joins their
+    module path. On a cluster ship the package with ``--py-files``."""
+    paths = spark.sparkContext.environment
+    known = paths.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(x for x in (known, ROOT) if x)
+
+
+def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers find this package."""
+    find_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
